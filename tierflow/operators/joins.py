@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with at least this share of the facts is hot; 1/share of them can exist.
 HOT_SHARE = 0.001
+# Types left out of a row's hash, which cannot take all of them.
+NESTED = ("array", "map", "struct", "variant")
 
 
 def temporal_left_join(
@@ -83,7 +85,8 @@ def _spread_hot_keys(
     """
     # Bounded by 1/share rows, see hot_keys.
     hot = F.broadcast(hot_keys(facts, fact_key, share))
-    row = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in facts.columns])
+    hashed = [c for c, kind in facts.dtypes if not kind.startswith(NESTED)]
+    row = F.xxhash64(F.spark_partition_id(), *hashed)
     # <=> so that facts without a key, which match nothing, are spread as well.
     facts = _with_slices(facts, hot, F.col(fact_key).eqNullSafe(F.col("__hot")))
     facts = facts.withColumn("__slice", F.pmod(row, F.col("__slices")).cast("int"))

@@ -127,18 +127,23 @@ def _narrow(df: DataFrame, marks: list[_Mark], accuracy: int) -> None:
     below it than the rank; the greatest at four errors above has enough.
     """
     slack = 4 / accuracy
+    shared: dict[tuple, list[_Mark]] = {}
+    for mark in marks:
+        shared.setdefault((mark.column, mark.low, mark.high), []).append(mark)
     sketches, ends = [], []
-    for i, mark in enumerate(marks):
-        share = (mark.rank - mark.below) / mark.inside
-        shares = [max(0.0, share - slack), min(1.0, share + slack)]
-        inside = F.when(mark.bracket(), F.col(mark.column))
+    for i, same in enumerate(shared.values()):
+        shares = []
+        for j, mark in enumerate(same):
+            share = (mark.rank - mark.below) / mark.inside
+            shares += [max(0.0, share - slack), min(1.0, share + slack)]
+            ends.append(F.min(F.col(f"q{i}")[2 * j]).alias(f"{mark.name}_low"))
+            ends.append(F.max(F.col(f"q{i}")[2 * j + 1]).alias(f"{mark.name}_high"))
+        inside = F.when(same[0].bracket(), F.col(same[0].column))
         sketches.append(F.percentile_approx(inside, shares, accuracy).alias(f"q{i}"))
-        ends.append(F.min(F.col(f"q{i}")[0]).alias(f"low{i}"))
-        ends.append(F.max(F.col(f"q{i}")[1]).alias(f"high{i}"))
     group = F.spark_partition_id() % SKETCH_GROUPS
     found = df.groupBy(group.alias("g")).agg(*sketches).agg(*ends).first()
-    for i, mark in enumerate(marks):
-        mark.low, mark.high = found[f"low{i}"], found[f"high{i}"]
+    for mark in marks:
+        mark.low, mark.high = found[f"{mark.name}_low"], found[f"{mark.name}_high"]
     counts = []
     for i, mark in enumerate(marks):
         value = F.col(mark.column)

@@ -14,7 +14,7 @@ from ..sinks import store_batch
 from ..sources import load_source, relation_from_rows
 from ..spec import STAGES, PipelineSpec, SourceSpec, SpecError, TaskSpec, parse_pipeline
 from ..streaming import drain, finish, run_for, start_sinks
-from ..workspace import Workspace, shared_root
+from ..workspace import Workspace, delete_path, shared_root
 from .namespace import current_schema, drop_schema
 from .preview import PREVIEW_ROWS, json_rows, output_of, preview, try_task
 from .tasks import run_code
@@ -122,6 +122,11 @@ class Pipeline:
                 landed.append(source.path)
         return landed
 
+    def drop_copies(self) -> None:
+        """Delete the copies of single runs that views of past runs read."""
+        for stage in STAGES:
+            delete_path(self.spark, self.workspace.runs_path(stage))
+
     def clean(self) -> None:
         """Drop the pipeline's schema and delete all it has stored."""
         drop_schema(self.spark, self.workspace)

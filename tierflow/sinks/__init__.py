@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql.types import StructType
 
 from ..spec import SinkSpec, TaskSpec
 from ..workspace import Workspace, path_exists
@@ -36,7 +37,7 @@ def store_batch(
             write_sink(workspace, task, rows, kind, mode)
         return rows
     write_sink(workspace, task, df, first, mode)
-    rows = read_sink(spark, workspace, task, first)
+    rows = read_sink(spark, workspace, task, first, df.schema)
     for kind in sink.stored[1:]:
         write_sink(workspace, task, rows, kind, mode)
     return rows
@@ -53,12 +54,22 @@ def write_sink(
 
 
 def read_sink(
-    spark: SparkSession, workspace: Workspace, task: TaskSpec, kind: str
+    spark: SparkSession,
+    workspace: Workspace,
+    task: TaskSpec,
+    kind: str,
+    schema: StructType | None = None,
 ) -> DataFrame:
+    """What a sink holds; a known ``schema`` saves inferring it from files."""
     if kind == "table":
-        return spark.read.table(workspace.table(task.sink.target))
-    path = workspace.data_path(task.stage, task.sink.target)
-    return spark.read.format(workspace.storage_format).load(path)
+        rows = spark.read.table(workspace.table(task.sink.target))
+    else:
+        path = workspace.data_path(task.stage, task.sink.target)
+        reader = spark.read.format(workspace.storage_format)
+        reader = reader.options(**task.sink.options)
+        rows = (reader if schema is None else reader.schema(schema)).load(path)
+    # Partition columns come last when read; put them back in their place.
+    return rows if schema is None else rows.select(*schema.names)
 
 
 def stored_before(
@@ -73,8 +84,10 @@ def _copy(
     spark: SparkSession, workspace: Workspace, task: TaskSpec, df: DataFrame
 ) -> DataFrame:
     path = workspace.run_path(task.stage, task.sink.target)
-    df.write.format(workspace.storage_format).save(path)
-    return spark.read.format(workspace.storage_format).load(path)
+    stored = workspace.storage_format
+    df.write.format(stored).options(**task.sink.options).save(path)
+    reader = spark.read.format(stored).options(**task.sink.options)
+    return reader.schema(df.schema).load(path)
 
 
 def _writer(workspace: Workspace, sink: SinkSpec, df: DataFrame) -> DataFrameWriter:

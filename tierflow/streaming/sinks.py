@@ -65,7 +65,8 @@ def _start_complete(
     def replace(batch: DataFrame, batch_id: int) -> None:
         write_sink(workspace, task, batch, stored[0], "overwrite")
         if len(stored) > 1:
-            rows = read_sink(batch.sparkSession, workspace, task, stored[0])
+            session = batch.sparkSession
+            rows = read_sink(session, workspace, task, stored[0], batch.schema)
             for kind in stored[1:]:
                 write_sink(workspace, task, rows, kind, "overwrite")
 

@@ -13,6 +13,8 @@ LAYER_FOLDERS = {"staging": "stg", "standard": "std", "serving": "srv"}
 DATA_FOLDER = "data"
 CHECKPOINT_FOLDER = "chkpt"
 
+RUNS_FOLDER = "runs"
+
 _local_roots: dict[str, str] = {}
 
 
@@ -82,7 +84,10 @@ class Workspace:
 
     def run_path(self, stage: str, target: str) -> str:
         """A folder for the rows of one run, apart from the stored dataset."""
-        return f"{self.root}/{LAYER_FOLDERS[stage]}/runs/{target}-{uuid.uuid4().hex}"
+        return f"{self.runs_path(stage)}/{target}-{uuid.uuid4().hex}"
+
+    def runs_path(self, stage: str) -> str:
+        return f"{self.root}/{LAYER_FOLDERS[stage]}/{RUNS_FOLDER}"
 
     def table(self, target: str) -> str:
         return f"{self.schema}.{_quoted(target)}"

@@ -10,15 +10,17 @@ from tierflow import Pipeline
 from tierflow.sources.files import FILE_DEFAULTS
 from tierflow.workspace import scratch_dir
 
-from .tables import PRICE_SCHEMA, SALES_SCHEMA, prices, sales
+from .tables import PRICE_SCHEMA, SALES_SCHEMA, prices, table
 
+SALES_COLUMNS = [field["name"] for field in SALES_SCHEMA["fields"]]
 JOIN_SQL = [
-    "SELECT price.fruit, price.id, sales.amount, price.price, sales.ts",
+    "SELECT price.fruit, price.id, sales.l_quantity AS amount,",
+    "       price.price, sales.l_shipdate AS ts",
     "FROM stg_sales sales",
     "LEFT JOIN stg_price price",
-    "  ON sales.id = price.id",
-    " AND sales.ts >= price.start_ts",
-    " AND sales.ts < price.end_ts",
+    "  ON sales.L_PartKey = price.ID",
+    " AND sales.l_shipdate >= price.start_ts",
+    " AND sales.l_shipdate < price.end_ts",
 ]
 TOTAL_SQL = [
     "SELECT id, fruit, sum(amount * price) AS total",
@@ -38,6 +40,11 @@ def file_input(path: str, format: str, read_type: str = "batch", **options) -> d
     }
 
 
+def given(sf_dir: str, name: str) -> dict:
+    """A given table as a file source."""
+    return file_input(f"{sf_dir}/{name}.parquet", "parquet")
+
+
 def staging(name: str, source: dict, schema: dict, *sinks: str) -> dict:
     output = {"target": f"stg_{name}", "type": list(sinks)}
     return {"name": name, "input": source, "schema": schema, "output": output}
@@ -63,17 +70,25 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def land(spark: SparkSession, df: DataFrame, format: str, path: str | None = None) -> str:
-    """Write a table to a landing folder, a file per core; more can land later."""
+    """Write a table to a landing folder, where more can land later.
+
+    A table of fewer partitions than there are cores is spread over them, so
+    that streams find several files.
+    """
     path = path or scratch_dir(spark, "landing")
-    spread = df.repartition(parallelism(spark))
-    writer = spread.write.format(format).mode("append").options(**FILE_DEFAULTS)
-    writer.save(path)
+    cores = parallelism(spark)
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    df.write.format(format).mode("append").options(**FILE_DEFAULTS).save(path)
     return path
 
 
 def batches(spark: SparkSession) -> dict[str, str]:
-    """Source options that make a landing folder about three micro-batches."""
-    return {"maxFilesPerTrigger": str(max(1, parallelism(spark) // 3))}
+    """Source options that give every core a few files of a micro-batch.
+
+    A table spread over the cores by :func:`land` makes three batches.
+    """
+    return {"maxFilesPerTrigger": str(max(1, parallelism(spark) * 3 // 8))}
 
 
 def sales_pipeline(
@@ -84,16 +99,19 @@ def sales_pipeline(
     sold_sinks: tuple[str, ...] = ("file", "view"),
     total_sinks: tuple[str, ...] = ("table", "file"),
     staged_sinks: tuple[str, ...] = ("file", "view"),
-    sales_format: str = "parquet",
 ) -> Pipeline:
     """Sales joined to the price of their time, then totalled.
 
-    Prices are a static CSV folder; sales are a folder read whole or as a stream.
+    Prices are a static CSV folder.  Sales are the given table, or a landing
+    folder of it read as a stream.
     """
-    sales_path = land(spark, sales(spark, sf_dir), sales_format)
     price_path = land(spark, prices(spark, sf_dir), "csv")
-    options = batches(spark) if mode == "streaming" else {}
-    sales_input = file_input(sales_path, sales_format, mode, **options)
+    if mode == "streaming":
+        lines = table(spark, sf_dir, "lineitem").select(*SALES_COLUMNS)
+        path = land(spark, lines, "parquet")
+        sales_input = file_input(path, "parquet", mode, **batches(spark))
+    else:
+        sales_input = given(sf_dir, "lineitem")
     return pipeline(
         spark,
         label,

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tierflow.plans import preview
 from tierflow.sinks import read_sink
 
-from .documents import file_input, land, pipeline, sales_pipeline, sql_task, staging
+from .documents import SALES_COLUMNS, given, pipeline, sales_pipeline, sql_task, staging
 from .queries_batch import REVENUE_SQL, SOLD_SQL, rounded
-from .tables import ORDERS_SCHEMA, SALES_SCHEMA, orders, plain, prices, sales
+from .tables import GIVEN_ORDERS_SCHEMA, SALES_SCHEMA, plain, prices, table
 
 STATUS_SQL = """
     SELECT o_orderstatus, count(*) AS orders FROM stg_orders GROUP BY o_orderstatus"""
@@ -18,9 +18,8 @@ PRIORITY_SQL = """
     FROM stg_orders GROUP BY o_orderpriority, o_orderstatus"""
 
 
-def _staged_orders(spark, sf_dir, *sinks: str) -> dict:
-    path = land(spark, orders(spark, sf_dir), "parquet")
-    return staging("orders", file_input(path, "parquet"), ORDERS_SCHEMA, *sinks)
+def _staged_orders(sf_dir, *sinks: str) -> dict:
+    return staging("orders", given(sf_dir, "orders"), GIVEN_ORDERS_SCHEMA, *sinks)
 
 
 def _output(flow, stage: str, task: str, kind: str):
@@ -30,7 +29,7 @@ def _output(flow, stage: str, task: str, kind: str):
 
 def _appended(spark, sf_dir, kind: str):
     """Orders run twice into a sink that accumulates."""
-    flow = pipeline(spark, "append", staging=[_staged_orders(spark, sf_dir, kind)])
+    flow = pipeline(spark, "append", staging=[_staged_orders(sf_dir, kind)])
     flow.run()
     flow.run()
     return plain(_output(flow, "staging", "orders", kind))
@@ -38,7 +37,7 @@ def _appended(spark, sf_dir, kind: str):
 
 def _replaced(spark, sf_dir, kind: str):
     """A serving result replaced by one of another schema."""
-    staged = _staged_orders(spark, sf_dir, "view")
+    staged = _staged_orders(sf_dir, "view")
     flow = pipeline(
         spark,
         "overwrite",
@@ -69,14 +68,14 @@ def sink_table_overwrite(spark, sf_dir):
 
 
 def sink_view(spark, sf_dir):
-    flow = pipeline(spark, "viewed", staging=[_staged_orders(spark, sf_dir, "view")])
+    flow = pipeline(spark, "viewed", staging=[_staged_orders(sf_dir, "view")])
     flow.run()
     return plain(spark.table("stg_orders"))
 
 
 def sink_fanout(spark, sf_dir):
     """One result read back from its files, its table and its view."""
-    staged = _staged_orders(spark, sf_dir, "view")
+    staged = _staged_orders(sf_dir, "view")
     task = sql_task("status", "srv_status", STATUS_SQL, "table", "file", "view")
     flow = pipeline(spark, "fanout", staging=[staged], serving=[task])
     view = flow.run().relations["srv_status"]
@@ -112,7 +111,8 @@ def resolve_views(spark, sf_dir):
 
 def _tried(spark, sf_dir, stage: str, task: str):
     flow = sales_pipeline(spark, sf_dir, "tried", mode="streaming")
-    samples = {"sales": sales(spark, sf_dir), "price": prices(spark, sf_dir)}
+    lines = table(spark, sf_dir, "lineitem").select(*SALES_COLUMNS)
+    samples = {"sales": lines, "price": prices(spark, sf_dir)}
     return flow.try_task(stage, task, samples)
 
 
@@ -126,12 +126,11 @@ def try_serving(spark, sf_dir):
 
 def preview_topk(spark, sf_dir):
     """The twenty most-sold parts of a stored result."""
-    path = land(spark, sales(spark, sf_dir), "parquet")
-    text = "SELECT id, sum(amount) AS sold FROM stg_sales GROUP BY id"
+    text = "SELECT l_partkey AS id, sum(l_quantity) AS sold FROM stg_sales GROUP BY id"
     counted = pipeline(
         spark,
         "preview",
-        staging=[staging("sales", file_input(path, "parquet"), SALES_SCHEMA, "view")],
+        staging=[staging("sales", given(sf_dir, "lineitem"), SALES_SCHEMA, "view")],
         serving=[sql_task("sold", "srv_sold", text, "file")],
     )
     counted.run()

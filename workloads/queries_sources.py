@@ -11,7 +11,7 @@ from tierflow.spec import SourceSpec
 from tierflow.workspace import scratch_dir
 
 from .documents import batches, file_input, land, pipeline, staging
-from .tables import ORDERS_SCHEMA, declared, orders, plain, table
+from .tables import GIVEN_ORDERS_SCHEMA, ORDERS_SCHEMA, declared, orders, plain, table
 
 ORDERS = StructType.fromJson(ORDERS_SCHEMA)
 
@@ -46,8 +46,8 @@ def src_json_batch(spark, sf_dir):
 
 
 def src_parquet_batch(spark, sf_dir):
-    path = land(spark, orders(spark, sf_dir), "parquet")
-    return plain(load_source(spark, _file(path, "parquet", ORDERS)))
+    schema = StructType.fromJson(GIVEN_ORDERS_SCHEMA)
+    return load_source(spark, _file(f"{sf_dir}/orders.parquet", "parquet", schema))
 
 
 def src_text_batch(spark, sf_dir):
@@ -78,9 +78,13 @@ def src_file_stream(spark, sf_dir):
 
 
 def src_lake_batch(spark, sf_dir):
-    path = land(spark, orders(spark, sf_dir), "parquet")
-    source = SourceSpec(kind="lake", path=path, read_type="batch", schema=ORDERS)
-    return plain(load_source(spark, source))
+    source = SourceSpec(
+        kind="lake",
+        path=f"{sf_dir}/orders.parquet",
+        read_type="batch",
+        schema=StructType.fromJson(GIVEN_ORDERS_SCHEMA),
+    )
+    return load_source(spark, source)
 
 
 def src_lake_stream(spark, sf_dir):

@@ -22,7 +22,9 @@ def declared(**types: str) -> dict:
     return {"type": "struct", "fields": fields}
 
 
-SALES_SCHEMA = declared(id="long", amount="double", ts="timestamp")
+SALES_SCHEMA = declared(
+    l_partkey="long", l_quantity="double", l_shipdate="timestamp_ntz"
+)
 PRICE_SCHEMA = declared(
     id="long",
     fruit="string",
@@ -31,6 +33,14 @@ PRICE_SCHEMA = declared(
     start_ts="timestamp",
     end_ts="timestamp",
 )
+GIVEN_ORDERS_SCHEMA = declared(
+    o_orderkey="long",
+    o_custkey="long",
+    o_orderstatus="string",
+    o_totalprice="double",
+    o_orderdate="timestamp_ntz",
+    o_orderpriority="string",
+)
 ORDERS_SCHEMA = declared(
     o_orderkey="long",
     o_custkey="long",
