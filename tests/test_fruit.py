@@ -60,13 +60,26 @@ def test_timed_streaming_run_stops(spark, tmp_path, work):
     fruit.write_files(tmp_path)
     document = fruit.document(tmp_path, "golden_timed", "streaming", total_sinks=("table",))
     flow = Pipeline(spark, document, work)
-    trigger = {"processingTime": "1 second"}
-    run = flow.run(await_seconds=8, trigger=trigger)
+    run = flow.run(await_seconds=8)
     assert len(run.queries) == 3
     assert not any(query.isActive for query in run.queries)
     assert stored(flow) == fruit.FILE_TOTALS
 
 
+def test_queries_with_a_trigger_are_left_running(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, "golden_running", "streaming")
+    flow = Pipeline(spark, document, work)
+    run = flow.run(stage="staging", trigger={"processingTime": "1 second"})
+    (query,) = run.queries
+    assert query.isActive
+    query.processAllAvailable()
+    fruit.write_sales_day(tmp_path / "sales", "2022-01-14", 1)
+    query.processAllAvailable()
+    query.stop()
+    assert flow.output("staging", "sales").count() == 28
+
+
 def test_columns_and_types_of_layers(spark, tmp_path, work):
     fruit.write_files(tmp_path)
     flow = Pipeline(spark, fruit.document(tmp_path, "golden_types"), work)

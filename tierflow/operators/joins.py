@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # A dimension measured below this many bytes is sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -83,19 +83,21 @@ def _spread_hot_keys(
     Equal rows in different input partitions get different slices, and a task
     run again gives a row the slice it had before.
     """
-    # Bounded by 1/share rows, see hot_keys.
+    # Bounded by 1/share rows, see hot_keys; both sides share one broadcast.
     hot = F.broadcast(hot_keys(facts, fact_key, share))
     hashed = [c for c, kind in facts.dtypes if not kind.startswith(NESTED)]
     row = F.xxhash64(F.spark_partition_id(), *hashed)
-    # <=> so that facts without a key, which match nothing, are spread as well.
-    facts = _with_slices(facts, hot, F.col(fact_key).eqNullSafe(F.col("__hot")))
+    facts = _with_slices(facts, fact_key, hot)
     facts = facts.withColumn("__slice", F.pmod(row, F.col("__slices")).cast("int"))
-    versions = _with_slices(versions, hot, F.col(version_key) == F.col("__hot"))
+    # A version without a key matches nothing.
+    versions = versions.where(F.col(version_key).isNotNull())
+    versions = _with_slices(versions, version_key, hot)
     numbers = F.sequence(F.lit(0), F.col("__slices") - F.lit(1))
     versions = versions.withColumn("__slice", F.explode(numbers))
     return facts.drop("__slices"), versions.drop("__slices")
 
 
-def _with_slices(df: DataFrame, hot: DataFrame, condition: Column) -> DataFrame:
-    sliced = df.join(hot, condition, "left").drop("__hot")
+def _with_slices(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    # Null-safe, so that facts without a key, which match nothing, are spread too.
+    sliced = df.join(hot, F.col(key).eqNullSafe(F.col("__hot")), "left").drop("__hot")
     return sliced.withColumn("__slices", F.coalesce("__slices", F.lit(1)))

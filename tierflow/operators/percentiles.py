@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import ROUND_CEILING, Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -127,11 +128,8 @@ def _narrow(df: DataFrame, marks: list[_Mark], accuracy: int) -> None:
     below it than the rank; the greatest at four errors above has enough.
     """
     slack = 4 / accuracy
-    shared: dict[tuple, list[_Mark]] = {}
-    for mark in marks:
-        shared.setdefault((mark.column, mark.low, mark.high), []).append(mark)
     sketches, ends = [], []
-    for i, same in enumerate(shared.values()):
+    for i, same in enumerate(_by_bracket(marks)):
         shares = []
         for j, mark in enumerate(same):
             share = (mark.rank - mark.below) / mark.inside
@@ -156,21 +154,35 @@ def _narrow(df: DataFrame, marks: list[_Mark], accuracy: int) -> None:
             raise ArithmeticError(f"rank of {mark.name} fell outside its bracket")
 
 
+def _by_bracket(marks: list[_Mark]) -> list[list[_Mark]]:
+    """Marks that look for their value among the same values of a column."""
+    same: dict[tuple, list[_Mark]] = {}
+    for mark in marks:
+        same.setdefault((mark.column, mark.low, mark.high), []).append(mark)
+    return list(same.values())
+
+
 def _pick(df: DataFrame, marks: list[_Mark]) -> DataFrame:
     """Running counts of the distinct values in each bracket reach its rank."""
+    groups = _by_bracket(marks)
+    within = [group[0].bracket() for group in groups]
     entries = [
         F.when(
-            m.bracket(),
-            F.struct(F.lit(m.name).alias("mark"), F.col(m.column).alias("value")),
+            inside,
+            F.struct(F.lit(i).alias("group"), F.col(groups[i][0].column).alias("value")),
         )
-        for m in marks
+        for i, inside in enumerate(within)
     ]
-    values = df.select(F.explode(F.array_compact(F.array(*entries))).alias("entry"))
-    counts = values.groupBy("entry.mark", "entry.value").agg(F.count("*").alias("rows"))
-    upto = Window.partitionBy("mark").orderBy("value")
+    # The filter leaves few rows to take apart, and reaches the scan.
+    rows = df.where(reduce(Column.__or__, within))
+    values = rows.select(F.explode(F.array(*entries)).alias("entry"))
+    values = values.where(F.col("entry").isNotNull()).select("entry.*")
+    counts = values.groupBy("group", "value").agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy("group").orderBy("value")
     reached = counts.withColumn("reached", F.sum("rows").over(upto))
-    picks = []
-    for m in marks:
-        hit = (F.col("mark") == m.name) & (F.col("reached") >= m.rank - m.below)
-        picks.append(F.min(F.when(hit, F.col("value"))).alias(m.name))
-    return reached.agg(*picks)
+    picks = {}
+    for i, group in enumerate(groups):
+        for m in group:
+            hit = (F.col("group") == i) & (F.col("reached") >= m.rank - m.below)
+            picks[m.name] = F.min(F.when(hit, F.col("value"))).alias(m.name)
+    return reached.agg(*[picks[m.name] for m in marks])

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sinks import store_batch
 from ..sources import load_source, relation_from_rows
 from ..spec import STAGES, PipelineSpec, SourceSpec, SpecError, TaskSpec, parse_pipeline
-from ..streaming import drain, finish, run_for, start_sinks
+from ..streaming import AT_ONCE, DRAIN, finish, run_for, start_sinks
 from ..workspace import Workspace, delete_path, shared_root
 from .namespace import current_schema, drop_schema
 from .preview import PREVIEW_ROWS, json_rows, output_of, preview, try_task
@@ -62,9 +62,9 @@ class Pipeline:
     ) -> Run:
         """Run all layers, one layer, or one task.
 
-        Streaming tasks drain what their sources hold, unless a ``trigger`` is
-        given: then their queries run for ``await_seconds`` each, or are left
-        running and returned.
+        Streaming tasks drain what their sources hold.  With ``await_seconds``
+        the queries of each task run that long and are stopped; with just a
+        ``trigger`` they are left running and returned.
         """
         stages = STAGES if stage is None else (stage,)
         chosen = [
@@ -143,12 +143,13 @@ class Pipeline:
         if df.isStreaming:
             if task.code is not None and not task.streaming:
                 raise SpecError(f"batch task {task.name!r} reads a streaming relation")
-            queries = start_sinks(self.workspace, task, df, trigger or drain)
+            pace = trigger or (DRAIN if await_seconds is None else AT_ONCE)
+            queries = start_sinks(self.workspace, task, df, pace)
             run.queries += queries
-            if trigger is None:
-                finish(queries)
-            elif await_seconds is not None:
+            if await_seconds is not None:
                 run_for(queries, await_seconds)
+            elif trigger is None:
+                finish(queries)
         else:
             df = store_batch(self.spark, self.workspace, task, df)
         run.relations[task.sink.target] = df

@@ -29,7 +29,7 @@ def store_batch(
     if not sink.stored:
         return df
     first = sink.stored[0]
-    if mode == "append" and stored_before(spark, workspace, task, first):
+    if mode != "overwrite" and stored_before(spark, workspace, task, first):
         rows = df
         if task.source is None and ("view" in sink.kinds or len(sink.stored) > 1):
             rows = _copy(spark, workspace, task, df)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..spec import SpecError
-from ..workspace import scratch_dir
+from ..workspace import delete_path, scratch_dir
 from .messages import decode_json
 
 # Fixed value: rows shown of a pasted sample.
@@ -58,7 +58,9 @@ def infer_sample(
     pasted = spark.createDataFrame([(line,) for line in lines], "value string")
     pasted.coalesce(1).write.text(path)
     rows = read_inferred(spark, path, format).limit(limit)
-    return json_rows(rows), rows.schema.json()
+    shown = json_rows(rows), rows.schema.json()
+    delete_path(spark, path)
+    return shown
 
 
 def _json_lines(text: str) -> list[str]:

@@ -1,6 +1,13 @@
 """Streaming sinks and how long their queries run."""
 
-from .queries import drain, finish, run_for
+from .queries import AT_ONCE, DRAIN, finish, run_for
 from .sinks import default_output_mode, start_sinks
 
-__all__ = ["default_output_mode", "drain", "finish", "run_for", "start_sinks"]
+__all__ = [
+    "AT_ONCE",
+    "DRAIN",
+    "default_output_mode",
+    "finish",
+    "run_for",
+    "start_sinks",
+]

@@ -7,7 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql.streaming import StreamingQuery
 
 # Process what is there in as many micro-batches as the source's rate asks for, then end.
-drain = {"availableNow": True}
+DRAIN = {"availableNow": True}
+# Start each micro-batch as soon as the one before it ends.
+AT_ONCE = {"processingTime": "0 seconds"}
 
 
 def finish(queries: Iterable[StreamingQuery]) -> None:

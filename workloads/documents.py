@@ -59,10 +59,12 @@ def sql_task(name: str, target: str, text, *sinks: str, mode: str = "batch") ->
     }
 
 
-def pipeline(spark: SparkSession, label: str, **layers: list) -> Pipeline:
+def pipeline(
+    spark: SparkSession, label: str, conf: dict | None = None, **layers: list
+) -> Pipeline:
     """A pipeline of a name of its own, stored below the shared folder."""
     name = f"{label}_{uuid.uuid4().hex[:12]}"
-    return Pipeline(spark, {"name": name, **layers})
+    return Pipeline(spark, {"name": name, "conf": conf or {}, **layers})
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -106,15 +108,19 @@ def sales_pipeline(
     folder of it read as a stream.
     """
     price_path = land(spark, prices(spark, sf_dir), "csv")
+    conf = {}
     if mode == "streaming":
         lines = table(spark, sf_dir, "lineitem").select(*SALES_COLUMNS)
         path = land(spark, lines, "parquet")
         sales_input = file_input(path, "parquet", mode, **batches(spark))
+        # The state keeps its number of partitions: one per core of the cluster.
+        conf["spark.sql.shuffle.partitions"] = parallelism(spark)
     else:
         sales_input = given(sf_dir, "lineitem")
     return pipeline(
         spark,
         label,
+        conf,
         staging=[
             staging("sales", sales_input, SALES_SCHEMA, *staged_sinks),
             staging("price", file_input(price_path, "csv"), PRICE_SCHEMA, "view"),
