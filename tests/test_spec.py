@@ -132,3 +132,11 @@ def test_load_from_path(spark, tmp_path):
     path = tmp_path / "pipeline.json"
     path.write_text(json.dumps(minimal(), indent=2))
     assert load_pipeline(spark, str(path)).name == "p"
+
+
+def test_schema_as_json_text():
+    text = json.dumps(fruit.SALES_SCHEMA)
+    source = parse_pipeline(minimal(schema=text)).staging[0].source
+    assert source.schema.fieldNames() == ["ID", "Amount", "TS"]
+    with pytest.raises(SpecError, match="schema"):
+        parse_pipeline(minimal(schema="ID int"))

@@ -205,7 +205,7 @@ def _source(raw: Mapping[str, Any]) -> SourceSpec:
     location = merged.pop("location", None)
     return SourceSpec(
         kind=str(kind),
-        schema=StructType.fromJson(schema) if isinstance(schema, Mapping) else schema,
+        schema=_schema(raw["name"], schema),
         format=merged.pop("format", None),
         path=merged.pop("path", None) or location,
         read_type=_read_type(read_type) if read_type else None,
@@ -214,6 +214,17 @@ def _source(raw: Mapping[str, Any]) -> SourceSpec:
     )
 
 
+def _schema(name: str, schema: Any) -> StructType | None:
+    """Spark's JSON form, parsed or as the text a sample's inference returns."""
+    if schema is None or isinstance(schema, StructType):
+        return schema
+    try:
+        parsed = json.loads(schema) if isinstance(schema, str) else schema
+        return StructType.fromJson(parsed)
+    except (ValueError, KeyError, TypeError) as error:
+        raise SpecError(f"task {name!r} declares no readable schema") from error
+
+
 def _option(value: Any) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 

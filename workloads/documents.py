@@ -50,11 +50,12 @@ def staging(name: str, source: dict, schema: dict, *sinks: str) -> dict:
     return {"name": name, "input": source, "schema": schema, "output": output}
 
 
-def sql_task(name: str, target: str, text, *sinks: str, mode: str = "batch") -> dict:
+def sql_task(name: str, target: str, code, *sinks: str, mode: str = "batch") -> dict:
+    """A task of SQL text, or of a Python callable."""
     return {
         "name": name,
         "type": mode,
-        "code": {"lang": "sql", "sql": text},
+        "code": code if callable(code) else {"lang": "sql", "sql": code},
         "output": {"target": target, "type": list(sinks)},
     }
 
@@ -93,6 +94,11 @@ def batches(spark: SparkSession) -> dict[str, str]:
     return {"maxFilesPerTrigger": str(max(1, parallelism(spark) * 3 // 8))}
 
 
+def streaming_conf(spark: SparkSession) -> dict:
+    """Streaming state keeps its number of partitions: one per core of the cluster."""
+    return {"spark.sql.shuffle.partitions": parallelism(spark)}
+
+
 def sales_pipeline(
     spark: SparkSession,
     sf_dir: str,
@@ -101,6 +107,8 @@ def sales_pipeline(
     sold_sinks: tuple[str, ...] = ("file", "view"),
     total_sinks: tuple[str, ...] = ("table", "file"),
     staged_sinks: tuple[str, ...] = ("file", "view"),
+    join_code=JOIN_SQL,
+    total_code=TOTAL_SQL,
 ) -> Pipeline:
     """Sales joined to the price of their time, then totalled.
 
@@ -113,8 +121,7 @@ def sales_pipeline(
         lines = table(spark, sf_dir, "lineitem").select(*SALES_COLUMNS)
         path = land(spark, lines, "parquet")
         sales_input = file_input(path, "parquet", mode, **batches(spark))
-        # The state keeps its number of partitions: one per core of the cluster.
-        conf["spark.sql.shuffle.partitions"] = parallelism(spark)
+        conf = streaming_conf(spark)
     else:
         sales_input = given(sf_dir, "lineitem")
     return pipeline(
@@ -125,6 +132,6 @@ def sales_pipeline(
             staging("sales", sales_input, SALES_SCHEMA, *staged_sinks),
             staging("price", file_input(price_path, "csv"), PRICE_SCHEMA, "view"),
         ],
-        standard=[sql_task("sold", "std_sold", JOIN_SQL, *sold_sinks, mode=mode)],
-        serving=[sql_task("total", "srv_total", TOTAL_SQL, *total_sinks, mode=mode)],
+        standard=[sql_task("sold", "std_sold", join_code, *sold_sinks, mode=mode)],
+        serving=[sql_task("total", "srv_total", total_code, *total_sinks, mode=mode)],
     )

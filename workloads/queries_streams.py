@@ -4,79 +4,149 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tierflow import operators as ops
 from tierflow.sinks import read_sink
 
-from .documents import batches, file_input, land, pipeline, sales_pipeline, staging
+from .documents import (
+    batches,
+    file_input,
+    land,
+    pipeline,
+    sales_pipeline,
+    sql_task,
+    staging,
+    streaming_conf,
+)
 from .queries_batch import REVENUE_SQL, SOLD_SQL, rounded
 from .tables import ORDERS_SCHEMA, orders, plain
 
 
-def _run(spark, sf_dir, label: str, **sinks):
-    flow = sales_pipeline(spark, sf_dir, label, mode="streaming", **sinks)
-    flow.run()
-    return flow
-
-
 def _output(flow, stage: str, task: str, kind: str):
     return read_sink(flow.spark, flow.workspace, flow.spec.task(stage, task), kind)
 
 
-def _sold(spark, sf_dir, label: str, kind: str):
-    """The standard layer of the streaming pipeline, stored in one kind of sink."""
-    flow = sales_pipeline(
-        spark, sf_dir, label, mode="streaming", sold_sinks=(kind,), staged_sinks=("view",)
+def _orders_stream(spark, sf_dir, *sinks: str, serving=()):
+    """Orders landed as files and staged as a stream."""
+    path = land(spark, orders(spark, sf_dir), "json")
+    source = file_input(path, "json", "streaming", **batches(spark))
+    return pipeline(
+        spark,
+        "orders",
+        streaming_conf(spark),
+        staging=[staging("orders", source, ORDERS_SCHEMA, *sinks)],
+        serving=list(serving),
     )
-    flow.run(stage="standard")
-    return plain(_output(flow, "standard", "sold", kind))
 
 
-def _totals(spark, sf_dir, label: str, kind: str):
-    """The serving layer of the streaming pipeline, over views all the way."""
-    flow = _run(
-        spark,
-        sf_dir,
-        label,
-        staged_sinks=("view",),
-        sold_sinks=("view",),
-        total_sinks=(kind,),
-    )
-    return rounded(_output(flow, "serving", "total", kind), 2, "total")
+def _staged(spark, sf_dir, kind: str):
+    flow = _orders_stream(spark, sf_dir, kind)
+    flow.run()
+    return plain(_output(flow, "staging", "orders", kind))
+
+
+def _counted(spark, sf_dir, kind: str):
+    text = """
+        SELECT o_orderpriority, count(*) AS orders, max(o_totalprice) AS dearest
+        FROM stg_orders GROUP BY o_orderpriority"""
+    task = sql_task("count", "srv_count", text, kind, mode="streaming")
+    flow = _orders_stream(spark, sf_dir, "view", serving=[task])
+    flow.run()
+    return _output(flow, "serving", "count", kind)
 
 
 def sink_stream_file_append(spark, sf_dir):
-    return _sold(spark, sf_dir, "stream_file", "file")
+    return _staged(spark, sf_dir, "file")
 
 
 def sink_stream_table_append(spark, sf_dir):
-    return _sold(spark, sf_dir, "stream_table", "table")
+    return _staged(spark, sf_dir, "table")
 
 
 def sink_stream_file_complete(spark, sf_dir):
-    return _totals(spark, sf_dir, "complete_file", "file")
+    return _counted(spark, sf_dir, "file")
 
 
 def sink_stream_table_complete(spark, sf_dir):
-    return _totals(spark, sf_dir, "complete_table", "table")
+    return _counted(spark, sf_dir, "table")
+
+
+def _join_valid_price(spark):
+    """Task code: the temporal join operator over the staged views."""
+    sales = spark.table("stg_sales").withColumn(
+        "ts", F.col("l_shipdate").cast("timestamp")
+    )
+    joined = ops.temporal_left_join(
+        sales,
+        spark.table("stg_price"),
+        on=("l_partkey", "id"),
+        at="ts",
+        valid=("start_ts", "end_ts"),
+    )
+    return joined.select(
+        "version.fruit",
+        "version.id",
+        F.col("fact.l_quantity").alias("amount"),
+        "version.price",
+        "fact.ts",
+    )
+
+
+def _total_by_part(spark):
+    """Task code: revenue per part, greatest first."""
+    return ops.revenue_by(spark.table("std_sold"), ["id", "fruit"], "amount", "price")
 
 
 def stream_temporal_join(spark, sf_dir):
-    """Streaming sales against static prices."""
-    return _sold(spark, sf_dir, "stream_join", "file")
+    """Streaming sales against static prices, by the operator."""
+    flow = sales_pipeline(
+        spark,
+        sf_dir,
+        "stream_join",
+        mode="streaming",
+        staged_sinks=("view",),
+        sold_sinks=("file",),
+        join_code=_join_valid_price,
+    )
+    flow.run(stage="standard")
+    return plain(_output(flow, "standard", "sold", "file"))
 
 
 def stream_revenue_complete(spark, sf_dir):
     """A sorted streaming aggregate, replaced with every micro-batch."""
-    return _totals(spark, sf_dir, "stream_total", "file")
+    flow = sales_pipeline(
+        spark,
+        sf_dir,
+        "stream_total",
+        mode="streaming",
+        staged_sinks=("view",),
+        sold_sinks=("view",),
+        total_sinks=("file",),
+        join_code=_join_valid_price,
+        total_code=_total_by_part,
+    )
+    flow.run(stage="serving")
+    return rounded(_output(flow, "serving", "total", "file"), 2, "total")
 
 
 def stream_view_chain(spark, sf_dir):
-    """Serving reads a streaming view over a streaming view."""
-    return _totals(spark, sf_dir, "view_chain", "table")
+    """Serving SQL reads a streaming view over a streaming view."""
+    flow = sales_pipeline(
+        spark,
+        sf_dir,
+        "view_chain",
+        mode="streaming",
+        staged_sinks=("view",),
+        sold_sinks=("view",),
+        total_sinks=("table",),
+    )
+    flow.run()
+    return rounded(_output(flow, "serving", "total", "table"), 2, "total")
 
 
 def layers_streaming(spark, sf_dir):
     """All layers as streams, every layer stored."""
-    flow = _run(spark, sf_dir, "streaming", total_sinks=("table", "file"))
+    flow = sales_pipeline(spark, sf_dir, "streaming", mode="streaming")
+    flow.run()
     return rounded(_output(flow, "serving", "total", "table"), 2, "total")
 
 
@@ -134,11 +204,15 @@ QUERIES = {
     )
 }
 
+_COUNT_SQL = """
+    SELECT o_orderpriority, count(*) AS orders, max(o_totalprice) AS dearest
+    FROM orders GROUP BY o_orderpriority"""
+
 ORACLES = {
-    "sink_stream_file_append": SOLD_SQL,
-    "sink_stream_table_append": SOLD_SQL,
-    "sink_stream_file_complete": REVENUE_SQL,
-    "sink_stream_table_complete": REVENUE_SQL,
+    "sink_stream_file_append": "SELECT * FROM orders",
+    "sink_stream_table_append": "SELECT * FROM orders",
+    "sink_stream_file_complete": _COUNT_SQL,
+    "sink_stream_table_complete": _COUNT_SQL,
     "stream_temporal_join": SOLD_SQL,
     "stream_revenue_complete": REVENUE_SQL,
     "stream_view_chain": REVENUE_SQL,
