@@ -103,6 +103,21 @@ def test_broadcast_is_decided_by_measured_size(spark):
     assert ops.broadcast_fits(df.where("s = ''"), 0)
 
 
+def test_streaming_facts_against_static_versions(spark, skewed, tmp_path):
+    facts, versions = frames(spark, skewed)
+    landing, out = str(tmp_path / "facts"), str(tmp_path / "out")
+    facts.write.parquet(landing)
+    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2)
+    stream = stream.parquet(landing)
+    for n, options in enumerate(({}, {"broadcast_bytes": 10})):
+        df = joined(stream, versions, **options)
+        writer = df.writeStream.trigger(availableNow=True)
+        writer = writer.option("checkpointLocation", str(tmp_path / f"chk{n}"))
+        writer.format("parquet").start(f"{out}{n}").awaitTermination()
+        found = spark.read.parquet(f"{out}{n}").collect()
+        assert sorted(map(tuple, found), key=str) == brute_force(*skewed)
+
+
 # --- percentiles -------------------------------------------------------------
 
 

@@ -264,6 +264,25 @@ def test_scoped_views_drop_what_they_made(spark):
     assert not spark.catalog.tableExists("only_here")
 
 
+def test_preview_of_a_view_replaced_by_another_pipeline(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    mine = Pipeline(spark, fruit.document(tmp_path, "mine"), work)
+    mine.run()
+    spark.range(2).createOrReplaceTempView("stg_sales")
+    assert len(mine.preview("staging", "sales", 100)[0]) == 21
+    # A pipeline that has published nothing reads what is stored.
+    spark.catalog.dropTempView("stg_sales")
+    again = Pipeline(spark, fruit.document(tmp_path, "mine"), work)
+    assert again.output("staging", "sales").count() == 21
+
+
+def test_preview_before_any_run(spark, tmp_path, work):
+    document = fruit.document(tmp_path, "never_run", sold_sinks=("view",))
+    spark.catalog.dropTempView("std_fruit_sales")
+    with pytest.raises(SpecError, match="has not run"):
+        Pipeline(spark, document, work).preview("standard", "join")
+
+
 # --- storage -----------------------------------------------------------------------
 
 

@@ -66,6 +66,19 @@ def test_empty_folder_gives_declared_schema(spark, tmp_path):
     assert df.columns == ["ID", "Amount", "TS"]
 
 
+def test_options_replace_defaults(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1;2;2022-01-01 00:00:00\n")
+    source = SourceSpec(
+        kind="filestore",
+        format="csv",
+        path=str(tmp_path),
+        read_type="batch",
+        schema=SALES,
+        options={"header": "false", "sep": ";"},
+    )
+    assert [(r["ID"], r["Amount"]) for r in load_source(spark, source).collect()] == [(1, 2)]
+
+
 def test_batch_and_stream_differ_by_read_type_only(spark, tmp_path):
     def load(read_type):
         return load_source(

@@ -41,7 +41,7 @@ def scoped_views(
     spark: SparkSession, relations: Mapping[str, DataFrame]
 ) -> Iterator[None]:
     """Publish relations as views for the block, then put back what was there."""
-    before = {name: spark.table(name) for name in relations if _is_view(spark, name)}
+    before = {name: spark.table(name) for name in relations if is_view(spark, name)}
     for name, relation in relations.items():
         relation.createOrReplaceTempView(name)
     try:
@@ -54,7 +54,8 @@ def scoped_views(
                 spark.catalog.dropTempView(name)
 
 
-def _is_view(spark: SparkSession, name: str) -> bool:
+def is_view(spark: SparkSession, name: str) -> bool:
+    """Whether the session has a temporary view of this name."""
     quoted = "`" + name.replace("`", "``") + "`"
     if not spark.catalog.tableExists(quoted):
         return False

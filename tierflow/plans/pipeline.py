@@ -52,6 +52,9 @@ class Pipeline:
             working_dir=working_dir or shared_root(spark),
             storage_format=storage_format,
         )
+        # Relations this object published as views, which other pipelines of
+        # the session may have replaced since.
+        self._views: dict[str, DataFrame] = {}
 
     def run(
         self,
@@ -90,13 +93,16 @@ class Pipeline:
         """First rows of a task's output as JSON objects, and their DataFrame."""
         with self._session():
             chosen = self.spec.task(stage, task)
-            rows = preview(self.spark, self.workspace, chosen, limit)
+            view = self._views.get(chosen.sink.target)
+            rows = preview(self.spark, self.workspace, chosen, limit, view=view)
             return json_rows(rows), rows
 
     def output(self, stage: str, task: str) -> DataFrame:
         """The whole output of a task."""
         with self._session():
-            return output_of(self.spark, self.workspace, self.spec.task(stage, task))
+            chosen = self.spec.task(stage, task)
+            view = self._views.get(chosen.sink.target)
+            return output_of(self.spark, self.workspace, chosen, view)
 
     def try_task(
         self,
@@ -154,7 +160,7 @@ class Pipeline:
             df = store_batch(self.spark, self.workspace, task, df)
         run.relations[task.sink.target] = df
         if "view" in task.sink.kinds:
-            df.createOrReplaceTempView(task.sink.target)
+            self._publish(task.sink.target, df)
 
     def _resolve(
         self, stage: str, known: dict[str, DataFrame]
@@ -165,9 +171,13 @@ class Pipeline:
                 target = task.sink.target
                 if "view" in task.sink.kinds and target not in known:
                     known[target] = self._build(task)
-                    known[target].createOrReplaceTempView(target)
+                    self._publish(target, known[target])
         return known
 
+    def _publish(self, target: str, df: DataFrame) -> None:
+        df.createOrReplaceTempView(target)
+        self._views[target] = df
+
     def _build(self, task: TaskSpec) -> DataFrame:
         if task.source is not None:
             return load_source(self.spark, task.source)

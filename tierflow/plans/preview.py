@@ -12,7 +12,7 @@ from ..sources import relation_from_rows
 from ..sources.samples import json_rows
 from ..spec import PipelineSpec, SpecError, TaskSpec
 from ..workspace import Workspace
-from .namespace import scoped_views
+from .namespace import is_view, scoped_views
 from .tasks import run_code
 
 # Fixed value: rows shown when the caller names no limit.
@@ -25,12 +25,10 @@ def preview(
     task: TaskSpec,
     limit: int = PREVIEW_ROWS,
     order: tuple = (),
+    view: DataFrame | None = None,
 ) -> DataFrame:
-    """First rows of a task's output: its view, else its table, else its files.
-
-    A streaming view cannot be read as rows, so stored output goes before it.
-    """
-    return first_rows(output_of(spark, workspace, task), limit, *order)
+    """First rows of :func:`output_of` a task."""
+    return first_rows(output_of(spark, workspace, task, view), limit, *order)
 
 
 def preview_rows(
@@ -43,15 +41,30 @@ def preview_rows(
     return json_rows(preview(spark, workspace, task, limit))
 
 
-def output_of(spark: SparkSession, workspace: Workspace, task: TaskSpec) -> DataFrame:
+def output_of(
+    spark: SparkSession,
+    workspace: Workspace,
+    task: TaskSpec,
+    view: DataFrame | None = None,
+) -> DataFrame:
+    """A task's output: its view, else its table, else its files.
+
+    ``view`` is the relation the task published; without it the session's view
+    of that name counts.  A streaming view cannot be read as rows, so what the
+    task stored is read instead.
+    """
+    target = task.sink.target
     if "view" in task.sink.kinds:
-        view = spark.table(task.sink.target)
-        if not view.isStreaming:
+        if view is None and is_view(spark, target):
+            view = spark.table(target)
+        if view is not None and not view.isStreaming:
             return view
     for kind in ("table", "file"):
         if kind in task.sink.kinds:
             return read_sink(spark, workspace, task, kind)
-    raise SpecError(f"streaming view {task.sink.target!r} keeps no rows to show")
+    if view is None:
+        raise SpecError(f"task {task.name!r} has not run, its view does not exist")
+    raise SpecError(f"streaming view {target!r} keeps no rows to show")
 
 
 def try_task(

@@ -87,11 +87,11 @@ def land(spark: SparkSession, df: DataFrame, format: str, path: str | None = Non
 
 
 def batches(spark: SparkSession) -> dict[str, str]:
-    """Source options that give every core a few files of a micro-batch.
+    """Source options that give every other core a file of a micro-batch.
 
-    A table spread over the cores by :func:`land` makes three batches.
+    A table spread over the cores by :func:`land` makes two batches.
     """
-    return {"maxFilesPerTrigger": str(max(1, parallelism(spark) * 3 // 8))}
+    return {"maxFilesPerTrigger": str(max(1, parallelism(spark) // 2))}
 
 
 def streaming_conf(spark: SparkSession) -> dict:
