@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow import operators as ops
+from tierflow.operators import percentiles
 from tierflow.operators.joins import hot_keys
 
 DAY = datetime(2024, 1, 1)
@@ -150,10 +151,40 @@ def test_exact_bounds_equal_sorting(spark, kind, shares):
     at_once = ops.exact_percentile_bounds(df, ["x"], *shares)
     assert at_once.first().asDict() == expected
     # A small window makes the same bounds come from narrowing brackets.
-    narrowed = ops.exact_percentile_bounds(df, ["x"], *shares, accuracy=100, window_rows=50)
+    narrowed = ops.exact_percentile_bounds(
+        df, ["x"], *shares, sketch_size=200, window_rows=50
+    )
     assert narrowed.first().asDict() == expected
 
 
+def test_brackets_narrow_whatever_the_order_of_rows(spark):
+    """Partitions that each hold a range of values, as clustered files do."""
+    df = spark.range(0, 400_000, 1, 40).select(F.col("id").cast("double").alias("x"))
+    marks = percentiles._marks(df, ["x"], 0.001, 0.999)
+    for rows_left in (400_000 * 0.2, 400_000 * 0.04):
+        marks = percentiles._narrow(df, marks, 200)
+        for mark in marks:
+            assert mark.inside < rows_left
+            assert mark.below < mark.rank <= mark.below + mark.inside
+            assert mark.low <= mark.rank - 1 <= mark.high
+    found = ops.exact_percentile_bounds(df, ["x"], sketch_size=200, window_rows=1000)
+    assert found.first().asDict() == {"x_lower_bound": 399.0, "x_upper_bound": 399_599.0}
+
+
+def test_bracket_that_misses_its_rank_is_not_taken(spark, monkeypatch):
+    df = spark.range(10_000).select(F.col("id").cast("double").alias("x"))
+    whole = percentiles._marks(df, ["x"], 0.5, 0.9)
+    # A sketch of the wrong rows puts both ends far from the rank.
+    monkeypatch.setattr(
+        percentiles.F,
+        "kll_sketch_get_quantile_double",
+        lambda sketch, share: F.lit(0.0) * share,
+    )
+    assert percentiles._narrow(df, whole, 200) == whole
+    found = ops.exact_percentile_bounds(df, ["x"], 0.5, 0.9, window_rows=10)
+    assert found.first().asDict() == {"x_lower_bound": 4999.0, "x_upper_bound": 8999.0}
+
+
 def test_exact_bounds_of_no_rows(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert ops.exact_percentile_bounds(df, ["x"]).first().asDict() == {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import ROUND_CEILING, Decimal
 from functools import reduce
 
@@ -15,11 +15,13 @@ LOWER = 0.001
 UPPER = 0.999
 ACCURACY = 10_000
 
-# Sketches are merged in this many groups, so no task reads all of them.
+# Size of a mergeable quantile sketch; it holds a few times as many values.
+SKETCH_SIZE = 8192
+# Sketches of input partitions are merged in this many groups, then together.
 SKETCH_GROUPS = 256
 # Values sorted by one task while picking an exact percentile.
 WINDOW_ROWS = 1_000_000
-# Each round keeps less than a thousandth of the rows, so this many always do.
+# Each round keeps well under a hundredth of the rows in a bracket.
 ROUNDS = 5
 
 
@@ -60,9 +62,12 @@ def trim_outliers(
     return df.where(within)
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Mark:
-    """One percentile sought: its rank, and the values it is known to lie between."""
+    """One percentile sought: its rank, and the values it is known to lie between.
+
+    ``below`` rows are less than ``low``; ``inside`` rows are in the bracket.
+    """
 
     name: str
     column: str
@@ -88,7 +93,7 @@ def exact_percentile_bounds(
     columns: Sequence[str],
     lower: float = LOWER,
     upper: float = UPPER,
-    accuracy: int = ACCURACY,
+    sketch_size: int = SKETCH_SIZE,
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """The bounds of :func:`percentile_bounds`, exact and the same on every run.
@@ -105,11 +110,14 @@ def exact_percentile_bounds(
         wide = [m for m in marks if m.inside > window_rows and not m.settled]
         if not wide:
             break
-        _narrow(df, wide, accuracy)
+        narrowed = {m.name: m for m in _narrow(df, wide, sketch_size)}
+        marks = [narrowed.get(m.name, m) for m in marks]
     return _pick(df, marks)
 
 
-def _marks(df, columns, lower, upper) -> list[_Mark]:
+def _marks(
+    df: DataFrame, columns: Sequence[str], lower: float, upper: float
+) -> list[_Mark]:
     rows = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     marks = []
     for c in columns:
@@ -120,38 +128,47 @@ def _marks(df, columns, lower, upper) -> list[_Mark]:
     return marks
 
 
-def _narrow(df: DataFrame, marks: list[_Mark], accuracy: int) -> None:
-    """Move the ends of each bracket closer around its rank, and recount.
+def _narrow(df: DataFrame, marks: list[_Mark], sketch_size: int) -> list[_Mark]:
+    """Each mark with the ends of its bracket closer around its rank.
 
-    A sketch's rank error is ``1 / accuracy`` of its group's rows.  The least
-    value found at four errors below the rank, over all groups, has fewer rows
-    below it than the rank; the greatest at four errors above has enough.
+    The ends come from a sketch, some way below and above the rank; counting
+    the rows below and between them shows whether they hold the rank.  A mark
+    whose new ends do not is returned as it was.
     """
-    slack = 4 / accuracy
-    sketches, ends = [], []
-    for i, same in enumerate(_by_bracket(marks)):
-        shares = []
-        for j, mark in enumerate(same):
-            share = (mark.rank - mark.below) / mark.inside
-            shares += [max(0.0, share - slack), min(1.0, share + slack)]
-            ends.append(F.min(F.col(f"q{i}")[2 * j]).alias(f"{mark.name}_low"))
-            ends.append(F.max(F.col(f"q{i}")[2 * j + 1]).alias(f"{mark.name}_high"))
-        inside = F.when(same[0].bracket(), F.col(same[0].column))
-        sketches.append(F.percentile_approx(inside, shares, accuracy).alias(f"q{i}"))
-    group = F.spark_partition_id() % SKETCH_GROUPS
-    found = df.groupBy(group.alias("g")).agg(*sketches).agg(*ends).first()
-    for mark in marks:
-        mark.low, mark.high = found[f"{mark.name}_low"], found[f"{mark.name}_high"]
+    # Over three times the rank error published for sketches of this size.
+    slack = 10 / sketch_size
+    groups = _by_bracket(marks)
+    rows = df.where(_any_bracket(groups))
+    sketches, merged, ends = [], [], []
+    for i, group in enumerate(groups):
+        value = F.when(group[0].bracket(), F.col(group[0].column)).cast("double")
+        sketch = F.kll_sketch_agg_double(value, F.lit(sketch_size))
+        sketches.append(sketch.alias(f"q{i}"))
+        merge = F.kll_merge_agg_double(F.col(f"q{i}"), F.lit(sketch_size))
+        merged.append(merge.alias(f"q{i}"))
+        for m in group:
+            share = (m.rank - m.below) / m.inside
+            for end, at in (("low", max(0.0, share - slack)), ("high", min(1.0, share + slack))):
+                quantile = F.kll_sketch_get_quantile_double(F.col(f"q{i}"), F.lit(at))
+                ends.append(quantile.alias(f"{m.name}_{end}"))
+    part = (F.spark_partition_id() % SKETCH_GROUPS).alias("part")
+    found = rows.groupBy(part).agg(*sketches).agg(*merged).select(*ends).first()
+    closer = [
+        replace(m, low=found[f"{m.name}_low"], high=found[f"{m.name}_high"])
+        for m in marks
+    ]
     counts = []
-    for i, mark in enumerate(marks):
-        value = F.col(mark.column)
-        counts.append(F.count_if(value < mark.low).alias(f"below{i}"))
-        counts.append(F.count_if(mark.bracket()).alias(f"inside{i}"))
-    found = df.agg(*counts).first()
-    for i, mark in enumerate(marks):
-        mark.below, mark.inside = found[f"below{i}"], found[f"inside{i}"]
-        if not mark.below < mark.rank <= mark.below + mark.inside:
-            raise ArithmeticError(f"rank of {mark.name} fell outside its bracket")
+    for old, new in zip(marks, closer):
+        under = old.bracket() & (F.col(new.column) < new.low)
+        counts.append(F.count_if(under).alias(f"{new.name}_under"))
+        counts.append(F.count_if(new.bracket()).alias(f"{new.name}_inside"))
+    found = rows.agg(*counts).first()
+    result = []
+    for old, new in zip(marks, closer):
+        below = old.below + found[f"{new.name}_under"]
+        new = replace(new, below=below, inside=found[f"{new.name}_inside"])
+        result.append(new if below < new.rank <= below + new.inside else old)
+    return result
 
 
 def _by_bracket(marks: list[_Mark]) -> list[list[_Mark]]:
@@ -162,19 +179,22 @@ def _by_bracket(marks: list[_Mark]) -> list[list[_Mark]]:
     return list(same.values())
 
 
+def _any_bracket(groups: list[list[_Mark]]) -> Column:
+    """Rows that matter to some mark; narrow brackets reach the scan as a filter."""
+    return reduce(Column.__or__, [group[0].bracket() for group in groups])
+
+
 def _pick(df: DataFrame, marks: list[_Mark]) -> DataFrame:
     """Running counts of the distinct values in each bracket reach its rank."""
     groups = _by_bracket(marks)
-    within = [group[0].bracket() for group in groups]
     entries = [
         F.when(
-            inside,
-            F.struct(F.lit(i).alias("group"), F.col(groups[i][0].column).alias("value")),
+            group[0].bracket(),
+            F.struct(F.lit(i).alias("group"), F.col(group[0].column).alias("value")),
         )
-        for i, inside in enumerate(within)
+        for i, group in enumerate(groups)
     ]
-    # The filter leaves few rows to take apart, and reaches the scan.
-    rows = df.where(reduce(Column.__or__, within))
+    rows = df.where(_any_bracket(groups))
     values = rows.select(F.explode(F.array(*entries)).alias("entry"))
     values = values.where(F.col("entry").isNotNull()).select("entry.*")
     counts = values.groupBy("group", "value").agg(F.count("*").alias("rows"))
