@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow import operators as ops
-from tierflow.operators import percentiles
+from tierflow.operators import joins, percentiles
 from tierflow.operators.joins import hot_keys
 
 DAY = datetime(2024, 1, 1)
@@ -104,6 +104,88 @@ def test_broadcast_is_decided_by_measured_size(spark):
     assert ops.broadcast_fits(df.where("s = ''"), 0)
 
 
+def crowd(overlapping: bool):
+    """Versions of which a third belong to one key, and facts all over their time."""
+    rng = random.Random(11)
+    versions = []
+    for key, count in ((1, 300), (2, 200), (3, 3), (None, 100)):
+        start = DAY
+        for _ in range(count):
+            end = start + timedelta(minutes=rng.randrange(1, 400))
+            until = datetime(2099, 12, 31) if overlapping and rng.random() < 0.2 else end
+            versions.append((key, f"v{len(versions)}", start, until))
+            start = end + timedelta(minutes=rng.randrange(0, 3))
+    versions += [(1, "empty", DAY, DAY), (1, "swapped", DAY + timedelta(days=9), DAY)]
+    versions += [(1, "no end", DAY, None), (1, "no start", None, DAY)]
+    facts = [
+        (n, rng.choice([1, 1, 1, 2, 3, 4, None]), DAY + timedelta(minutes=rng.randrange(-99, 99999)))
+        for n in range(400)
+    ]
+    facts += [(1000 + n, k, s) for n, (k, _, s, _) in enumerate(versions) if s]
+    facts += [(3000 + n, k, e) for n, (k, _, _, e) in enumerate(versions) if e]
+    facts.append((5000, 1, None))
+    return facts, versions
+
+
+def crowd_brute_force(facts, versions):
+    expected = []
+    for n, key, at in facts:
+        valid = [
+            v
+            for k, v, s, e in versions
+            if None not in (k, s, e, at) and k == key and s <= at < e
+        ]
+        expected += [(n, key, v) for v in valid] or [(n, key, None)]
+    return sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("overlapping", [False, True])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 10, "hot_share": 0.05}])
+def test_crowded_keys_equal_brute_force(spark, time, overlapping, options):
+    case = crowd(overlapping)
+    left, right = frames(spark, case)
+    left = left.withColumn("at", F.col("at").cast(time))
+    right = right.withColumns({c: F.col(c).cast(time) for c in ("start", "until")})
+    df = joined(left, right, **options)
+    assert "__slot" in plan_of(df)
+    assert sorted(map(tuple, df.collect()), key=str) == crowd_brute_force(*case)
+
+
+def test_slots_bound_the_rows_of_a_crowded_key(spark):
+    """Open-ended versions overlap, and still are not repeated per slot."""
+    for overlapping in (False, True):
+        _, right = frames(spark, crowd(overlapping))
+        ticks = joins._ticks("timestamp", "timestamp", "timestamp")
+        span = ("start", "until")
+        slots = joins._slots_of_crowded_keys(right, "id", span, ticks, 64)
+        assert {r["__crowded"] for r in slots.collect()} == {1, 2}
+        repeated = joins._with_slots(right, "id", span, slots, ticks)
+        assert right.count() <= repeated.count() <= 3 * right.count()
+
+
+def test_join_leaves_no_columns_of_its_own(spark):
+    left, right = frames(spark, crowd(False))
+    df = ops.temporal_left_join(
+        left,
+        right,
+        on=("key", "id"),
+        at="at",
+        valid=("start", "until"),
+        broadcast_bytes=10,
+    )
+    assert df.columns == ["n", "key", "at", "id", "name", "start", "until"]
+    assert df.select("fact.*").columns == ["n", "key", "at"]
+
+
+def test_times_order_as_they_compare(spark):
+    times = [datetime(1969, 12, 31, 23, 59, 59, 999999), DAY, DAY + timedelta(microseconds=1)]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    seconds = [r[0] for r in df.select(joins._ticks("timestamp_ntz")("t")).collect()]
+    assert seconds == sorted(set(seconds))
+    assert joins._ticks("string", "string", "string") is None
+
+
 def test_streaming_facts_against_static_versions(spark, skewed, tmp_path):
     facts, versions = frames(spark, skewed)
     landing, out = str(tmp_path / "facts"), str(tmp_path / "out")

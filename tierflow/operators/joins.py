@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A dimension measured below this many bytes is sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with at least this share of the facts is hot; 1/share of them can exist.
 HOT_SHARE = 0.001
+# Versions of one key a fact may be compared with one by one.
+FEW_VERSIONS = 64
+# Share of all versions that makes a key crowded as well; 1/share of them can exist.
+CROWDED_SHARE = 0.00001
 # Types left out of a row's hash, which cannot take all of them.
 NESTED = ("array", "map", "struct", "variant")
 
@@ -20,6 +26,7 @@ def temporal_left_join(
     valid: tuple[str, str],
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_share: float = HOT_SHARE,
+    few_versions: int = FEW_VERSIONS,
 ) -> DataFrame:
     """Left join of each fact to the dimension rows valid at its time.
 
@@ -31,7 +38,9 @@ def temporal_left_join(
     A dimension measured to be small is broadcast and the facts do not move.
     A larger one is joined by a shuffle on the key, where the rows of every hot
     key are spread over as many tasks as the key's share calls for.  A
-    streaming fact side is shuffled one micro-batch at a time, unsalted.
+    streaming fact side is shuffled one micro-batch at a time, not spread.
+    Where a key has many versions its time is cut into slots, so that a fact
+    meets the few versions of its slot.
     """
     fact_key, version_key = on
     start, end = valid
@@ -40,23 +49,52 @@ def temporal_left_join(
         & (F.col(f"fact.{at}") >= F.col(f"version.{start}"))
         & (F.col(f"fact.{at}") < F.col(f"version.{end}"))
     )
-    if broadcast_fits(versions, broadcast_bytes):
+    added = []
+    size = _measure(versions, version_key)
+    ticks = _ticks(dict(facts.dtypes)[at], *[dict(versions.dtypes)[c] for c in valid])
+    if size["most"] > few_versions and ticks is not None:
+        crowded = max(few_versions, int(size["rows"] * CROWDED_SHARE))
+        slots = _slots_of_crowded_keys(versions, version_key, valid, ticks, crowded)
+        facts = _with_slot(facts, fact_key, at, slots, ticks)
+        versions = _with_slots(versions, version_key, valid, slots, ticks)
+        added.append("__slot")
+    if size["bytes"] <= broadcast_bytes:
         versions = F.broadcast(versions)
     elif not facts.isStreaming:
         facts, versions = _spread_hot_keys(
             facts, versions, fact_key, version_key, hot_share
         )
-        matches &= F.col("fact.__slice") == F.col("version.__slice")
-    return facts.alias("fact").join(versions.alias("version"), matches, "left")
+        added.append("__slice")
+    for column in added:
+        matches &= F.col(f"fact.{column}") == F.col(f"version.{column}")
+    joined = facts.alias("fact").join(versions.alias("version"), matches, "left")
+    for column in added:
+        joined = joined.drop(F.col(f"fact.{column}"), F.col(f"version.{column}"))
+    return joined
 
 
 def broadcast_fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether the rows, written as JSON, measure at most ``max_bytes``."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    size = df.agg(F.sum(width).alias("bytes")).first()["bytes"]
+    size = df.agg(F.sum(_width()).alias("bytes")).first()["bytes"]
     return (size or 0) <= max_bytes
 
 
+def _width() -> Column:
+    return F.octet_length(F.to_json(F.struct("*")))
+
+
+def _measure(versions: DataFrame, key: str) -> dict[str, int]:
+    """Bytes and rows of a dimension, and the most rows one key has."""
+    keys = versions.groupBy(key).agg(
+        F.sum(_width()).alias("bytes"), F.count("*").alias("rows")
+    )
+    size = keys.agg(F.sum("bytes"), F.sum("rows"), F.max("rows")).first()
+    return {"bytes": size[0] or 0, "rows": size[1] or 0, "most": size[2] or 0}
+
+
+# --- hot keys ----------------------------------------------------------------
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys with at least ``share`` of all rows, and the slices to cut them in.
 
@@ -101,3 +139,82 @@ def _with_slices(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     # Null-safe, so that facts without a key, which match nothing, are spread too.
     sliced = df.join(hot, F.col(key).eqNullSafe(F.col("__hot")), "left").drop("__hot")
     return sliced.withColumn("__slices", F.coalesce("__slices", F.lit(1)))
+
+
+# --- crowded keys --------------------------------------------------------------
+
+Ticks = Callable[[str], Column]
+
+
+def _ticks(*types: str) -> Ticks | None:
+    """Times as numbers that order as the times compare, None for other types."""
+    instants, wall_clock = {"timestamp"}, {"timestamp_ntz", "date"}
+    if set(types) <= instants | wall_clock and instants & set(types):
+        return lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if set(types) <= wall_clock:
+        return _wall_clock_seconds
+    if all(kind in ("tinyint", "smallint", "int", "double", "float") for kind in types):
+        return lambda c: F.col(c).cast("double")
+    return None
+
+
+def _wall_clock_seconds(name: str) -> Column:
+    time = F.col(name).cast("timestamp_ntz")
+    days = F.unix_date(time.cast("date")).cast("double")
+    minutes = (days * 24 + F.hour(time)) * 60 + F.minute(time)
+    return minutes * 60 + F.date_part(F.lit("SECOND"), time).cast("double")
+
+
+def _slots_of_crowded_keys(
+    versions: DataFrame, key: str, valid: tuple[str, str], ticks: Ticks, crowded: int
+) -> DataFrame:
+    """First and last start of each crowded key, and the slots between them.
+
+    A key has as many slots as versions, fewer where versions overlap: cutting
+    a key's versions at its slots no more than about doubles their number.
+    The result is bounded by the share of the versions a crowded key has.
+    """
+    start, end = (ticks(c) for c in valid)
+    keyed = versions.select(
+        F.col(key).alias("__crowded"), start.alias("start"), end.alias("end")
+    ).where("start < end")
+    spans = keyed.groupBy("__crowded").agg(
+        F.min("start").alias("__first"),
+        F.max("start").alias("__last"),
+        F.count("*").alias("rows"),
+    )
+    spans = spans.where((F.col("rows") > crowded) & (F.col("__first") < F.col("__last")))
+    covered = F.least("end", "__last") - F.col("start")
+    depth = F.sum(covered / (F.col("__last") - F.col("__first")))
+    slots = F.floor(F.col("rows") / F.greatest(depth, F.lit(1.0))).cast("int")
+    return (
+        keyed.join(F.broadcast(spans), "__crowded")
+        .groupBy("__crowded", "__first", "__last", "rows")
+        .agg(F.greatest(slots, F.lit(1)).alias("__slots"))
+        .drop("rows")
+    )
+
+
+def _slot_at(time: Column) -> Column:
+    """Number of the slot a time falls in, 0 where the key is not crowded."""
+    slot = F.width_bucket(time, F.col("__first"), F.col("__last"), F.col("__slots"))
+    return F.coalesce(slot, F.lit(0).cast("bigint"))
+
+
+def _with_slot(
+    facts: DataFrame, key: str, at: str, slots: DataFrame, ticks: Ticks
+) -> DataFrame:
+    slotted = facts.join(F.broadcast(slots), F.col(key) == F.col("__crowded"), "left")
+    slotted = slotted.withColumn("__slot", _slot_at(ticks(at)))
+    return slotted.drop(*slots.columns)
+
+
+def _with_slots(
+    versions: DataFrame, key: str, valid: tuple[str, str], slots: DataFrame, ticks: Ticks
+) -> DataFrame:
+    """A version once for every slot it is valid in; empty ones match nothing."""
+    start, end = valid
+    some = versions.where(F.col(start) < F.col(end))
+    slotted = some.join(F.broadcast(slots), F.col(key) == F.col("__crowded"), "left")
+    numbers = F.sequence(_slot_at(ticks(start)), _slot_at(ticks(end)))
+    return slotted.withColumn("__slot", F.explode(numbers)).drop(*slots.columns)
