@@ -102,6 +102,9 @@ def test_broadcast_is_decided_by_measured_size(spark):
     assert ops.broadcast_fits(df, 200_000)
     assert not ops.broadcast_fits(df, 100_000)
     assert ops.broadcast_fits(df.where("s = ''"), 0)
+    nested = df.select(F.array("s", "s").alias("a"), F.lit(None).cast("string").alias("n"))
+    assert not ops.broadcast_fits(nested, 200_000)
+    assert ops.broadcast_fits(nested, 300_000)
 
 
 def crowd(overlapping: bool):

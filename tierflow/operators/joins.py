@@ -74,19 +74,27 @@ def temporal_left_join(
 
 
 def broadcast_fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows, written as JSON, measure at most ``max_bytes``."""
-    size = df.agg(F.sum(_width()).alias("bytes")).first()["bytes"]
+    """Whether the rows measure at most ``max_bytes`` in memory."""
+    size = df.agg(F.sum(_width(df)).alias("bytes")).first()["bytes"]
     return (size or 0) <= max_bytes
 
 
-def _width() -> Column:
-    return F.octet_length(F.to_json(F.struct("*")))
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: a word per column, and what its text or nesting adds."""
+    width = F.lit(8 * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        value = F.col(name)
+        if kind.startswith(NESTED):
+            width += F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+        elif kind.startswith(("string", "char", "varchar", "binary")):
+            width += F.coalesce(F.octet_length(value), F.lit(0))
+    return width
 
 
 def _measure(versions: DataFrame, key: str) -> dict[str, int]:
     """Bytes and rows of a dimension, and the most rows one key has."""
     keys = versions.groupBy(key).agg(
-        F.sum(_width()).alias("bytes"), F.count("*").alias("rows")
+        F.sum(_width(versions)).alias("bytes"), F.count("*").alias("rows")
     )
     size = keys.agg(F.sum("bytes"), F.sum("rows"), F.max("rows")).first()
     return {"bytes": size[0] or 0, "rows": size[1] or 0, "most": size[2] or 0}
