@@ -120,8 +120,9 @@ def crowd(overlapping: bool):
             start = end + timedelta(minutes=rng.randrange(0, 3))
     versions += [(1, "empty", DAY, DAY), (1, "swapped", DAY + timedelta(days=9), DAY)]
     versions += [(1, "no end", DAY, None), (1, "no start", None, DAY)]
+    keys = [1, 1, 1, 2, 3, 4, None]
     facts = [
-        (n, rng.choice([1, 1, 1, 2, 3, 4, None]), DAY + timedelta(minutes=rng.randrange(-99, 99999)))
+        (n, rng.choice(keys), DAY + timedelta(minutes=rng.randrange(-99, 99999)))
         for n in range(400)
     ]
     facts += [(1000 + n, k, s) for n, (k, _, s, _) in enumerate(versions) if s]

@@ -110,6 +110,18 @@ def test_partitioned_sink_keeps_column_order(spark, tmp_path, work):
     assert fruit.totals(sink(flow, "serving", "total", "table")) == fruit.FILE_TOTALS
 
 
+@pytest.mark.parametrize("storage", ["json", "orc"])
+def test_storage_format(spark, tmp_path, work, storage):
+    """Types survive a format that does not keep them."""
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, f"stored_{storage}", total_sinks=("file",))
+    flow = Pipeline(spark, document, work, storage_format=storage)
+    for _ in range(2):
+        run = flow.run()
+        assert dict(run.relations["std_fruit_sales"].dtypes)["ts"] == "timestamp"
+        assert fruit.totals(run.relations["srv_fruit_total"]) == fruit.FILE_TOTALS
+
+
 def test_table_feeds_the_next_layer(spark, tmp_path, work):
     fruit.write_files(tmp_path)
     document = fruit.document(tmp_path, "tables", sold_sinks=("table",))

@@ -97,6 +97,18 @@ def test_batch_and_stream_differ_by_read_type_only(spark, tmp_path):
     assert load("batch").dtypes == load("streaming").dtypes
 
 
+def test_table_format_keeps_its_schema(spark, tmp_path, monkeypatch):
+    """A reader that refuses a schema is given none; declared types are cast to."""
+    path = str(tmp_path / "lake")
+    spark.range(3).selectExpr("id AS ID", "id * 2 AS Amount").write.parquet(path)
+    schema = StructType.fromJson(fruit.declared(Amount="string", ID="integer"))
+    source = SourceSpec(kind="lake", path=path, read_type="batch", schema=schema)
+    monkeypatch.setattr("tierflow.sources.files.TABLE_FORMATS", {"parquet"})
+    df = load_source(spark, source)
+    assert df.dtypes == [("Amount", "string"), ("ID", "int")]
+    assert sorted(map(tuple, df.collect())) == [("0", 0), ("2", 1), ("4", 2)]
+
+
 def test_discovery_prefix_is_dropped(spark, tmp_path):
     source = SourceSpec(
         kind="autoloader",

@@ -148,7 +148,8 @@ def _narrow(df: DataFrame, marks: list[_Mark], sketch_size: int) -> list[_Mark]:
         merged.append(merge.alias(f"q{i}"))
         for m in group:
             share = (m.rank - m.below) / m.inside
-            for end, at in (("low", max(0.0, share - slack)), ("high", min(1.0, share + slack))):
+            under, over = max(0.0, share - slack), min(1.0, share + slack)
+            for end, at in (("low", under), ("high", over)):
                 quantile = F.kll_sketch_get_quantile_double(F.col(f"q{i}"), F.lit(at))
                 ends.append(quantile.alias(f"{m.name}_{end}"))
     part = (F.spark_partition_id() % SKETCH_GROUPS).alias("part")

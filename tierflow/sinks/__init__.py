@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.types import StructType
 
+from ..sources.schema import TABLE_FORMATS
 from ..spec import SinkSpec, TaskSpec
 from ..workspace import Workspace, path_exists
 
@@ -65,13 +66,24 @@ def read_sink(
         rows = spark.read.table(workspace.table(task.sink.target))
     else:
         path = workspace.data_path(task.stage, task.sink.target)
-        reader = spark.read.format(workspace.storage_format)
-        reader = reader.options(**task.sink.options)
-        rows = (reader if schema is None else reader.schema(schema)).load(path)
+        rows = _read_files(spark, workspace, task, path, schema)
     # Partition columns come last when read; put them back in their place.
     return rows if schema is None else rows.select(*schema.names)
 
 
+def _read_files(
+    spark: SparkSession,
+    workspace: Workspace,
+    task: TaskSpec,
+    path: str,
+    schema: StructType | None,
+) -> DataFrame:
+    reader = spark.read.format(workspace.storage_format).options(**task.sink.options)
+    if schema is not None and workspace.storage_format not in TABLE_FORMATS:
+        reader = reader.schema(schema)
+    return reader.load(path)
+
+
 def stored_before(
     spark: SparkSession, workspace: Workspace, task: TaskSpec, kind: str
 ) -> bool:
@@ -84,10 +96,9 @@ def _copy(
     spark: SparkSession, workspace: Workspace, task: TaskSpec, df: DataFrame
 ) -> DataFrame:
     path = workspace.run_path(task.stage, task.sink.target)
-    stored = workspace.storage_format
-    df.write.format(stored).options(**task.sink.options).save(path)
-    reader = spark.read.format(stored).options(**task.sink.options)
-    return reader.schema(df.schema).load(path)
+    writer = df.write.format(workspace.storage_format).options(**task.sink.options)
+    writer.save(path)
+    return _read_files(spark, workspace, task, path, df.schema)
 
 
 def _writer(workspace: Workspace, sink: SinkSpec, df: DataFrame) -> DataFrameWriter:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..spec import SourceSpec, SpecError
+from .schema import TABLE_FORMATS, conform
 
 # Options set before the document's own.
 FILE_DEFAULTS = {"header": "true"}
@@ -25,9 +28,13 @@ def load_lake(spark: SparkSession, source: SourceSpec) -> DataFrame:
     """Batch or streaming read of a stored dataset by its path.
 
     The format is the document's, else the session's default table format.
+    Where the dataset keeps a schema of its own, the declared one is cast to.
     """
     stored = source.format or spark.conf.get("spark.sql.sources.default")
-    return _read(spark, source, stored, dict(source.options))
+    if stored not in TABLE_FORMATS:
+        return _read(spark, source, stored, dict(source.options))
+    own = replace(source, schema=None)
+    return conform(_read(spark, own, stored, dict(source.options)), source.schema)
 
 
 def load_incremental_files(spark: SparkSession, source: SourceSpec) -> DataFrame:

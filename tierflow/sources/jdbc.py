@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..spec import SourceSpec, SpecError
+from .schema import conform
 
 # Spark's names for the settings of a range-partitioned read.
 RANGE_OPTIONS = {
@@ -40,8 +41,4 @@ def jdbc_options(source: SourceSpec) -> dict[str, str]:
 def load_jdbc(spark: SparkSession, source: SourceSpec) -> DataFrame:
     """The table, cast to the declared schema after the driver's own types."""
     table = spark.read.format("jdbc").options(**jdbc_options(source)).load()
-    if source.schema is None:
-        return table
-    return table.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in source.schema]
-    )
+    return conform(table, source.schema)

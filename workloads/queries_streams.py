@@ -218,7 +218,8 @@ ORACLES = {
     "stream_view_chain": REVENUE_SQL,
     "layers_streaming": REVENUE_SQL,
     "stream_batch_parity": f"""
-        SELECT r.*, mode FROM ({REVENUE_SQL}) r, (VALUES ('batch'), ('streaming')) AS m(mode)""",
+        SELECT r.*, mode
+        FROM ({REVENUE_SQL}) r, (VALUES ('batch'), ('streaming')) AS m(mode)""",
     "stream_restart": """
         SELECT o.*, sink FROM orders o, (VALUES ('file'), ('table')) AS s(sink)""",
 }
