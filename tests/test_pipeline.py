@@ -61,6 +61,38 @@ def test_resolve_never_writes(flow):
     assert not path_exists(flow.spark, flow.workspace.data_path("staging", "stg_sales"))
 
 
+def siblings(tmp_path, name):
+    """A standard layer of a broken task and two that build on each other."""
+    document = fruit.document(tmp_path, name)
+    document["standard"] = [
+        code("broken", "std_broken", "sql", "SELECT * FROM nowhere", "view"),
+        code("one", "std_one", "sql", "SELECT id, amount FROM stg_sales", "view"),
+        code("two", "std_two", "sql", "SELECT sum(amount) AS s FROM std_one", "file"),
+    ]
+    document["serving"] = []
+    return document
+
+
+def test_task_reads_tasks_listed_before_it(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    flow = Pipeline(spark, siblings(tmp_path, "siblings"), work)
+    run = flow.run(stage="standard", task="two")
+    assert [tuple(r) for r in run.relations["std_two"].collect()] == [(385,)]
+    assert [tuple(r) for r in flow.try_task("standard", "two").collect()] == [(105,)]
+    with pytest.raises(Exception, match="nowhere"):
+        flow.run(stage="standard")
+
+
+def test_failing_stream_leaves_no_query_running(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, "failing", "streaming", sold_sinks=("file", "table"))
+    document["standard"][0]["code"]["sql"] = "SELECT raise_error('stop') AS x FROM stg_sales"
+    flow = Pipeline(spark, document, work)
+    with pytest.raises(Exception, match="stop"):
+        flow.run(stage="standard", await_seconds=60)
+    assert not [q for q in spark.streams.active]
+
+
 def test_unknown_task_and_stage(flow):
     with pytest.raises(SpecError):
         flow.run(task="missing")

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -87,7 +88,9 @@ class Pipeline:
     def resolve(self, stage: str) -> dict[str, DataFrame]:
         """Views of every task before ``stage``, built without writing anything."""
         with self._session():
-            return self._resolve(stage, {})
+            relations: dict[str, DataFrame] = {}
+            self._resolve(stage, relations)
+            return relations
 
     def preview(self, stage: str, task: str, limit: int = PREVIEW_ROWS):
         """First rows of a task's output as JSON objects, and their DataFrame."""
@@ -145,6 +148,7 @@ class Pipeline:
         trigger: Mapping[str, Any] | None,
     ) -> None:
         self._resolve(task.stage, run.relations)
+        self._resolve_siblings(task, run.relations)
         df = self._build(task)
         if df.isStreaming:
             if task.code is not None and not task.streaming:
@@ -162,17 +166,30 @@ class Pipeline:
         if "view" in task.sink.kinds:
             self._publish(task.sink.target, df)
 
-    def _resolve(
-        self, stage: str, known: dict[str, DataFrame]
-    ) -> dict[str, DataFrame]:
+    def _resolve(self, stage: str, known: dict[str, DataFrame]) -> None:
         """Add to ``known`` the views of earlier layers it does not hold yet."""
         for earlier in STAGES[: STAGES.index(stage)]:
             for task in self.spec.layer(earlier):
-                target = task.sink.target
-                if "view" in task.sink.kinds and target not in known:
-                    known[target] = self._build(task)
-                    self._publish(target, known[target])
-        return known
+                self._resolve_task(task, known)
+
+    def _resolve_siblings(self, task: TaskSpec, known: dict[str, DataFrame]) -> None:
+        """Add the views of tasks listed before ``task`` in its layer.
+
+        One that cannot be built is left out: the task may not read it.
+        """
+        if task.source is not None:
+            return
+        for sibling in self.spec.before(task):
+            try:
+                self._resolve_task(sibling, known)
+            except AnalysisException:
+                continue
+
+    def _resolve_task(self, task: TaskSpec, known: dict[str, DataFrame]) -> None:
+        target = task.sink.target
+        if "view" in task.sink.kinds and target not in known:
+            known[target] = self._build(task)
+            self._publish(target, known[target])
 
     def _publish(self, target: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(target)
@@ -192,9 +209,9 @@ class Pipeline:
     def _conf(self):
         """The document's session settings, for as long as the pipeline works."""
         before = {key: self.spark.conf.get(key, None) for key in self.spec.conf}
-        for key, value in self.spec.conf.items():
-            self.spark.conf.set(key, value)
         try:
+            for key, value in self.spec.conf.items():
+                self.spark.conf.set(key, value)
             yield
         finally:
             for key, value in before.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import first_rows
@@ -84,12 +85,21 @@ def try_task(
         raise SpecError(f"cannot try a task of stage {stage!r}")
     chosen = spec.task(stage, name)
     relations = _sample_relations(spark, spec, samples or {})
-    earlier = spec.standard if stage == "serving" else ()
-    for task in earlier:
-        with scoped_views(spark, relations):
-            relations[task.sink.target] = run_code(spark, task)
+    for task in spec.standard if stage == "serving" else ():
+        relations[task.sink.target] = _over(spark, relations, task)
+    for task in spec.before(chosen):
+        try:
+            relations[task.sink.target] = _over(spark, relations, task)
+        except AnalysisException:
+            continue
+    return _over(spark, relations, chosen)
+
+
+def _over(
+    spark: SparkSession, relations: Mapping[str, DataFrame], task: TaskSpec
+) -> DataFrame:
     with scoped_views(spark, relations):
-        return run_code(spark, chosen)
+        return run_code(spark, task)
 
 
 def _sample_relations(

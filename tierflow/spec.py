@@ -110,6 +110,11 @@ class PipelineSpec:
         for stage in STAGES:
             yield from self.layer(stage)
 
+    def before(self, task: TaskSpec) -> tuple[TaskSpec, ...]:
+        """Tasks listed before one in its layer."""
+        layer = self.layer(task.stage)
+        return layer[: layer.index(task)]
+
     def task(self, stage: str, name: str) -> TaskSpec:
         for task in self.layer(stage):
             if task.name == name:

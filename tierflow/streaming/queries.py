@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,14 +13,27 @@ DRAIN = {"availableNow": True}
 AT_ONCE = {"processingTime": "0 seconds"}
 
 
-def finish(queries: Iterable[StreamingQuery]) -> None:
+def finish(queries: Sequence[StreamingQuery]) -> None:
     """Wait until draining queries have processed everything; raise what failed."""
-    for query in queries:
-        query.awaitTermination()
+    with stopped_on_error(queries):
+        for query in queries:
+            query.awaitTermination()
 
 
-def run_for(queries: Iterable[StreamingQuery], seconds: float) -> None:
+def run_for(queries: Sequence[StreamingQuery], seconds: float) -> None:
     """Let running queries work for a while, then stop them."""
-    for query in queries:
-        query.awaitTermination(seconds)
-        query.stop()
+    with stopped_on_error(queries):
+        for query in queries:
+            query.awaitTermination(seconds)
+            query.stop()
+
+
+@contextmanager
+def stopped_on_error(queries: Sequence[StreamingQuery]) -> Iterator[None]:
+    """No query is left running behind an error."""
+    try:
+        yield
+    except BaseException:
+        for query in queries:
+            query.stop()
+        raise

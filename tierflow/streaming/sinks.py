@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sinks import read_sink, write_sink
 from ..spec import TaskSpec
 from ..workspace import Workspace
+from .queries import stopped_on_error
 
 
 def default_output_mode(stage: str) -> str:
@@ -26,9 +27,11 @@ def start_sinks(
         return []
     if default_output_mode(task.stage) == "complete":
         return [_start_complete(workspace, task, df, trigger)]
-    return [
-        _start_append(workspace, task, df, kind, trigger) for kind in task.sink.stored
-    ]
+    started: list[StreamingQuery] = []
+    with stopped_on_error(started):
+        for kind in task.sink.stored:
+            started.append(_start_append(workspace, task, df, kind, trigger))
+    return started
 
 
 def _start_append(
