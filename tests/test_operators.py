@@ -62,7 +62,15 @@ def joined(left, right, **options):
     return df.select("fact.n", "fact.key", "version.name")
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 10, "hot_share": 0.05}])
+@pytest.mark.parametrize(
+    "options",
+    [
+        {},
+        {"few_versions": 1},
+        {"broadcast_bytes": 10, "hot_share": 0.05},
+        {"broadcast_bytes": 10, "hot_share": 0.05, "few_versions": 1},
+    ],
+)
 def test_temporal_join_equals_brute_force(spark, skewed, options):
     found = joined(*frames(spark, skewed), **options).collect()
     assert sorted(map(tuple, found), key=str) == brute_force(*skewed)
@@ -196,7 +204,7 @@ def test_streaming_facts_against_static_versions(spark, skewed, tmp_path):
     facts.write.parquet(landing)
     stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2)
     stream = stream.parquet(landing)
-    for n, options in enumerate(({}, {"broadcast_bytes": 10})):
+    for n, options in enumerate(({}, {"broadcast_bytes": 10}, {"few_versions": 1})):
         df = joined(stream, versions, **options)
         writer = df.writeStream.trigger(availableNow=True)
         writer = writer.option("checkpointLocation", str(tmp_path / f"chk{n}"))
@@ -328,6 +336,34 @@ def test_trip_edges(spark):
     assert [r["pickup_loc"] for r in kept.collect()] == [1]
 
 
+def test_filter_and_columns_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    spark.range(10).selectExpr(
+        "id * 1.0D AS trip_distance",
+        "id * 2.0D AS total_amount",
+        "'2024-01-01 10:00:00' AS tpep_pickup_datetime",
+        "'2024-01-01 11:00:00' AS tpep_dropoff_datetime",
+        "cast(id AS int) AS PULocationID",
+        "id AS unused",
+    ).write.parquet(path)
+    plan = plan_of(ops.derive_trips(spark.read.parquet(path)))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "GreaterThan(trip_distance,0.0)" in scan
+    assert "unused" not in scan
+    totals = ops.curate_trips(ops.summarize_trips(ops.derive_trips(spark.read.parquet(path))))
+    # Both aggregates combine before they shuffle.
+    assert plan_of(totals).count("partial_count") == 1
+    assert plan_of(totals).count("partial_sum(pickup_count") == 1
+
+
+def test_join_reads_the_columns_it_returns(spark, skewed, tmp_path):
+    facts, versions = frames(spark, skewed)
+    facts.withColumn("unused", F.lit(1)).write.parquet(str(tmp_path / "facts"))
+    df = joined(spark.read.parquet(str(tmp_path / "facts")), versions)
+    scan = next(line for line in plan_of(df).splitlines() if "FileScan" in line)
+    assert "unused" not in scan
+
+
 def test_curation_adds_up_the_summary(spark):
     rows = [
         (20.0 + n % 3, 5.0, f"2024-01-01 10:{n % 60:02d}:00", "2024-01-01 12:00:00", n % 2)
