@@ -124,3 +124,29 @@ def test_blanks_in_price_file(spark, tmp_path, work):
     assert rows[7]["Color"] == " Green"
     assert rows[1]["Price"] == 2.0
     assert rows[1]["Start_TS"].isoformat() == "2015-01-01T00:00:00"
+
+
+def test_empty_folders_give_empty_results(spark, tmp_path, work):
+    for part in ("sales", "price"):
+        (tmp_path / part).mkdir()
+    flow = Pipeline(spark, fruit.document(tmp_path, "golden_empty"), work)
+    run = flow.run()
+    assert run.relations["stg_sales"].columns == ["ID", "Amount", "TS"]
+    assert run.relations["std_fruit_sales"].count() == 0
+    assert stored(flow) == stored(flow, "file") == {}
+
+
+def test_price_that_changes_matches_on_either_side(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    (tmp_path / "price" / "002.csv").write_text(
+        "ID,Fruit,Color,Price,Start_TS,End_TS\n"
+        "8,Kiwi,Green,1.0,2022-01-01 00:00:00,2022-01-12 00:00:00\n"
+        "8,Kiwi,Green,10.0,2022-01-12 00:00:00,2099-12-31 23:59:59\n"
+    )
+    (tmp_path / "sales" / "kiwi.csv").write_text(
+        "ID,Amount,TS\n8,1,2022-01-11 23:59:59\n8,1,2022-01-12 00:00:00\n"
+    )
+    flow = Pipeline(spark, fruit.document(tmp_path, "golden_change"), work)
+    flow.run()
+    assert stored(flow) == fruit.FILE_TOTALS | {(8, "Kiwi"): 11.0}
+    assert flow.output("standard", "join").where("id = 8").count() == 2

@@ -20,3 +20,9 @@ def test_query_equals_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.dtypes == [("id", "bigint"), ("fruit", "string"), ("total", "double")]
+    assert df.count() > 0

@@ -168,6 +168,36 @@ def test_jdbc_reader_options():
         jdbc_options(SourceSpec(kind="jdbc", settings={"jdbc_url": "x"}))
 
 
+class RecordedReader:
+    """Stands in for a session's reader, as no database is started for tests."""
+
+    def __init__(self, table):
+        self.table, self.given = table, {}
+
+    def format(self, name):
+        self.given["format"] = name
+        return self
+
+    def options(self, **options):
+        self.given.update(options)
+        return self
+
+    def load(self):
+        return self.table
+
+
+def test_jdbc_table_is_cast_to_the_declared_schema(spark):
+    table = spark.range(2).selectExpr("id AS ID", "cast(id AS decimal(10, 0)) AS Amount")
+    session = type("Session", (), {"read": RecordedReader(table)})()
+    schema = StructType.fromJson(fruit.declared(ID="integer", Amount="double"))
+    settings = {"jdbc_url": "jdbc:db://host/x", "table_name": "t"}
+    source = SourceSpec(kind="jdbc", schema=schema, settings=settings)
+    df = load_source(session, source)
+    assert session.read.given["format"] == "jdbc"
+    assert session.read.given["dbtable"] == "t"
+    assert df.dtypes == [("ID", "int"), ("Amount", "double")]
+
+
 def test_bus_connection_cannot_be_replaced():
     options = {
         "eventhubs.connectionString": "other",
