@@ -67,8 +67,8 @@ def joined(left, right, **options):
     [
         {},
         {"few_versions": 1},
-        {"broadcast_bytes": 10, "hot_share": 0.05},
-        {"broadcast_bytes": 10, "hot_share": 0.05, "few_versions": 1},
+        {"broadcast_bytes": 10, "slice_rows": 150},
+        {"broadcast_bytes": 10, "slice_rows": 150, "few_versions": 1},
     ],
 )
 def test_temporal_join_equals_brute_force(spark, skewed, options):
@@ -86,7 +86,7 @@ def test_large_dimension_is_shuffled_with_slices(spark, skewed):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = joined(*frames(spark, skewed), broadcast_bytes=10, hot_share=0.05)
+        df = joined(*frames(spark, skewed), broadcast_bytes=10, slice_rows=150)
         plan = plan_of(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
@@ -98,11 +98,12 @@ def test_large_dimension_is_shuffled_with_slices(spark, skewed):
 
 def test_hot_keys_are_few_and_cut_by_their_share(spark, skewed):
     facts, _ = frames(spark, skewed)
-    found = {r["__hot"]: r["__slices"] for r in hot_keys(facts, "key", 0.05).collect()}
+    found = {r["__hot"]: r["__slices"] for r in hot_keys(facts, "key", 150).collect()}
     assert set(found) == {1, None}
-    assert found[1] == math.ceil(1000 / (3000 * 0.05))
-    # A lower share still cannot give more than 1/share keys.
-    assert hot_keys(facts, "key", 0.02).count() <= 50
+    assert found[1] == math.ceil(1000 / 150)
+    # However small a slice, no more than 1/share keys are hot.
+    assert hot_keys(facts, "key", 1).count() > 50
+    assert hot_keys(facts, "key", 1, share=0.02).count() <= 50
 
 
 def test_broadcast_is_decided_by_measured_size(spark):
@@ -153,7 +154,7 @@ def crowd_brute_force(facts, versions):
 
 @pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz"])
 @pytest.mark.parametrize("overlapping", [False, True])
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 10, "hot_share": 0.05}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 10, "slice_rows": 150}])
 def test_crowded_keys_equal_brute_force(spark, time, overlapping, options):
     case = crowd(overlapping)
     left, right = frames(spark, case)

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # A dimension measured below this many bytes is sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key with at least this share of the facts is hot; 1/share of them can exist.
-HOT_SHARE = 0.001
+# Facts of one key a task may get; a key with more is hot and cut into slices.
+SLICE_ROWS = 1_000_000
+# Least share of the facts a hot key has, so that at most 1/share of them exist.
+HOT_SHARE = 0.00001
 # Versions of one key a fact may be compared with one by one.
 FEW_VERSIONS = 64
 # Share of all versions that makes a key crowded as well; 1/share of them can exist.
@@ -25,7 +27,7 @@ def temporal_left_join(
     at: str,
     valid: tuple[str, str],
     broadcast_bytes: int = BROADCAST_BYTES,
-    hot_share: float = HOT_SHARE,
+    slice_rows: int = SLICE_ROWS,
     few_versions: int = FEW_VERSIONS,
 ) -> DataFrame:
     """Left join of each fact to the dimension rows valid at its time.
@@ -37,7 +39,7 @@ def temporal_left_join(
 
     A dimension measured to be small is broadcast and the facts do not move.
     A larger one is joined by a shuffle on the key, where the rows of every hot
-    key are spread over as many tasks as the key's share calls for.  A
+    key are spread over as many tasks as their number calls for.  A
     streaming fact side is shuffled one micro-batch at a time, not spread.
     Where a key has many versions its time is cut into slots, so that a fact
     meets the few versions of its slot.
@@ -62,7 +64,7 @@ def temporal_left_join(
         versions = F.broadcast(versions)
     elif not facts.isStreaming:
         facts, versions = _spread_hot_keys(
-            facts, versions, fact_key, version_key, hot_share
+            facts, versions, fact_key, version_key, slice_rows
         )
         added.append("__slice")
     for column in added:
@@ -103,17 +105,20 @@ def _measure(versions: DataFrame, key: str) -> dict[str, int]:
 # --- hot keys ----------------------------------------------------------------
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys with at least ``share`` of all rows, and the slices to cut them in.
+def hot_keys(
+    df: DataFrame, key: str, slice_rows: int = SLICE_ROWS, share: float = HOT_SHARE
+) -> DataFrame:
+    """Keys with at least ``slice_rows`` rows, and the slices to cut them in.
 
-    At most ``1 / share`` keys qualify whatever the size of ``df``, which
-    bounds the result; a slice holds about ``share`` of all rows.
+    Where ``share`` of all rows is more, that is the size of a slice, so that at
+    most ``1 / share`` keys qualify whatever the size of ``df``.
     """
     counts = df.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__rows"))
-    slice_rows = counts.agg(F.sum("__rows") * F.lit(share)).scalar()
-    hot = counts.where(F.col("__rows") >= slice_rows)
+    slice_size = F.greatest(F.sum("__rows") * F.lit(share), F.lit(float(slice_rows)))
+    slice_size = counts.agg(slice_size).scalar()
+    hot = counts.where(F.col("__rows") >= slice_size)
     return hot.select(
-        "__hot", F.ceil(F.col("__rows") / slice_rows).cast("int").alias("__slices")
+        "__hot", F.ceil(F.col("__rows") / slice_size).cast("int").alias("__slices")
     )
 
 
@@ -122,15 +127,15 @@ def _spread_hot_keys(
     versions: DataFrame,
     fact_key: str,
     version_key: str,
-    share: float,
+    slice_rows: int,
 ) -> tuple[DataFrame, DataFrame]:
     """Number the slices of both sides: a fact has one, a version all of its key's.
 
     Equal rows in different input partitions get different slices, and a task
     run again gives a row the slice it had before.
     """
-    # Bounded by 1/share rows, see hot_keys; both sides share one broadcast.
-    hot = F.broadcast(hot_keys(facts, fact_key, share))
+    # Bounded by 1/HOT_SHARE rows, see hot_keys; both sides share one broadcast.
+    hot = F.broadcast(hot_keys(facts, fact_key, slice_rows))
     hashed = [c for c, kind in facts.dtypes if not kind.startswith(NESTED)]
     row = F.xxhash64(F.spark_partition_id(), *hashed)
     facts = _with_slices(facts, fact_key, hot)
