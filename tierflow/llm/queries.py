@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,38 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+OP9_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, hash(array_to_string(list_slice(w, i, i + 19), ' ')) AS p
+  FROM docs, unnest(range(1, len(w) - 18)) AS t(i)),
+ranked AS (SELECT r, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS n FROM windows),
+gone AS (
+  SELECT r, list(DISTINCT i + j) AS places
+  FROM ranked, unnest(range(0, 20)) AS t(j) WHERE n > 1 GROUP BY r),
+cut AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN w
+              ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS kept
+  FROM docs LEFT JOIN gone USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM cut
+"""
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLES = {"op2_decontamination": OP2_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op9_substring_dedup": OP9_SQL}
