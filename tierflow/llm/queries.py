@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .lines import drop_repeated_chunks
 from .simhash import near_duplicates
 from .substrings import remove_repeats
 
@@ -70,7 +71,7 @@ WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
          coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 windows AS (
-  SELECT r, doc_id, i, hash(array_to_string(list_slice(w, i, i + 19), ' ')) AS p
+  SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS p
   FROM docs, unnest(range(1, len(w) - 18)) AS t(i)),
 ranked AS (SELECT r, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS n FROM windows),
 gone AS (
@@ -87,9 +88,48 @@ FROM cut
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_chunks(docs)
+
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines
+  FROM documents),
+lines AS (
+  SELECT r, doc_id, i, lines[i] AS line,
+         ('0x' || substr(md5(lines[i]), 1, 8))::BIGINT AS h
+  FROM docs, unnest(range(1, len(lines) + 1)) AS t(i)),
+ends AS (
+  SELECT *, ((31 * coalesce(lag(h) OVER w, 0) + h) % 3 = 0)::INT AS ending
+  FROM lines WINDOW w AS (PARTITION BY r ORDER BY i)),
+dealt AS (
+  SELECT *, coalesce(sum(ending) OVER (PARTITION BY r ORDER BY i
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ends),
+chunks AS (
+  SELECT r, doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body,
+         count(*) AS n, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS filled
+  FROM dealt GROUP BY ALL),
+ranked AS (
+  SELECT *, filled >= 2 AND row_number() OVER (
+           PARTITION BY body, filled >= 2 ORDER BY doc_id, chunk) > 1 AS gone FROM chunks)
+SELECT doc_id, CASE WHEN any_value(text) IS NULL THEN NULL
+       ELSE coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') END AS text,
+       coalesce(sum(n), 0)::BIGINT AS n_lines,
+       coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed
+FROM docs LEFT JOIN ranked USING (r, doc_id) GROUP BY r, doc_id
+"""
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES = {
+    "op2_decontamination": OP2_SQL,
+    "op9_substring_dedup": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op9_substring_dedup": OP9_SQL}
