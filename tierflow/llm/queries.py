@@ -7,10 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .lines import drop_repeated_chunks
+from .mixing import mix
+from .quality import resample
 from .simhash import near_duplicates
 from .substrings import remove_repeats
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -59,6 +66,55 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Blocks a round takes of each source; other sources share one block.
+MIX_WEIGHTS = {"src0": 10, "src1": 8, "src2": 6, "src3": 5, "src4": 4, **{f"src{n}": 3 for n in range(5, 20)}}
+MIX_BLOCK_ROWS = 16
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs, MIX_WEIGHTS, MIX_BLOCK_ROWS)
+
+
+_SHARES = ", ".join(f"({n}, '{s}', {w})" for n, (s, w) in enumerate([*MIX_WEIGHTS.items(), ("(other)", 1)]))
+
+OP5_SQL = f"""
+WITH RECURSIVE shares(src, name, share) AS (VALUES {_SHARES}),
+rows AS (
+  SELECT doc_id, source, coalesce(src, {len(MIX_WEIGHTS)}) AS src,
+         row_number() OVER (PARTITION BY coalesce(src, {len(MIX_WEIGHTS)})
+           ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS n
+  FROM documents LEFT JOIN shares ON source = name AND src < {len(MIX_WEIGHTS)}),
+sizes AS (
+  SELECT src, share, (count(n) + {MIX_BLOCK_ROWS - 1}) // {MIX_BLOCK_ROWS} AS blocks
+  FROM shares LEFT JOIN rows USING (src) GROUP BY src, share),
+rounds AS (
+  SELECT round, src, least(share, greatest(0, blocks - round * share)) AS m,
+         sum(least(blocks, round * share)) OVER (PARTITION BY round) AS base
+  FROM sizes, (SELECT unnest(range(0, (SELECT max((blocks + share - 1) // share) FROM sizes))) AS round)),
+kinds AS (
+  SELECT round, any_value(base) AS base, list(m ORDER BY src) AS m, sum(m)::BIGINT AS len
+  FROM rounds GROUP BY round),
+distinct_kinds AS (SELECT DISTINCT m, len FROM kinds),
+fold(m, len, t, done, next) AS (
+  SELECT m, len, 0::BIGINT, list_transform(m, lambda x: 0::BIGINT), NULL::BIGINT FROM distinct_kinds
+  UNION ALL
+  SELECT m, len, t + 1, list_transform(done, lambda d, i: CASE WHEN i = pick THEN d + 1 ELSE d END), pick
+  FROM (SELECT *, list_min(list_filter(list_transform(done, lambda d, i:
+            CASE WHEN d < m[i] AND d * len // m[i] <= t
+                 THEN ((d + 1) * len + m[i] - 1) // m[i] * 1000 + i END),
+          lambda x: x IS NOT NULL)) % 1000 AS pick
+        FROM fold WHERE t < len)),
+slots AS (SELECT m, t - 1 AS slot, next - 1 AS src, done[next] - 1 AS turn FROM fold WHERE t > 0)
+SELECT doc_id, source, name AS mix_source, (base + slot)::BIGINT AS block,
+       (n % {MIX_BLOCK_ROWS})::INTEGER AS row_in_block,
+       ((base + slot) * {MIX_BLOCK_ROWS} + n % {MIX_BLOCK_ROWS})::BIGINT AS position
+FROM rows JOIN shares USING (src)
+JOIN kinds ON kinds.round = n // {MIX_BLOCK_ROWS} // share
+JOIN slots ON slots.m = kinds.m AND slots.src = rows.src AND slots.turn = n // {MIX_BLOCK_ROWS} % share
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
@@ -123,13 +179,16 @@ FROM docs LEFT JOIN ranked USING (r, doc_id) GROUP BY r, doc_id
 
 
 QUERIES = {
+    "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op2_decontamination": OP2_SQL,
+    "op5_source_mixing": OP5_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }

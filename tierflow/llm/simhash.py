@@ -22,7 +22,6 @@ it has members, not their square.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,8 @@ SMALL_GROUP = 24
 #: Shingles hashed before their bits are summed.
 SHINGLE_SLICE = 65_536
 
+_LAST_DOC = (1 << 63) - 1
+
 
 def with_fingerprints(
     docs: DataFrame,
@@ -236,11 +237,44 @@ def near_duplicates(
         with_fingerprints(narrow, shingle_words).select("doc_id", "fingerprint"), "fingerprints"
     )
     lowest = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("lowest")), "lowest")
-    roots = connected_components(near_links(lowest, max_distance))
-    rooted = lowest.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
+    rooted = lowest.join(linked_roots(lowest, max_distance), "fingerprint")
     named = rooted.groupBy("root").agg(F.min("lowest").alias("named"))
     linked = rooted.join(named, "root").select("fingerprint", "named")
     components = lowest.join(linked, "fingerprint", "left").select(
         "fingerprint", F.coalesce("named", "lowest").alias("component_id")
     )
     return prints.join(components, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def linked_roots(prints: DataFrame, max_distance: int) -> DataFrame:
+    """``fingerprint`` and ``root`` of those fingerprints that have a link."""
+    roots = connected_components(near_links(prints, max_distance))
+    return roots.withColumnRenamed("node", "fingerprint")
+
+
+def first_of_groups(
+    docs: DataFrame,
+    max_distance: int = MAX_DISTANCE,
+    shingle_words: int = SHINGLE_WORDS,
+    doc: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest id of each component.
+
+    Null ids come last; of one id with several texts the one with the smallest
+    hash stays, of repeated rows one.
+    """
+    keys = {
+        "__doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_LAST_DOC)),
+        "__variant": F.xxhash64(F.col(text)),
+    }
+    keyed = docs.withColumns(keys)
+    narrow = keyed.select("__doc", "__variant", F.col(text).alias("text"))
+    place = F.struct("__doc", "__variant").alias("place")
+    prints = with_fingerprints(narrow, shingle_words).select("fingerprint", place)
+    lowest = stored(prints.groupBy("fingerprint").agg(F.min("place").alias("place")), "lowest")
+    rooted = lowest.join(linked_roots(lowest, max_distance), "fingerprint", "left")
+    group = F.coalesce("root", "fingerprint").alias("group")
+    firsts = rooted.groupBy(group).agg(F.min("place").alias("place")).select("place.*")
+    kept = keyed.join(firsts, ["__doc", "__variant"], "left_semi")
+    return kept.dropDuplicates(["__doc", "__variant"]).select(docs.columns)
