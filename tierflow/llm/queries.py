@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .extraction import extract
 from .lines import drop_repeated_chunks
 from .mixing import mix
 from .quality import resample
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .warc import round_trip
 
 
 def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +117,32 @@ JOIN slots ON slots.m = kinds.m AND slots.src = rows.src AND slots.turn = n // {
 """
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages),
+d AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1,
+           1)), 'string_agg', '') AS payload_digest
+  FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_bytes, hex) AS winner FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM w
+"""
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
@@ -183,12 +211,15 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_warc_chunks": op6_warc_chunks,
+    "op7_main_text": op7_main_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op5_source_mixing": OP5_SQL,
+    "op6_warc_chunks": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
