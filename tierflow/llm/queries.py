@@ -9,9 +9,11 @@ from .decontaminate import decontaminate
 from .extraction import extract
 from .lines import drop_repeated_chunks
 from .mixing import mix
+from .nearest import top_k
 from .quality import resample
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .urls import BLOCK_PER_PAGE, DAMPING, LEAST_MASS, MOST_STEPS, judge
 from .warc import round_trip
 
 
@@ -59,6 +61,66 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+_RULES = ", ".join(
+    f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')"
+    for rule, verdict in URL_RULES.items()
+)
+
+OP3_SQL = rf"""
+WITH RECURSIVE rules(rule, name, start, said) AS (VALUES {_RULES}),
+read AS (
+  SELECT row_number() OVER () AS r, page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT r, page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said
+  FROM read LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+  GROUP BY ALL),
+hosts AS (
+  SELECT host, count(*) AS pages, count(*) FILTER (said = 'allow') AS trust,
+         count(*) FILTER (said = 'block') AS distrust
+  FROM ruled WHERE host <> '' GROUP BY host),
+hrefs AS (
+  SELECT host AS src, unnest(regexp_extract_all(html,
+    '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']?\s*([^"''\s>]+)', 1)) AS href
+  FROM read WHERE host <> ''),
+whole AS (SELECT src, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS href FROM hrefs),
+links AS (
+  SELECT DISTINCT src, translate(regexp_extract(href, '(?s)^.*?://([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM whole WHERE regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://')),
+edges AS (SELECT * FROM links WHERE dst <> '' AND dst <> src),
+steps AS (
+  SELECT 'trust' AS kind, src AS host, dst AS next, {DAMPING} / count(*) OVER (PARTITION BY src) AS part
+  FROM edges UNION ALL
+  SELECT 'distrust', dst, src, {DAMPING} / count(*) OVER (PARTITION BY dst) FROM edges),
+walk(host, kind, step, mass) AS (
+  SELECT host, 'trust', 0, trust::DOUBLE FROM hosts WHERE trust > 0 UNION ALL
+  SELECT host, 'distrust', 0, distrust::DOUBLE FROM hosts WHERE distrust > 0 UNION ALL
+  SELECT next, kind, step + 1, sum(mass * part) FROM walk JOIN steps USING (host, kind)
+  WHERE step < {MOST_STEPS} GROUP BY next, kind, step HAVING sum(mass * part) >= {LEAST_MASS}),
+mass AS (
+  SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust,
+         coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM walk GROUP BY host),
+blocked AS (
+  SELECT host FROM hosts JOIN mass USING (host)
+  WHERE mass.distrust >= {BLOCK_PER_PAGE} * pages AND mass.distrust > mass.trust)
+SELECT page_id, host, path, rule,
+       coalesce(said, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict
+FROM ruled
+"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -143,6 +205,25 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
@@ -209,17 +290,21 @@ FROM docs LEFT JOIN ranked USING (r, doc_id) GROUP BY r, doc_id
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_warc_chunks": op6_warc_chunks,
     "op7_main_text": op7_main_text,
+    "op8_mtree_top_k": op8_mtree_top_k,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op2_decontamination": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
     "op5_source_mixing": OP5_SQL,
     "op6_warc_chunks": OP6_SQL,
+    "op8_mtree_top_k": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
