@@ -1,0 +1,75 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from tierflow.llm.extraction import extract, main_text
+
+LONG = "This is a long paragraph, with commas, clauses, and enough words to look like prose to a reader."
+
+
+def page(body):
+    return f"<html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>"
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        (f"<nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{LONG}<p>Short.</article><footer>F</footer>", f"Head {LONG} Short."),
+        (f"<div id='main'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+        (f"<div><div><p>{LONG}</p></div><div><p>{LONG}</p></div></div><div class='comments'><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+        (f"<article><p>a&amp;b &lt;c&gt; caf&eacute;&#33;&#x21;</p><script>var t='</p>';</script><p>{LONG}</p></article>", f"a&b <c> café!! {LONG}"),
+        (f"<main><p>one<br>two  <b>th</b>ree\n four</p><p>{LONG}</p><form><p>{LONG}</p></form></main>", f"one two three four {LONG}"),
+        (f"<article><p>{LONG}</p><div class='notice'>Cookies</div><aside>{LONG}</aside><p hidden>no</p><!-- <p>no</p> --></article>", LONG),
+        (f"<ul><li><a href=a>{LONG}</a><li><a href=b>{LONG}</a></ul><div><p>{LONG}</p></div>", LONG),
+        (f"<article class='post with-sidebar'><ul><li>one<li>two</ul><table><tr><td>x<td>y</table><p>{LONG}</article>", f"one two x y {LONG}"),
+    ],
+)
+def test_article_is_kept_and_the_rest_left_out(body, text):
+    assert main_text(page(body)) == text
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("<p></p>", ""),
+        ("plain text, no tags", "plain text, no tags"),
+        ("<p>a < b and c > d</p>", "a < b and c > d"),
+        ("<p>open <b>tags <i>everywhere", "open tags everywhere"),
+        ("</p></div>stray ends</b>", "stray ends"),
+        ("<p>seen</p><!-- never closed <p>gone</p>", "seen"),
+        ("<p>seen</p><script>never closed <p>gone</p>", "seen"),
+        ("<p>seen</p><div class='x", "seen"),
+        ("<script>only</script>", ""),
+    ],
+)
+def test_odd_pages(source, text):
+    assert main_text(source) == text
+
+
+def test_very_long_and_deep_pages_end():
+    deep = "<div>" * 20_000 + LONG + "</div>" * 20_000
+    assert main_text(deep) == LONG
+    wide = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert main_text(wide) == " ".join([LONG] * 20_000)
+    assert main_text("<" * 200_000 + " a").endswith("< a")
+
+
+def test_given_pages_equal_their_article(spark, sf_dir):
+    import html
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    for row in extract(pages).select("html", "text", "n_chars").collect():
+        article = re.search(r"<article>(.*?)</article>", row.html, re.DOTALL)[1]
+        blocks = [re.sub(r"<[^>]*>", "", b.replace("<br>", " ")) for b in re.split(r"</?(?:p|h1)>", article)]
+        blocks = [" ".join(html.unescape(b).split()) for b in blocks]
+        assert row.text == " ".join(b for b in blocks if b)
+        assert row.n_chars == len(row.text)
+
+
+def test_rows_nulls_and_clashes(spark):
+    df = spark.createDataFrame([(1, None), (None, "<p>a</p>"), (1, None)], "page_id bigint, html string")
+    out = extract(df.withColumn("text", F.lit(3)).withColumn("other", F.array(F.lit(1))))
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in out.collect()) == [("1", "", 0), ("1", "", 0), ("None", "a", 1)]
+    assert extract(df.limit(0)).count() == 0

@@ -1,0 +1,74 @@
+import random
+
+import brute
+from pyspark.sql import functions as F
+from tierflow.llm import lines
+from tierflow.llm.lines import drop_repeated_chunks, line_chunks
+
+DOCS = "doc_id bigint, text string"
+
+
+def cut(spark, docs):
+    return [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in drop_repeated_chunks(spark.createDataFrame(docs, DOCS)).collect()]
+
+
+def glued(seed):
+    rng = random.Random(seed)
+    pool = [[f"line {rng.randint(0, 99)} of {p}" for _ in range(rng.randint(1, 12))] for p in range(12)]
+    docs = []
+    for doc in range(150):
+        body = []
+        for _ in range(rng.randint(0, 5)):
+            body += rng.choice(pool) if rng.random() < 0.7 else [f"own {rng.random()}", "", "  "]
+        docs.append((doc, "\n".join(body)))
+    rng.shuffle(docs)
+    return docs
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    docs = glued(1) + [(900, None), (901, ""), (902, "\n\n\n"), (903, "a\r\nb\n" * 40), (904, "one line")]
+    expected = dict(zip((d for d, _ in docs), brute.without_lines(docs)))
+    for unit in (200, 1 << 25):
+        monkeypatch.setattr(lines, "UNIT_BYTES", unit)
+        rows = cut(spark, docs)
+        assert {doc: text for doc, text, _, _ in rows} == expected
+        for doc, text, n_lines, n_removed in rows:
+            source = dict(docs)[doc]
+            assert n_lines == (0 if source is None else source.count("\n") + 1)
+            left = 0 if not text and n_removed == n_lines else text.count("\n") + 1
+            assert n_removed == n_lines - left
+    assert sum(n for *_, n in rows) > 100
+
+
+def test_chunks_do_not_move_with_what_stands_before():
+    passage = [f"passage line {n}".encode() for n in range(40)]
+    alone = line_chunks(b"\n".join(passage))
+    after = line_chunks(b"\n".join([b"something else", b"and more", *passage]))
+    assert alone[-5:] == after[-5:] and len(alone) > 8
+
+
+def test_bytes_decide_where_hashes_meet(spark, monkeypatch):
+    monkeypatch.setattr(lines.xxhash, "xxh3_64_intdigest", lambda body: 7)
+    docs = glued(2)
+    assert {d: t for d, t, *_ in cut(spark, docs)} == dict(zip((d for d, _ in docs), brute.without_lines(docs)))
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    body = "\n".join(f"line {n}" for n in range(30_000))
+    rows = cut(spark, [(5, body), (5, body), (None, body), (6, "x\n" + body)])
+    removed = sorted((str(doc), n) for doc, _, _, n in rows)
+    assert removed[:2] == [("5", 30_000 - len(tail(body))), ("5", 30_000 - len(tail(body)))]
+    assert removed[3] == ("None", 0) and removed[2][1] > 25_000
+
+
+def tail(body):
+    """Lines of chunks that are a single line: those stay."""
+    return [c[0] for c in line_chunks(body.encode()) if len(c) == 1]
+
+
+def test_empty_table_and_clashes(spark):
+    assert cut(spark, []) == []
+    df = spark.createDataFrame([(1, "a\nb")], DOCS).withColumn("n_lines", F.lit("x")).withColumn("chunk", F.lit(3))
+    out = drop_repeated_chunks(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "chunk", "n_removed"]
+    assert out.first().n_lines == 2

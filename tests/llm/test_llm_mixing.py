@@ -1,0 +1,65 @@
+import random
+from collections import Counter
+
+import brute
+import pytest
+from tierflow.llm.mixing import mix
+
+SCHEMA = "doc_id bigint, source string"
+
+
+def mixed(spark, rows, weights, block_rows, **more):
+    return mix(spark.createDataFrame(rows, SCHEMA), weights, block_rows, **more).collect()
+
+
+def many(seed=2):
+    rng = random.Random(seed)
+    sources = ["a"] * 5 + ["b"] * 3 + ["c", "z", None]
+    return [(n, rng.choice(sources)) for n in range(700)]
+
+
+@pytest.mark.parametrize("weights", [{"a": 3, "b": 2, "c": 1}, {"a": 1, "b": 7, "nowhere": 2}, {}])
+def test_equals_a_slot_by_slot_scheduler(spark, weights):
+    rows = many()
+    got = {(r.doc_id, r.source): (r.mix_source, r.block, r.row_in_block, r.position) for r in mixed(spark, rows, weights, 4)}
+    assert got == {row: tuple(rest) for row, *rest in brute.mixed(rows, weights, 4)}
+
+
+def test_less_than_a_block_from_the_weights(spark):
+    weights = {"a": 5, "b": 3, "c": 2}
+    rows = [(n, s) for n, s in enumerate(["a"] * 500 + ["b"] * 300 + ["c"] * 200 + ["d"] * 100)]
+    blocks = {r.block: r.mix_source for r in mixed(spark, rows, weights, 10)}
+    assert sorted(blocks) == list(range(110))
+    done = Counter()
+    for slot in range(110):
+        done[blocks[slot]] += 1
+        for name, weight in {**weights, "(other)": 1}.items():
+            assert abs(done[name] - (slot + 1) * weight / 11) < 1
+
+
+def test_odd_rows(spark):
+    rows = [(None, "a"), (None, None), (1, "a"), (1, "a"), (1, "b"), (2, "(other)")]
+    got = mixed(spark, rows, {"a": 1}, 2)
+    assert sorted((str(r.doc_id), str(r.source)) for r in got) == sorted((str(a), str(b)) for a, b in rows)
+    assert len({r.position for r in got}) == len(rows)
+    assert {r.mix_source for r in got if r.source != "a"} == {"(other)"}
+    assert mixed(spark, [], {"a": 1}, 2) == []
+
+
+def test_all_columns_stay_and_clashes_give_way(spark):
+    df = spark.createDataFrame([(1, "a", "t", {"k": 1}, "x")], "doc_id bigint, source string, text string, tags map<string,int>, Block string")
+    out = mix(df, {"a": 1})
+    assert out.columns == ["doc_id", "source", "text", "tags", "mix_source", "block", "row_in_block", "position"]
+    assert out.first().tags == {"k": 1}
+
+
+def test_plan_is_native(spark):
+    out = mix(spark.createDataFrame(many(), SCHEMA), {"a": 2})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_weights_are_checked(spark):
+    for weights in ({"a": 0}, {"a": 2000}):
+        with pytest.raises(ValueError):
+            mix(spark.createDataFrame(many(), SCHEMA), weights)

@@ -1,0 +1,86 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tierflow.llm import nearest
+from tierflow.llm.nearest import Routing, Search, top_k
+
+VECTORS = "vec_id bigint, embedding array<float>"
+
+
+def brute_top(rows, queries, k):
+    good = []
+    for vec, x in rows:
+        if vec is not None and x is not None and all(v is not None and math.isfinite(v) for v in x):
+            good.append((vec, [math.floor(256 * float(np.float32(v))) for v in x]))
+    out = set()
+    for vec, q in good:
+        if queries(vec):
+            scored = [(-sum(a * b for a, b in zip(q, x)), other) for other, x in good if other != vec and len(x) == len(q)]
+            for rank, (score, other) in enumerate(sorted(scored)[:k], 1):
+                out.add((vec, rank, other, -score))
+    return out
+
+
+def found(spark, rows, k=5, modulo=5, **more):
+    df = spark.createDataFrame(rows, VECTORS)
+    return {tuple(r) for r in top_k(df, F.col("vec_id") % modulo == 0, k, **more).collect()}
+
+
+def clustered(seed, n=400, dims=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, dims)) * 3
+    x = centres[rng.integers(8, size=n)] + rng.normal(size=(n, dims)) * 0.1
+    return [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PAGE_ROWS", 16)
+    monkeypatch.setattr(nearest, "ROUTED_ROWS", 40)
+    rows = clustered(1) + [(1000 + n, [1.0] * 6) for n in range(30)]
+    for block in (7, 4096):
+        assert found(spark, rows, query_rows=block) == brute_top(rows, lambda v: v % 5 == 0, 5)
+
+
+def test_odd_vectors(spark):
+    rows = [(5, [1.0, 2.0]), (6, [1.0, 2.0]), (7, None), (8, [1.0, None]), (9, [math.nan, 1.0]), (10, [math.inf, 0.0])]
+    rows += [(None, [1.0, 1.0]), (11, [0.5]), (15, [0.25]), (12, [-0.001, 3.0]), (13, []), (20, [])]
+    assert found(spark, rows) == brute_top(rows, lambda v: v % 5 == 0, 5)
+    assert found(spark, rows, k=1) == brute_top(rows, lambda v: v % 5 == 0, 1)
+    assert found(spark, []) == set() == found(spark, [(1, [1.0])])
+
+
+def test_repeated_rows_never_meet(spark):
+    rows = [(5, [1.0]), (5, [1.0]), (6, [2.0]), (6, [2.0])]
+    assert found(spark, rows) == {(5, 1, 6, 256 * 512), (5, 2, 6, 256 * 512)}
+
+
+def test_too_long_vectors_are_refused(spark):
+    with pytest.raises(Exception, match="too long"):
+        found(spark, [(5, [1e9])])
+
+
+def test_bounds_hold_and_avoid_computations():
+    rng = np.random.default_rng(2)
+    rows = np.floor(256 * np.array([x for _, x in clustered(3, 2000)]))
+    most = float((rows**2).sum(axis=1).max())
+    routing = Routing(rows[:8], most)
+    node, parent = routing.nearest(rows)
+    queries = rows[rng.integers(len(rows), size=20)]
+    pages = []
+    for n in range(8):
+        order = np.flatnonzero(node == n)[np.argsort(parent[node == n])]
+        pages += [(n, parent[p], p, rows[p]) for p in np.array_split(order, max(1, len(order) // 20)) if len(p)]
+    search = Search(np.full(20, -1), queries, routing, 5, np.full(20, -np.inf))
+    for n, ring, ids, vectors in pages:
+        assert ((queries @ vectors.T).max(axis=1) <= search.bound(n, ring[0], ring[-1])).all()
+    search.pages(pages)
+    assert search.computed < 0.7 * 20 * len(rows)
+    assert (search.scores[:, 4] == np.sort(queries @ rows.T, axis=1)[:, -5]).all()
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 2)], VECTORS + ", dims int")
+    df = df.withColumn("score", F.lit("x")).withColumn("node", F.lit(1))
+    assert [tuple(r) for r in top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
