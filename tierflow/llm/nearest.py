@@ -95,7 +95,7 @@ class Routing:
 
     def distances(self, rows: np.ndarray, added: np.ndarray) -> np.ndarray:
         square = (rows**2).sum(axis=1)[:, None] + (added**2)[:, None] + self.most
-        square -= 2 * (rows @ self.vectors.T + added[:, None] * self.added)
+        square = square - 2 * (rows @ self.vectors.T + added[:, None] * self.added)
         return np.sqrt(np.maximum(square, 0))
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
