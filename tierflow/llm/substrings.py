@@ -39,7 +39,7 @@ from .common import append_columns, encoded, forget, group_stream, parts, slices
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 8
 #: Words a task parses together; a longer document is a unit of its own.
-UNIT_WORDS = 1 << 20
+UNIT_WORDS = 1 << 19
 #: One document in so many is counted to find crowded anchors.
 SAMPLE = 16
 #: An anchor is crowded if it has more rows than this share of a usual partition.
@@ -48,7 +48,10 @@ CROWDED_SHARE = 0.25
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_DOC = -(1 << 63)
-_ROW = "key bigint, doc bigint, place bigint, size int, ref_doc bigint, ref_place bigint, prints binary"
+_ROW = "key bigint, doc bigint, place bigint, known boolean, body binary"
+#: What the body of a known repeat says; other bodies are six bytes for each window.
+_KNOWN = np.dtype([("size", "<i4"), ("ref_doc", "<i8"), ("ref_place", "<i8")])
+_PRINT_BYTES = 6
 _MATCH = "doc bigint, place bigint, size int, ref_doc bigint, ref_place bigint"
 
 
@@ -147,9 +150,12 @@ def _rows(batches, window: int, anchor: int, unit_words: int, crowded: np.ndarra
             goes_on &= (np.diff(unit.owner[again]) == 0) & (np.diff(unit.owner[source[again]]) == 0)
             starts, sizes = _runs(np.concatenate([[True], ~goes_on]))
             at, ref = again[starts], source[again][starts]
-            yield _row_batch(
-                unit.place[at], unit.doc[at], unit.place[at], sizes, unit.doc[ref], unit.place[ref], None
-            )
+            known = np.empty(len(at), _KNOWN)
+            known["size"], known["ref_doc"], known["ref_place"] = sizes, unit.doc[ref], unit.place[ref]
+            bodies = _bodies(known.tobytes(), np.full(len(at), _KNOWN.itemsize))
+            # any partition will do for these
+            spread = _mixed(unit.doc[at].view(np.uint64) * np.uint64(_BASE) + unit.place[at].view(np.uint64), _BASE)
+            yield _row_batch(spread.view(np.int64), unit.doc[at], unit.place[at], True, bodies)
         new = np.flatnonzero(~repeat)
         alone = np.isin(unit.anchors[new], crowded)
         breaks = np.ones(len(new), bool)
@@ -160,41 +166,41 @@ def _rows(batches, window: int, anchor: int, unit_words: int, crowded: np.ndarra
         keys = np.where(
             alone[starts], _mixed(unit.anchors[at] ^ unit.prints[at], _BASE), unit.anchors[at]
         )
-        packed = unit.prints[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        edges = np.concatenate([[0], np.cumsum(sizes * 6)]).astype(np.int32)
-        blobs = pa.Array.from_buffers(
-            pa.binary(),
-            len(starts),
-            [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(packed.tobytes())],
-        )
-        yield _row_batch(keys.view(np.int64), unit.doc[at], unit.place[at], sizes, None, None, blobs)
+        packed = unit.prints[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PRINT_BYTES]
+        bodies = _bodies(packed.tobytes(), sizes * _PRINT_BYTES)
+        yield _row_batch(keys.view(np.int64), unit.doc[at], unit.place[at], False, bodies)
+
 
+def _bodies(data: bytes, sizes: np.ndarray) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
 
-def _row_batch(keys, docs, places, sizes, ref_docs, ref_places, prints) -> pa.RecordBatch:
-    def optional(values):
-        return pa.nulls(len(keys), pa.int64()) if values is None else pa.array(values)
 
+def _row_batch(keys, docs, places, known: bool, bodies: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(keys),
             pa.array(docs),
             pa.array(places),
-            pa.array(sizes.astype(np.int32)),
-            optional(ref_docs),
-            optional(ref_places),
-            pa.nulls(len(keys), pa.binary()) if prints is None else prints,
+            pa.array(np.full(len(keys), known)),
+            bodies,
         ],
-        names=["key", "doc", "place", "size", "ref_doc", "ref_place", "prints"],
+        names=["key", "doc", "place", "known", "body"],
     )
 
 
 def _matches(rows: pa.Table):
     """Windows of a reference block that have an earlier equal, as runs."""
     names = ["doc", "place", "size", "ref_doc", "ref_place"]
-    known = rows.column("ref_doc").is_valid()
-    done = rows.filter(known).select(names)
-    yield from done.to_batches()
-    rows = rows.filter(known.to_numpy() == False) if done.num_rows else rows  # noqa: E712
+    known = rows.column("known").to_numpy()
+    if known.any():
+        done = rows.filter(pa.array(known))
+        told = np.frombuffer(b"".join(done.column("body").to_pylist()), _KNOWN)
+        columns = [done.column("doc").to_numpy(), done.column("place").to_numpy()]
+        columns += [np.ascontiguousarray(told[name]) for name in names[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        rows = rows.filter(pa.array(~known))
     keys = rows.column("key").to_numpy()
     shared = np.zeros(len(keys), bool)
     shared[1:] = keys[1:] == keys[:-1]
@@ -202,15 +208,16 @@ def _matches(rows: pa.Table):
     rows = rows.filter(pa.array(shared))
     if not rows.num_rows:
         return
-    sizes = rows.column("size").to_numpy()
+    bodies = rows.column("body").to_pylist()
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // _PRINT_BYTES
     row = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keys = rows.column("key").to_numpy()[row]
     docs = rows.column("doc").to_numpy()[row]
     places = rows.column("place").to_numpy()[row] + step
-    packed = np.frombuffer(b"".join(rows.column("prints").to_pylist()), np.uint8).reshape(-1, 6)
+    packed = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, _PRINT_BYTES)
     prints = np.zeros((len(row), 8), np.uint8)
-    prints[:, :6] = packed
+    prints[:, :_PRINT_BYTES] = packed
     prints = prints.view("<u8").ravel()
     order = np.lexsort((places, docs, prints, keys))
     first = np.ones(len(order), bool)
@@ -246,7 +253,7 @@ def repeated_runs(
         return lambda batches: _rows(batches, window, anchor, unit_words, crowded)
 
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
-    counts = sample.mapInArrow(rows(none), _ROW).where("prints IS NOT NULL").groupBy("key").count()
+    counts = sample.mapInArrow(rows(none), _ROW).where("NOT known").groupBy("key").count()
     hot = np.array(sorted(_crowded(counts, tasks)), np.int64).view(np.uint64)
     indexed = docs.mapInArrow(rows(hot), _ROW).repartition(tasks, "key").sortWithinPartitions("key")
     return indexed.mapInArrow(lambda batches: group_stream(batches, ["key"], _matches), _MATCH)
@@ -281,6 +288,10 @@ def remove_repeats(
             "__variant": F.shiftrightunsigned(F.xxhash64(F.col(text)), 33),
         }
     )
+    # the variant tells texts of one id apart: where there are none, it need not travel
+    texts = keyed.groupBy("__doc").agg(F.min("__variant").alias("a"), F.max("__variant").alias("b"))
+    if texts.where("a < b").isEmpty():
+        keyed = keyed.withColumn("__variant", F.lit(0).cast("bigint"))
     runs = repeated_runs(
         keyed.select(
             F.col("__doc").alias("doc"), F.col("__variant").alias("variant"), F.col(text).alias("text")
