@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from tierflow.workspace import delete_path, scratch_dir
 
 #: Text of one slice of a batch: what a worker holds as Python objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
