@@ -243,6 +243,8 @@ def near_duplicates(
     components = lowest.join(linked, "fingerprint", "left").select(
         "fingerprint", F.coalesce("named", "lowest").alias("component_id")
     )
+    # stored, so that the join below stands alone and a hot fingerprint can be split
+    components = stored(components, "components")
     return prints.join(components, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
