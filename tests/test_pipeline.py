@@ -117,9 +117,6 @@ def test_batch_append_accumulates_and_serving_is_replaced(flow):
     # Views and later layers see the rows of this run only.
     assert run.relations["std_fruit_sales"].count() == 21
     assert fruit.totals(sink(flow, "serving", "total", "table")) == fruit.FILE_TOTALS
-    assert exists(flow, "standard", "../runs")
-    flow.drop_copies()
-    assert not exists(flow, "standard", "../runs")
 
 
 def test_mode_of_a_task(spark, tmp_path, work):

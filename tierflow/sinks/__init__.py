@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.types import StructType
 
 from ..sources.schema import TABLE_FORMATS
 from ..spec import SinkSpec, TaskSpec
 from ..workspace import Workspace, path_exists
+from .versions import (
+    current_path,
+    merged_schema,
+    note_schema,
+    replace_files,
+    replace_table,
+    stored_schema,
+)
 
 
 def default_mode(stage: str) -> str:
@@ -20,38 +30,88 @@ def store_batch(
 ) -> DataFrame:
     """Write ``df`` to the task's stored sinks; return the relation to read on.
 
-    The result of task code is computed once.  Where the first sink ends up
-    holding just this run's rows, the other sinks and later tasks read it;
-    where it held rows before, a copy of the run's rows is written beside it.
-    A source is cheap to scan and is read again instead of copied.
+    What the task gives is computed, or its source read, once: the first sink
+    is written from it, the other sinks and later tasks read what this run
+    added to the first.
     """
-    sink = task.sink
-    mode = sink.mode or default_mode(task.stage)
-    if not sink.stored:
-        return df
-    first = sink.stored[0]
-    if mode != "overwrite" and stored_before(spark, workspace, task, first):
-        rows = df
-        if task.source is None and ("view" in sink.kinds or len(sink.stored) > 1):
-            rows = _copy(spark, workspace, task, df)
-        for kind in sink.stored:
-            write_sink(workspace, task, rows, kind, mode)
-        return rows
-    write_sink(workspace, task, df, first, mode)
-    rows = read_sink(spark, workspace, task, first, df.schema)
-    for kind in sink.stored[1:]:
-        write_sink(workspace, task, rows, kind, mode)
+    mode = task.sink.mode or default_mode(task.stage)
+    rows = df
+    for number, kind in enumerate(task.sink.stored):
+        written = write_sink(spark, workspace, task, rows, kind, mode)
+        rows = rows if number else written
     return rows
 
 
 def write_sink(
-    workspace: Workspace, task: TaskSpec, df: DataFrame, kind: str, mode: str
-) -> None:
-    writer = _writer(workspace, task.sink, df).mode(mode)
+    spark: SparkSession,
+    workspace: Workspace,
+    task: TaskSpec,
+    df: DataFrame,
+    kind: str,
+    mode: str,
+) -> DataFrame:
+    """Write ``df`` to one sink; return the rows just written, as read back."""
     if kind == "table":
-        writer.saveAsTable(workspace.table(task.sink.target))
-    else:
-        writer.save(workspace.data_path(task.stage, task.sink.target))
+        return _write_table(spark, workspace, task, df, mode)
+    return _write_files(spark, workspace, task, df, mode)
+
+
+def _write_files(spark, workspace, task, df, mode) -> DataFrame:
+    base = workspace.data_path(task.stage, task.sink.target)
+    if mode == "overwrite" and not _in_place(workspace, task.sink):
+        path = replace_files(spark, base, _writer(workspace, task.sink, df).save)
+        note_schema(spark, base, df.schema)
+        return _read_files(spark, workspace, task, path, df.schema)
+    path = current_path(spark, base)
+    if mode == "overwrite" or workspace.storage_format in TABLE_FORMATS:
+        _writer(workspace, task.sink, df).mode(mode).save(path)
+        return _read_files(spark, workspace, task, path, df.schema)
+    if not path_exists(spark, base):
+        _writer(workspace, task.sink, df).mode(mode).save(path)
+        note_schema(spark, base, df.schema)
+        return _read_files(spark, workspace, task, path, df.schema)
+    if mode == "ignore":
+        return df
+    schema = merged_schema(spark, base, df.schema, task.sink.options)
+    before = _files(spark, workspace, task, path, schema)
+    _writer(workspace, task.sink, df).mode(mode).save(path)
+    note_schema(spark, base, schema)
+    new = _files(spark, workspace, task, path, schema) - before
+    return _read_new(spark, workspace, task, path, df.schema, new)
+
+
+def _write_table(spark, workspace, task, df, mode) -> DataFrame:
+    table, sink = workspace.table(task.sink.target), task.sink
+    if mode == "overwrite" and not _in_place(workspace, sink):
+        replace_table(
+            spark,
+            table,
+            workspace.table_versions_path(sink.target),
+            df,
+            sink.partition_by,
+            {"format": workspace.storage_format, **sink.options},
+            _writer(workspace, sink, df).save,
+        )
+        return spark.read.table(table).select(*df.columns)
+    held = mode == "append" and spark.catalog.tableExists(table)
+    if not held or workspace.storage_format in TABLE_FORMATS:
+        written = mode != "ignore" or not spark.catalog.tableExists(table)
+        _writer(workspace, sink, df).mode(mode).saveAsTable(table)
+        return spark.read.table(table).select(*df.columns) if written else df
+    before = set(spark.read.table(table).inputFiles())
+    _writer(workspace, sink, df).mode(mode).saveAsTable(table)
+    spark.catalog.refreshTable(table)
+    new = set(spark.read.table(table).inputFiles()) - before
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
+    location = {row.col_name: row.data_type for row in described}["Location"]
+    return _read_new(spark, workspace, task, location, df.schema, new)
+
+
+def _in_place(workspace: Workspace, sink: SinkSpec) -> bool:
+    """Whether an overwrite is left to the writer: a transaction of the format's
+    own, or only the partitions that come."""
+    dynamic = sink.options.get("partitionOverwriteMode", "").lower() == "dynamic"
+    return dynamic or workspace.storage_format in TABLE_FORMATS
 
 
 def read_sink(
@@ -64,11 +124,11 @@ def read_sink(
     """What a sink holds; a known ``schema`` saves inferring it from files."""
     if kind == "table":
         rows = spark.read.table(workspace.table(task.sink.target))
-    else:
-        path = workspace.data_path(task.stage, task.sink.target)
-        rows = _read_files(spark, workspace, task, path, schema)
-    # Partition columns come last when read; put them back in their place.
-    return rows if schema is None else rows.select(*schema.names)
+        return rows if schema is None else rows.select(*schema.names)
+    base = workspace.data_path(task.stage, task.sink.target)
+    if schema is None:
+        schema = stored_schema(spark, base)
+    return _read_files(spark, workspace, task, current_path(spark, base), schema)
 
 
 def _read_files(
@@ -78,27 +138,28 @@ def _read_files(
     path: str,
     schema: StructType | None,
 ) -> DataFrame:
+    rows = _reader(spark, workspace, task, schema).load(path)
+    # Partition columns come last when read; put them back in their place.
+    return rows if schema is None else rows.select(*schema.names)
+
+
+def _reader(spark, workspace, task, schema):
     reader = spark.read.format(workspace.storage_format).options(**task.sink.options)
     if schema is not None and workspace.storage_format not in TABLE_FORMATS:
         reader = reader.schema(schema)
-    return reader.load(path)
+    return reader
 
 
-def stored_before(
-    spark: SparkSession, workspace: Workspace, task: TaskSpec, kind: str
-) -> bool:
-    if kind == "table":
-        return spark.catalog.tableExists(workspace.table(task.sink.target))
-    return path_exists(spark, workspace.data_path(task.stage, task.sink.target))
+def _files(spark, workspace, task, path, schema) -> set[str]:
+    return set(_reader(spark, workspace, task, schema).load(path).inputFiles())
 
 
-def _copy(
-    spark: SparkSession, workspace: Workspace, task: TaskSpec, df: DataFrame
-) -> DataFrame:
-    path = workspace.run_path(task.stage, task.sink.target)
-    writer = df.write.format(workspace.storage_format).options(**task.sink.options)
-    writer.save(path)
-    return _read_files(spark, workspace, task, path, df.schema)
+def _read_new(spark, workspace, task, base, schema, files: set[str]) -> DataFrame:
+    """The rows of some files of a dataset."""
+    if not files:
+        return spark.createDataFrame([], schema)
+    reader = _reader(spark, workspace, task, schema).option("basePath", base)
+    return reader.load([unquote(name) for name in sorted(files)]).select(*schema.names)
 
 
 def _writer(workspace: Workspace, sink: SinkSpec, df: DataFrame) -> DataFrameWriter:

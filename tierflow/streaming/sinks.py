@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks import read_sink, write_sink
+from ..sinks import write_sink
 from ..spec import TaskSpec
 from ..workspace import Workspace
 from .queries import stopped_on_error
@@ -66,12 +66,10 @@ def _start_complete(
     stored = task.sink.stored
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        write_sink(workspace, task, batch, stored[0], "overwrite")
-        if len(stored) > 1:
-            session = batch.sparkSession
-            rows = read_sink(session, workspace, task, stored[0], batch.schema)
-            for kind in stored[1:]:
-                write_sink(workspace, task, rows, kind, "overwrite")
+        session = batch.sparkSession
+        rows = write_sink(session, workspace, task, batch, stored[0], "overwrite")
+        for kind in stored[1:]:
+            write_sink(session, workspace, task, rows, kind, "overwrite")
 
     checkpoint = workspace.checkpoint_path(task.stage, task.sink.target, "complete")
     writer = df.writeStream.outputMode("complete").foreachBatch(replace)

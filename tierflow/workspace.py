@@ -13,7 +13,7 @@ LAYER_FOLDERS = {"staging": "stg", "standard": "std", "serving": "srv"}
 DATA_FOLDER = "data"
 CHECKPOINT_FOLDER = "chkpt"
 
-RUNS_FOLDER = "runs"
+VERSIONS_FOLDER = "versions"
 
 _local_roots: dict[str, str] = {}
 
@@ -50,6 +50,36 @@ def delete_path(spark: SparkSession, path: str) -> None:
     filesystem.delete(location, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, none where it does not exist."""
+    filesystem, location = _filesystem(spark, path)
+    if not filesystem.exists(location):
+        return []
+    return sorted(status.getPath().getName() for status in filesystem.listStatus(location))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create or replace a small file."""
+    filesystem, location = _filesystem(spark, path)
+    out = filesystem.create(location, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None where there is none."""
+    filesystem, location = _filesystem(spark, path)
+    if not filesystem.exists(location):
+        return None
+    source = filesystem.open(location)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def _filesystem(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
@@ -82,12 +112,9 @@ class Workspace:
         """One checkpoint per sink, so two sinks of a task never share offsets."""
         return f"{self.root}/{LAYER_FOLDERS[stage]}/{CHECKPOINT_FOLDER}/{target}/{sink}"
 
-    def run_path(self, stage: str, target: str) -> str:
-        """A folder for the rows of one run, apart from the stored dataset."""
-        return f"{self.runs_path(stage)}/{target}-{uuid.uuid4().hex}"
-
-    def runs_path(self, stage: str) -> str:
-        return f"{self.root}/{LAYER_FOLDERS[stage]}/{RUNS_FOLDER}"
+    def table_versions_path(self, target: str) -> str:
+        """Data of a table that is replaced, a folder for each version."""
+        return f"{self.root}/{VERSIONS_FOLDER}/{target}"
 
     def table(self, target: str) -> str:
         return f"{self.schema}.{_quoted(target)}"
