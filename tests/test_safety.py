@@ -1,0 +1,203 @@
+"""What fails, is stopped or does not fit leaves what was stored as it was."""
+
+import time
+
+import fruit
+import pytest
+from tierflow import Pipeline, SpecError
+from tierflow.sinks import read_sink
+from tierflow.sources import load_source
+from tierflow.spec import SourceSpec
+from tierflow.workspace import names_in
+
+
+def task(name, target, build, *kinds, mode="batch", **extra):
+    return {
+        "name": name,
+        "type": mode,
+        "code": build,
+        "output": {"target": target, "type": list(kinds), **extra},
+    }
+
+
+def stored(flow, stage, name, kind):
+    return read_sink(flow.spark, flow.workspace, flow.spec.task(stage, name), kind)
+
+
+def ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
+FAILING = "SELECT id, IF(id = 3, raise_error('broken'), 'new') AS s FROM range(10)"
+
+
+# --- replacing -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["file", "table"])
+@pytest.mark.parametrize("partitions", [[], ["s"]])
+def test_failed_overwrite_keeps_the_last_result(spark, work, kind, partitions):
+    text = ["SELECT id, 'old' AS s FROM range(5)"]
+    serving = [task("t", "srv_t", lambda s: s.sql(text[0]), kind, partition_by=partitions)]
+    flow = Pipeline(spark, {"name": f"keeps_{kind}_{len(partitions)}", "serving": serving}, work)
+    flow.run()
+    text[0] = FAILING
+    with pytest.raises(Exception, match="broken"):
+        flow.run()
+    assert ids(stored(flow, "serving", "t", kind)) == [0, 1, 2, 3, 4]
+    for text[0] in ("SELECT id, 'x' AS s FROM range(2)", "SELECT id, 1 AS n, 'x' AS s FROM range(3)"):
+        flow.run()
+        result = stored(flow, "serving", "t", kind)
+        assert ids(result) == list(range(result.count())) and result.count() in (2, 3)
+    assert sorted(result.columns) == ["id", "n", "s"]
+
+
+def test_old_versions_are_deleted(spark, work):
+    serving = [task("t", "srv_t", lambda s: s.range(3), "file", "table")]
+    flow = Pipeline(spark, {"name": "versions", "serving": serving}, work)
+    for _ in range(4):
+        run = flow.run()
+    base = flow.workspace.data_path("serving", "srv_t")
+    assert len(names_in(spark, f"{base}/_versions")) == 2
+    assert len(names_in(spark, flow.workspace.table_versions_path("srv_t"))) == 2
+    assert ids(run.relations["srv_t"]) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("kind", ["file", "table"])
+def test_a_batch_that_fails_keeps_the_complete_result(spark, tmp_path, work, kind):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, f"stream_{kind}", "streaming", total_sinks=(kind,))
+    flow = Pipeline(spark, document, work)
+    flow.run()
+    assert fruit.totals(stored(flow, "serving", "total", kind)) == fruit.FILE_TOTALS
+    # the next micro-batch has rows, and fails while it is written
+    fruit.write_sales_day(tmp_path / "sales", "2022-01-13", 12)
+    document["serving"][0]["output"]["options"] = {"compression": "no such codec"}
+    with pytest.raises(Exception, match="codec"):
+        Pipeline(spark, document, work).run()
+    assert fruit.totals(stored(flow, "serving", "total", kind)) == fruit.FILE_TOTALS
+
+
+# --- appending -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", ["SELECT id, 1 AS more FROM range(2)", "SELECT 'a' AS id", "SELECT 1 AS other"])
+def test_other_columns_are_not_appended(spark, work, text):
+    code = ["SELECT id FROM range(3)"]
+    standard = [task("t", "std_t", lambda s: s.sql(code[0]), "file")]
+    flow = Pipeline(spark, {"name": f"refuses_{len(text)}", "standard": standard}, work)
+    flow.run()
+    code[0] = text
+    with pytest.raises(SpecError, match="differ"):
+        flow.run()
+    assert ids(stored(flow, "standard", "t", "file")) == [0, 1, 2]
+
+
+def test_merged_columns_are_read_back_whole(spark, work):
+    code = ["SELECT id, 'a' AS s FROM range(3)"]
+    standard = [task("t", "std_t", lambda s: s.sql(code[0]), "file", options={"mergeSchema": True})]
+    flow = Pipeline(spark, {"name": "merges", "standard": standard}, work)
+    flow.run()
+    for code[0] in ("SELECT id, 'b' AS s, 1.5D AS extra FROM range(3, 5)", "SELECT id FROM range(5, 6)"):
+        run = flow.run()
+    assert ids(run.relations["std_t"]) == [5]
+    for _ in range(3):
+        rows = stored(flow, "standard", "t", "file")
+        assert rows.columns == ["id", "s", "extra"]
+        assert sorted((r.id, r.s, r.extra) for r in rows.where("id > 1").collect()) == [
+            (2, "a", None), (3, "b", 1.5), (4, "b", 1.5), (5, None, None),
+        ]
+    code[0] = "SELECT 'x' AS id"
+    with pytest.raises(SpecError, match="differ"):
+        flow.run()
+
+
+@pytest.mark.parametrize("partitions", [[], ["part"]])
+def test_a_rerun_writes_its_rows_once_and_reads_them(spark, work, partitions):
+    calls = []
+
+    def build(s):
+        calls.append(1)
+        return s.range(4).selectExpr("id", "'a b' AS part", "uuid() AS mark")
+
+    standard = [task("t", "std_t", build, "file", "table", "view", partition_by=partitions)]
+    flow = Pipeline(spark, {"name": f"once_{len(partitions)}", "standard": standard}, work)
+    for n in (1, 2, 3):
+        marks = {r.mark for r in flow.run().relations["std_t"].collect()}
+        assert len(marks) == 4
+        for kind in ("file", "table"):
+            rows = stored(flow, "standard", "t", kind)
+            assert rows.count() == 4 * n
+            assert marks <= {r.mark for r in rows.collect()}
+    assert names_in(spark, f"{work}/once_{len(partitions)}/std") == ["data"]
+
+
+# --- strictness ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["typo_filestore", "typo_jdbc", "my_lake", "a_b_eventhub", "eventhubs"])
+def test_unknown_source_types_are_refused(spark, kind):
+    with pytest.raises(SpecError, match="unknown source type"):
+        load_source(spark, SourceSpec(kind=kind, format="csv", path="/nowhere", read_type="batch"))
+
+
+def test_streams_take_no_write_mode(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, "moded", "streaming")
+    document["staging"][0]["output"] = {"target": "stg_sales", "type": ["file"], "mode": "overwrite"}
+    with pytest.raises(SpecError, match="write mode"):
+        Pipeline(spark, document, work).run(stage="staging")
+
+
+def test_one_deadline_for_all_queries_of_a_task(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, "deadline", "streaming", sold_sinks=("file", "table"))
+    flow = Pipeline(spark, document, work)
+    began = time.monotonic()
+    run = flow.run(stage="standard", await_seconds=8)
+    assert time.monotonic() - began < 15
+    assert not any(q.isActive for q in run.queries)
+
+
+def test_a_broken_sibling_is_the_cause(spark, work):
+    standard = [
+        {"name": "one", "code": {"lang": "sql", "sql": "SELECT * FROM no_such_table"}, "output": {"target": "std_one", "type": "view"}},
+        {"name": "two", "code": {"lang": "sql", "sql": "SELECT * FROM std_one"}, "output": {"target": "std_two", "type": "view"}},
+    ]
+    flow = Pipeline(spark, {"name": "siblings", "standard": standard}, work)
+    for run in (lambda: flow.run(task="two", stage="standard"), lambda: flow.try_task("standard", "two")):
+        with pytest.raises(Exception, match="std_one") as caught:
+            run()
+        assert "no_such_table" in str(caught.value.__cause__)
+
+
+# --- streams read what is stored ---------------------------------------------------
+
+
+def test_each_row_is_read_once_and_joined_once(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, "readonce", "streaming", sold_sinks=("file", "table", "view"))
+    flow = Pipeline(spark, document, work)
+    run = flow.run()
+    read = {}
+    for query in run.queries:
+        for progress in query.recentProgress:
+            for source in progress.sources:
+                name = str(source.description)
+                read[name] = read.get(name, 0) + source.numInputRows
+    raw = [n for name, n in read.items() if "/stg/" not in name and "/std/" not in name]
+    assert sum(raw) == 21
+    assert sum(n for name, n in read.items() if "/stg/" in name) == 21
+    assert fruit.totals(stored(flow, "serving", "total", "table")) == fruit.FILE_TOTALS
+    flow.run()
+    assert stored(flow, "standard", "join", "table").count() == 21
+
+
+def test_a_layer_goes_on_with_what_it_read_first(spark, tmp_path, work):
+    fruit.write_files(tmp_path)
+    document = fruit.document(tmp_path, "goeson", "streaming", sold_sinks=("file", "view"))
+    flow = Pipeline(spark, document, work)
+    flow.run(stage="standard")  # staging has stored nothing yet
+    flow.run()
+    flow.run(stage="standard")
+    assert stored(flow, "standard", "join", "file").count() == 21

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -14,8 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sinks import store_batch
 from ..sources import load_source, relation_from_rows
 from ..spec import STAGES, PipelineSpec, SourceSpec, SpecError, TaskSpec, parse_pipeline
-from ..streaming import AT_ONCE, DRAIN, finish, run_for, start_sinks
-from ..workspace import Workspace, shared_root
+from ..streaming import (
+    AT_ONCE,
+    DRAIN,
+    default_output_mode,
+    finish,
+    has_stored,
+    run_for,
+    start_sinks,
+    stored_stream,
+)
+from ..workspace import Workspace, read_text, shared_root, write_text
 from .namespace import current_schema, drop_schema
 from .preview import PREVIEW_ROWS, json_rows, output_of, preview, try_task
 from .tasks import run_code
@@ -143,12 +153,20 @@ class Pipeline:
         trigger: Mapping[str, Any] | None,
     ) -> None:
         self._resolve(task.stage, run.relations)
-        self._resolve_siblings(task, run.relations)
-        df = self._build(task)
+        skipped = self._resolve_siblings(task, run.relations)
+        inputs = self._feed(task, run.relations)
+        try:
+            df = self._build(task)
+        except AnalysisException as error:
+            # A task before it that could not be built is the likely cause.
+            raise error from (skipped[0] if skipped else None)
         if df.isStreaming:
             if task.code is not None and not task.streaming:
                 raise SpecError(f"batch task {task.name!r} reads a streaming relation")
             pace = trigger or (DRAIN if await_seconds is None else AT_ONCE)
+            if inputs:
+                path = self.workspace.inputs_path(task.stage, task.sink.target)
+                write_text(self.spark, path, json.dumps(inputs))
             queries = start_sinks(self.workspace, task, df, pace)
             run.queries += queries
             if await_seconds is not None:
@@ -167,18 +185,49 @@ class Pipeline:
             for task in self.spec.layer(earlier):
                 self._resolve_task(task, known)
 
-    def _resolve_siblings(self, task: TaskSpec, known: dict[str, DataFrame]) -> None:
+    def _resolve_siblings(
+        self, task: TaskSpec, known: dict[str, DataFrame]
+    ) -> list[AnalysisException]:
         """Add the views of tasks listed before ``task`` in its layer.
 
-        One that cannot be built is left out: the task may not read it.
+        One that cannot be built is left out, as the task may not read it; why
+        is returned.
         """
-        if task.source is not None:
-            return
-        for sibling in self.spec.before(task):
+        skipped: list[AnalysisException] = []
+        for sibling in self.spec.before(task) if task.source is None else ():
             try:
                 self._resolve_task(sibling, known)
-            except AnalysisException:
+            except AnalysisException as error:
+                skipped.append(error)
+        return skipped
+
+    def _feed(self, task: TaskSpec, known: dict[str, DataFrame]) -> dict[str, str]:
+        """Views of streams that are stored read what is stored.
+
+        A stream that was never stored is built from its source instead.  What a
+        task read first it goes on reading, as its checkpoint counts on it.
+        """
+        if task.source is not None:
+            return {}
+        path = self.workspace.inputs_path(task.stage, task.sink.target)
+        noted = json.loads(read_text(self.spark, path) or "{}")
+        chosen: dict[str, str] = {}
+        earlier = [t for s in STAGES[: STAGES.index(task.stage)] for t in self.spec.layer(s)]
+        for other in (*earlier, *self.spec.before(task)):
+            target = other.sink.target
+            rows = known.get(target)
+            if rows is None or not rows.isStreaming or not other.sink.stored:
+                continue
+            if "view" not in other.sink.kinds or default_output_mode(other.stage) == "complete":
                 continue
+            held = has_stored(self.spark, self.workspace, other)
+            chosen[target] = noted.get(target, "stored" if held else "built")
+            if chosen[target] == "stored":
+                rows = stored_stream(self.spark, self.workspace, other, rows.schema)
+            else:
+                rows = self._build(other)
+            self._publish(target, rows)
+        return chosen
 
     def _resolve_task(self, task: TaskSpec, known: dict[str, DataFrame]) -> None:
         target = task.sink.target

@@ -87,12 +87,17 @@ def try_task(
     relations = _sample_relations(spark, spec, samples or {})
     for task in spec.standard if stage == "serving" else ():
         relations[task.sink.target] = _over(spark, relations, task)
+    skipped = None
     for task in spec.before(chosen):
         try:
             relations[task.sink.target] = _over(spark, relations, task)
-        except AnalysisException:
-            continue
-    return _over(spark, relations, chosen)
+        except AnalysisException as error:
+            skipped = skipped or error
+    try:
+        return _over(spark, relations, chosen)
+    except AnalysisException as error:
+        # A task before it that could not be built is the likely cause.
+        raise error from skipped
 
 
 def _over(

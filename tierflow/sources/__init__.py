@@ -32,6 +32,9 @@ LOADERS: dict[str, Loader] = {
     "adls_gen1": load_adl,
 }
 
+# Types whose names documents write with a vendor's word in front.
+VENDOR_TYPES = ("eventhub", "messages", "adls_gen1", "adls_gen2", "object_store")
+
 
 def register_source(kind: str, loader: Loader) -> None:
     """Add a source type of your own."""
@@ -41,8 +44,8 @@ def register_source(kind: str, loader: Loader) -> None:
 def load_source(spark: SparkSession, source: SourceSpec) -> DataFrame:
     kind = source.kind.lower()
     if kind not in LOADERS:
-        # A vendor word in front of a known type name is dropped.
-        kind = re.sub(r"^[a-z0-9]+_", "", kind)
+        bare = re.sub(r"^[a-z0-9]+_", "", kind)
+        kind = bare if bare in VENDOR_TYPES else kind
     if kind not in LOADERS:
         raise SpecError(f"unknown source type {source.kind!r}")
     return LOADERS[kind](spark, source)

@@ -1,13 +1,15 @@
 """Streaming sinks and how long their queries run."""
 
 from .queries import AT_ONCE, DRAIN, finish, run_for
-from .sinks import default_output_mode, start_sinks
+from .sinks import default_output_mode, has_stored, start_sinks, stored_stream
 
 __all__ = [
     "AT_ONCE",
     "DRAIN",
     "default_output_mode",
     "finish",
+    "has_stored",
     "run_for",
     "start_sinks",
+    "stored_stream",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -21,10 +22,16 @@ def finish(queries: Sequence[StreamingQuery]) -> None:
 
 
 def run_for(queries: Sequence[StreamingQuery], seconds: float) -> None:
-    """Let running queries work for a while, then stop them."""
+    """Let running queries work until one common deadline, then stop them all."""
+    deadline = time.monotonic() + seconds
     with stopped_on_error(queries):
         for query in queries:
-            query.awaitTermination(seconds)
+            left = deadline - time.monotonic()
+            if left > 0:
+                query.awaitTermination(left)
+        for query in queries:
+            if query.exception() is not None:
+                raise query.exception()
             query.stop()
 
 

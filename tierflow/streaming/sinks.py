@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..sinks import write_sink
-from ..spec import TaskSpec
-from ..workspace import Workspace
+from ..sinks.versions import merged_schema, note_schema
+from ..sources.schema import TABLE_FORMATS
+from ..spec import SpecError, TaskSpec
+from ..workspace import Workspace, path_exists
 from .queries import stopped_on_error
 
 
@@ -22,18 +25,55 @@ def default_output_mode(stage: str) -> str:
 def start_sinks(
     workspace: Workspace, task: TaskSpec, df: DataFrame, trigger: Mapping[str, Any]
 ) -> list[StreamingQuery]:
-    """Start the queries that fill the task's stored sinks."""
+    """Start the queries that fill the task's stored sinks.
+
+    Only the first reads ``df``; the others stream what it has stored, so that
+    each row is computed once.  A query that drains its source is waited for
+    before the next one reads what it stored.
+    """
     if not task.sink.stored:
         return []
+    if task.sink.mode is not None:
+        raise SpecError(f"task {task.name!r}: a write mode is for batch tasks, not for streams")
     if default_output_mode(task.stage) == "complete":
         return [_start_complete(workspace, task, df, trigger)]
+    spark = df.sparkSession
+    _check_files(workspace, task, df)
     started: list[StreamingQuery] = []
     with stopped_on_error(started):
         for kind in task.sink.stored:
-            started.append(_start_append(workspace, task, df, kind, trigger))
+            rows = stored_stream(spark, workspace, task, df.schema) if started else df
+            started.append(_start_append(workspace, task, rows, kind, trigger))
+            if "availableNow" in trigger:
+                started[-1].awaitTermination()
     return started
 
 
+def stored_stream(
+    spark: SparkSession, workspace: Workspace, task: TaskSpec, schema: StructType
+) -> DataFrame:
+    """What a streaming task's first sink has stored, each row once, as a stream."""
+    if task.sink.stored[0] == "table":
+        return spark.readStream.table(workspace.table(task.sink.target)).select(*schema.names)
+    reader = spark.readStream.format(workspace.storage_format).options(**task.sink.options)
+    if workspace.storage_format not in TABLE_FORMATS:
+        reader = reader.schema(schema)
+    path = workspace.data_path(task.stage, task.sink.target)
+    return reader.load(path).select(*schema.names)
+
+
+def has_stored(spark: SparkSession, workspace: Workspace, task: TaskSpec) -> bool:
+    """Whether a streaming task has filled its first sink before."""
+    target, kind = task.sink.target, task.sink.stored[0]
+    return path_exists(spark, workspace.checkpoint_path(task.stage, target, kind))
+
+
+def _check_files(workspace: Workspace, task: TaskSpec, df: DataFrame) -> None:
+    if "file" in task.sink.stored and workspace.storage_format not in TABLE_FORMATS:
+        spark, base = df.sparkSession, workspace.data_path(task.stage, task.sink.target)
+        note_schema(spark, base, merged_schema(spark, base, df.schema, task.sink.options))
+
+
 def _start_append(
     workspace: Workspace,
     task: TaskSpec,

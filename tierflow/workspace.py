@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -32,6 +34,7 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.conf.get("spark.app.id")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="tierflow-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
@@ -112,6 +115,10 @@ class Workspace:
         """One checkpoint per sink, so two sinks of a task never share offsets."""
         return f"{self.root}/{LAYER_FOLDERS[stage]}/{CHECKPOINT_FOLDER}/{target}/{sink}"
 
+    def inputs_path(self, stage: str, target: str) -> str:
+        """Notes what a streaming task reads, so that it goes on with the same."""
+        return f"{self.root}/{LAYER_FOLDERS[stage]}/{CHECKPOINT_FOLDER}/{target}/inputs.json"
+
     def table_versions_path(self, target: str) -> str:
         """Data of a table that is replaced, a folder for each version."""
         return f"{self.root}/{VERSIONS_FOLDER}/{target}"

@@ -75,13 +75,10 @@ def parallelism(spark: SparkSession) -> int:
 def land(spark: SparkSession, df: DataFrame, format: str, path: str | None = None) -> str:
     """Write a table to a landing folder, where more can land later.
 
-    A table of fewer partitions than there are cores is spread over them, so
-    that streams find several files.
+    It is spread over the cores, so that streams find several files.
     """
     path = path or scratch_dir(spark, "landing")
-    cores = parallelism(spark)
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+    df = df.repartition(parallelism(spark))
     df.write.format(format).mode("append").options(**FILE_DEFAULTS).save(path)
     return path
 
