@@ -1,6 +1,7 @@
 """DataFrame forms of the operators pipelines are built from."""
 
 from .aggregates import first_rows, revenue_by, roll_up, summarize
+from .history import latest, latest_stream, versions_from_changes, with_load_columns
 from .joins import broadcast_fits, temporal_left_join
 from .percentiles import exact_percentile_bounds, percentile_bounds, trim_outliers
 from .trips import curate_trips, derive_trips, summarize_trips, trim_trips
@@ -11,6 +12,8 @@ __all__ = [
     "derive_trips",
     "exact_percentile_bounds",
     "first_rows",
+    "latest",
+    "latest_stream",
     "percentile_bounds",
     "revenue_by",
     "roll_up",
@@ -19,4 +22,6 @@ __all__ = [
     "temporal_left_join",
     "trim_outliers",
     "trim_trips",
+    "versions_from_changes",
+    "with_load_columns",
 ]

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A dimension measured below this many bytes is sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Facts of one key a task may get; a key with more is hot and cut into slices.
+# There are at most facts / slice rows of them: a million for 10^12 facts.
 SLICE_ROWS = 1_000_000
-# Least share of the facts a hot key has, so that at most 1/share of them exist.
-HOT_SHARE = 0.00001
 # Versions of one key a fact may be compared with one by one.
 FEW_VERSIONS = 64
-# Share of all versions that makes a key crowded as well; 1/share of them can exist.
-CROWDED_SHARE = 0.00001
+# Keys with more versions are listed; a list up to this long is broadcast.
+LISTED_KEYS = 1_000_000
 # Types left out of a row's hash, which cannot take all of them.
 NESTED = ("array", "map", "struct", "variant")
 
@@ -29,6 +29,8 @@ def temporal_left_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     slice_rows: int = SLICE_ROWS,
     few_versions: int = FEW_VERSIONS,
+    listed_keys: int = LISTED_KEYS,
+    hot: Mapping[Any, int] | None = None,
 ) -> DataFrame:
     """Left join of each fact to the dimension rows valid at its time.
 
@@ -39,10 +41,11 @@ def temporal_left_join(
 
     A dimension measured to be small is broadcast and the facts do not move.
     A larger one is joined by a shuffle on the key, where the rows of every hot
-    key are spread over as many tasks as their number calls for.  A
-    streaming fact side is shuffled one micro-batch at a time, not spread.
-    Where a key has many versions its time is cut into slots, so that a fact
-    meets the few versions of its slot.
+    key are spread over as many tasks as their number calls for.  Streaming facts
+    cannot be counted ahead: ``hot`` names their hot keys and the tasks for each.
+    Every key with more than ``few_versions`` versions has its time cut into
+    slots, so that a fact meets the few versions of its slot.  Times that have
+    no order as numbers, such as text, cannot be cut and are refused there.
     """
     fact_key, version_key = on
     start, end = valid
@@ -52,19 +55,29 @@ def temporal_left_join(
         & (F.col(f"fact.{at}") < F.col(f"version.{end}"))
     )
     added = []
-    size = _measure(versions, version_key)
-    ticks = _ticks(dict(facts.dtypes)[at], *[dict(versions.dtypes)[c] for c in valid])
-    if size["most"] > few_versions and ticks is not None:
-        crowded = max(few_versions, int(size["rows"] * CROWDED_SHARE))
-        slots = _slots_of_crowded_keys(versions, version_key, valid, ticks, crowded)
-        facts = _with_slot(facts, fact_key, at, slots, ticks)
-        versions = _with_slots(versions, version_key, valid, slots, ticks)
+    small, crowded = _measure(versions, version_key, broadcast_bytes, few_versions)
+    if crowded:
+        times = [dict(facts.dtypes)[at], *[dict(versions.dtypes)[c] for c in valid]]
+        ticks = _ticks(*times)
+        listed = F.broadcast if crowded <= listed_keys else _as_it_is
+        slots = _slots_of_crowded_keys(
+            versions, version_key, valid, ticks, few_versions, listed
+        )
+        facts = _with_slot(facts, fact_key, at, listed(slots), ticks)
+        versions = _with_slots(versions, version_key, valid, listed(slots), ticks)
         added.append("__slot")
-    if size["bytes"] <= broadcast_bytes:
+        # What is sent are the versions as often as the cut repeats them.
+        small = small and broadcast_fits(versions, broadcast_bytes)
+    if small:
         versions = F.broadcast(versions)
-    elif not facts.isStreaming:
+    elif hot or not facts.isStreaming:
+        if hot:
+            kind = dict(facts.dtypes)[fact_key]
+            slices = _named_keys(facts.sparkSession, hot, kind)
+        else:
+            slices = hot_keys(facts, fact_key, slice_rows)
         facts, versions = _spread_hot_keys(
-            facts, versions, fact_key, version_key, slice_rows
+            facts, versions, fact_key, version_key, slices
         )
         added.append("__slice")
     for column in added:
@@ -81,9 +94,14 @@ def broadcast_fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (size or 0) <= max_bytes
 
 
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def _width(df: DataFrame) -> Column:
-    """Bytes of a row: a word per column, and what its text or nesting adds."""
-    width = F.lit(8 * len(df.columns)).cast("bigint")
+    """Bytes of a row in a hash table: a word per column and for the row, the
+    key and the table's entry, and what text or nesting adds."""
+    width = F.lit(8 * (len(df.columns) + 4)).cast("bigint")
     for name, kind in df.dtypes:
         value = F.col(name)
         if kind.startswith(NESTED):
@@ -93,33 +111,31 @@ def _width(df: DataFrame) -> Column:
     return width
 
 
-def _measure(versions: DataFrame, key: str) -> dict[str, int]:
-    """Bytes and rows of a dimension, and the most rows one key has."""
+def _measure(
+    versions: DataFrame, key: str, max_bytes: int, few: int
+) -> tuple[bool, int]:
+    """Whether a dimension fits in so many bytes, and its keys with over ``few`` rows."""
     keys = versions.groupBy(key).agg(
         F.sum(_width(versions)).alias("bytes"), F.count("*").alias("rows")
     )
-    size = keys.agg(F.sum("bytes"), F.sum("rows"), F.max("rows")).first()
-    return {"bytes": size[0] or 0, "rows": size[1] or 0, "most": size[2] or 0}
+    size = keys.agg(F.sum("bytes"), F.count_if(F.col("rows") > few)).first()
+    return (size[0] or 0) <= max_bytes, size[1]
 
 
 # --- hot keys ----------------------------------------------------------------
 
 
-def hot_keys(
-    df: DataFrame, key: str, slice_rows: int = SLICE_ROWS, share: float = HOT_SHARE
-) -> DataFrame:
-    """Keys with at least ``slice_rows`` rows, and the slices to cut them in.
-
-    Where ``share`` of all rows is more, that is the size of a slice, so that at
-    most ``1 / share`` keys qualify whatever the size of ``df``.
-    """
+def hot_keys(df: DataFrame, key: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Keys with at least ``slice_rows`` rows, and the slices to cut them in."""
     counts = df.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__rows"))
-    slice_size = F.greatest(F.sum("__rows") * F.lit(share), F.lit(float(slice_rows)))
-    slice_size = counts.agg(slice_size).scalar()
-    hot = counts.where(F.col("__rows") >= slice_size)
-    return hot.select(
-        "__hot", F.ceil(F.col("__rows") / slice_size).cast("int").alias("__slices")
-    )
+    slices = F.ceil(F.col("__rows") / slice_rows).cast("int").alias("__slices")
+    return counts.where(F.col("__rows") >= slice_rows).select("__hot", slices)
+
+
+def _named_keys(spark: SparkSession, hot: Mapping[Any, int], kind: str) -> DataFrame:
+    rows = [(str(key), int(slices)) for key, slices in hot.items()]
+    named = spark.createDataFrame(rows, "__hot string, __slices int")
+    return named.withColumn("__hot", F.col("__hot").cast(kind))
 
 
 def _spread_hot_keys(
@@ -127,15 +143,15 @@ def _spread_hot_keys(
     versions: DataFrame,
     fact_key: str,
     version_key: str,
-    slice_rows: int,
+    slices: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
     """Number the slices of both sides: a fact has one, a version all of its key's.
 
     Equal rows in different input partitions get different slices, and a task
     run again gives a row the slice it had before.
     """
-    # Bounded by 1/HOT_SHARE rows, see hot_keys; both sides share one broadcast.
-    hot = F.broadcast(hot_keys(facts, fact_key, slice_rows))
+    # A row for so many facts, see SLICE_ROWS; both sides share one broadcast.
+    hot = F.broadcast(slices)
     hashed = [c for c, kind in facts.dtypes if not kind.startswith(NESTED)]
     row = F.xxhash64(F.spark_partition_id(), *hashed)
     facts = _with_slices(facts, fact_key, hot)
@@ -159,16 +175,20 @@ def _with_slices(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
 Ticks = Callable[[str], Column]
 
 
-def _ticks(*types: str) -> Ticks | None:
-    """Times as numbers that order as the times compare, None for other types."""
+def _ticks(*types: str) -> Ticks:
+    """Times as numbers that never fall where the times rise."""
     instants, wall_clock = {"timestamp"}, {"timestamp_ntz", "date"}
     if set(types) <= instants | wall_clock and instants & set(types):
         return lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
     if set(types) <= wall_clock:
         return _wall_clock_seconds
-    if all(kind in ("tinyint", "smallint", "int", "double", "float") for kind in types):
+    numbers = ("tinyint", "smallint", "int", "bigint", "double", "float", "decimal")
+    if all(kind.startswith(numbers) for kind in types):
         return lambda c: F.col(c).cast("double")
-    return None
+    raise ValueError(
+        f"a key has many versions and times of types {', '.join(types)} cannot be cut "
+        "into slots; cast them to timestamps or numbers"
+    )
 
 
 def _wall_clock_seconds(name: str) -> Column:
@@ -179,13 +199,17 @@ def _wall_clock_seconds(name: str) -> Column:
 
 
 def _slots_of_crowded_keys(
-    versions: DataFrame, key: str, valid: tuple[str, str], ticks: Ticks, crowded: int
+    versions: DataFrame,
+    key: str,
+    valid: tuple[str, str],
+    ticks: Ticks,
+    few: int,
+    listed: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """First and last start of each crowded key, and the slots between them.
 
     A key has as many slots as versions, fewer where versions overlap: cutting
     a key's versions at its slots no more than about doubles their number.
-    The result is bounded by the share of the versions a crowded key has.
     """
     start, end = (ticks(c) for c in valid)
     keyed = versions.select(
@@ -196,12 +220,12 @@ def _slots_of_crowded_keys(
         F.max("start").alias("__last"),
         F.count("*").alias("rows"),
     )
-    spans = spans.where((F.col("rows") > crowded) & (F.col("__first") < F.col("__last")))
+    spans = spans.where((F.col("rows") > few) & (F.col("__first") < F.col("__last")))
     covered = F.least("end", "__last") - F.col("start")
     depth = F.sum(covered / (F.col("__last") - F.col("__first")))
     slots = F.floor(F.col("rows") / F.greatest(depth, F.lit(1.0))).cast("int")
     return (
-        keyed.join(F.broadcast(spans), "__crowded")
+        keyed.join(listed(spans), "__crowded")
         .groupBy("__crowded", "__first", "__last", "rows")
         .agg(F.greatest(slots, F.lit(1)).alias("__slots"))
         .drop("rows")
@@ -217,7 +241,7 @@ def _slot_at(time: Column) -> Column:
 def _with_slot(
     facts: DataFrame, key: str, at: str, slots: DataFrame, ticks: Ticks
 ) -> DataFrame:
-    slotted = facts.join(F.broadcast(slots), F.col(key) == F.col("__crowded"), "left")
+    slotted = facts.join(slots, F.col(key) == F.col("__crowded"), "left")
     slotted = slotted.withColumn("__slot", _slot_at(ticks(at)))
     return slotted.drop(*slots.columns)
 
@@ -228,6 +252,6 @@ def _with_slots(
     """A version once for every slot it is valid in; empty ones match nothing."""
     start, end = valid
     some = versions.where(F.col(start) < F.col(end))
-    slotted = some.join(F.broadcast(slots), F.col(key) == F.col("__crowded"), "left")
+    slotted = some.join(slots, F.col(key) == F.col("__crowded"), "left")
     numbers = F.sequence(_slot_at(ticks(start)), _slot_at(ticks(end)))
     return slotted.withColumn("__slot", F.explode(numbers)).drop(*slots.columns)

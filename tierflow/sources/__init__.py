@@ -4,10 +4,11 @@ DataFrame whose ``isStreaming`` tells batch from stream."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.history import with_load_columns
 from ..spec import SourceSpec, SpecError
 from .files import load_files, load_incremental_files, load_lake
 from .jdbc import load_jdbc
@@ -48,7 +49,11 @@ def load_source(spark: SparkSession, source: SourceSpec) -> DataFrame:
         kind = bare if bare in VENDOR_TYPES else kind
     if kind not in LOADERS:
         raise SpecError(f"unknown source type {source.kind!r}")
-    return LOADERS[kind](spark, source)
+    rows = LOADERS[kind](spark, source)
+    wanted = source.optional("load_metadata")
+    if not wanted:
+        return rows
+    return with_load_columns(rows, wanted if isinstance(wanted, Mapping) else {})
 
 
 __all__ = [
