@@ -150,19 +150,74 @@ def crowd_brute_force(facts, versions):
     return sorted(expected, key=str)
 
 
-@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz", "bigint", "decimal(30,6)"])
 @pytest.mark.parametrize("overlapping", [False, True])
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 10, "slice_rows": 150}])
+@pytest.mark.parametrize(
+    "options",
+    [
+        {},
+        {"broadcast_bytes": 10, "slice_rows": 150},
+        # The list of crowded keys is too long to send: it is joined by a shuffle.
+        {"broadcast_bytes": 10, "slice_rows": 150, "listed_keys": 0},
+    ],
+)
 def test_crowded_keys_equal_brute_force(spark, time, overlapping, options):
     case = crowd(overlapping)
     left, right = frames(spark, case)
-    left = left.withColumn("at", F.col("at").cast(time))
-    right = right.withColumns({c: F.col(c).cast(time) for c in ("start", "until")})
+
+    def timed(name):
+        if time == "bigint":
+            return F.unix_micros(name)
+        return F.col(name).cast(time)
+
+    left = left.withColumn("at", timed("at"))
+    right = right.withColumns({c: timed(c) for c in ("start", "until")})
     df = joined(left, right, **options)
     assert "__slot" in plan_of(df)
     assert sorted(map(tuple, df.collect()), key=str) == crowd_brute_force(*case)
 
 
+def test_text_times_of_a_crowded_key_are_refused(spark):
+    left, right = frames(spark, crowd(False))
+    left = left.withColumn("at", F.col("at").cast("string"))
+    right = right.withColumns({c: F.col(c).cast("string") for c in ("start", "until")})
+    with pytest.raises(ValueError, match="cannot be cut"):
+        joined(left, right)
+    joined(left, right.where("id = 3")).collect()
+
+
+def test_every_key_over_the_limit_is_cut_whatever_the_total(spark):
+    """A key of a hundred versions among a hundred thousand keys of one."""
+    many = spark.range(100_000).selectExpr(
+        "CAST(id + 10 AS INT) AS id", "'v' AS name", "0D AS start", "1e9D AS until"
+    )
+    crowded = spark.range(100).selectExpr(
+        "1 AS id", "CAST(id AS STRING) AS name", "CAST(id AS DOUBLE) AS start", "id + 1D AS until"
+    )
+    facts = spark.range(1000).selectExpr(
+        "CAST(id AS INT) AS n", "IF(id < 500, 1, CAST(id AS INT)) AS key", "(id % 100) + 0.5D AS at"
+    )
+    df = joined(facts, many.union(crowded), broadcast_bytes=10)
+    assert "__slot" in plan_of(df) and "__slice" in plan_of(df)
+    rows = df.collect()
+    assert len(rows) == 1000
+    assert all(r.name == (str(r.n % 100) if r.n < 500 else "v") for r in rows)
+
+
+def test_broadcast_is_decided_by_what_is_sent(spark):
+    """Versions that fit before they are repeated per slot, and not after."""
+    left, right = frames(spark, crowd(True))
+    bytes_ = right.agg(F.sum(joins._width(right))).first()[0]
+    assert ops.broadcast_fits(right, bytes_)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "__slice" in plan_of(joined(left, right, broadcast_bytes=bytes_))
+        assert "__slice" not in plan_of(joined(left, right, broadcast_bytes=8 * bytes_))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_slots_bound_the_rows_of_a_crowded_key(spark):
     """Open-ended versions overlap, and still are not repeated per slot."""
     for overlapping in (False, True):
@@ -204,8 +259,11 @@ def test_streaming_facts_against_static_versions(spark, skewed, tmp_path):
     facts.write.parquet(landing)
     stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2)
     stream = stream.parquet(landing)
-    for n, options in enumerate(({}, {"broadcast_bytes": 10}, {"few_versions": 1})):
+    # Streaming facts cannot be counted: the caller names what is hot.
+    named = {"broadcast_bytes": 10, "hot": {1: 4, 7: 2}}
+    for n, options in enumerate(({}, {"broadcast_bytes": 10}, {"few_versions": 1}, named)):
         df = joined(stream, versions, **options)
+        assert ("__slice" in plan_of(df)) == (options is named)
         writer = df.writeStream.trigger(availableNow=True)
         writer = writer.option("checkpointLocation", str(tmp_path / f"chk{n}"))
         writer.format("parquet").start(f"{out}{n}").awaitTermination()
@@ -442,3 +500,62 @@ def test_first_rows(spark):
     rows = ops.first_rows(df, 3, F.desc("id")).collect()
     assert [r["id"] for r in rows] == [99, 98, 97]
     assert ops.first_rows(df, 5).count() == 5
+
+
+# --- history -----------------------------------------------------------------
+
+
+def test_latest_row_of_each_key(spark):
+    rows = [(1, 5, "a"), (1, 7, "b"), (1, 7, "c"), (2, None, "d"), (None, 1, "e"), (None, 2, "f")]
+    df = spark.createDataFrame(rows, "id int, at int, s string")
+    found = {r.id: r.s for r in ops.latest(df, ["id"], ["at"]).collect()}
+    assert found[1] in "bc" and (found[2], found[None]) == ("d", "f")
+    assert found == {r.id: r.s for r in ops.latest(df.repartition(5), ["id"], ["at"]).collect()}
+    assert ops.latest(df.limit(0), ["id"], ["at"]).count() == 0
+
+
+def test_latest_of_a_hot_key_needs_no_window(spark):
+    df = spark.range(1000).selectExpr("IF(id < 900, 0, id) AS k", "id AS at")
+    out = ops.latest(df, ["k"], ["at"])
+    assert "Window" not in plan_of(out) and "partial_max_by" in plan_of(out)
+    assert {r.k: r["at"] for r in out.collect()}[0] == 899
+
+
+@pytest.mark.parametrize("slot", ["hour", "day", "year"])
+def test_versions_follow_each_other(spark, slot):
+    rng = random.Random(5)
+    rows = [(1 if n % 3 else rng.randrange(2, 9), DAY + timedelta(minutes=rng.randrange(90_000)), n) for n in range(600)]
+    rows += [(None, DAY, -1), (1, None, -2), (3, DAY, -3), (3, DAY, -4)]
+    df = spark.createDataFrame(rows, "id int, at timestamp, n int")
+    found = ops.versions_from_changes(df, "id", "at", order=["n"], slot=slot)
+    expected = []
+    for key in range(1, 9):
+        last = {}
+        for k, at, n in rows:
+            if k == key and at is not None:
+                last[at] = max(n, last.get(at, n))
+        times = sorted(last)
+        for at, after in zip(times, [*times[1:], datetime(9999, 12, 31)]):
+            expected.append((key, last[at], at, after))
+    assert sorted(map(tuple, found.select("id", "n", "start_ts", "end_ts").collect())) == sorted(expected)
+    facts = spark.createDataFrame([(9, 3, DAY + timedelta(days=2))], "n int, key int, at timestamp")
+    versions = found.withColumnsRenamed({"start_ts": "start", "end_ts": "until"}).withColumn("name", F.col("n"))
+    assert joined(facts, versions).count() == 1
+
+
+def test_load_columns_of_a_staging_task(spark, tmp_path):
+    from tierflow import Pipeline
+
+    spark.range(3).write.json(str(tmp_path / "in"))
+    schema = {"type": "struct", "fields": [{"name": "id", "type": "long", "nullable": True, "metadata": {}}]}
+
+    def staged(name, wanted):
+        source = {"type": "filestore", "format": "json", "path": str(tmp_path / "in"), "read-type": "batch"}
+        source["load-metadata"] = wanted
+        return {"name": name, "input": source, "schema": schema, "output": {"target": f"stg_{name}", "type": ["file"]}}
+
+    document = {"name": "loads", "staging": [staged("a", True), staged("b", {"id": "process_id"})]}
+    run = Pipeline(spark, document, str(tmp_path / "work")).run()
+    rows = run.relations["stg_a"].collect()
+    assert len({r.load_id for r in rows}) == 1 and all(r.load_time is not None for r in rows)
+    assert run.relations["stg_b"].columns == ["id", "load_time", "process_id"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow import functions as fn
 from tierflow import operators as ops
+from tierflow.operators.percentiles import ACCURACY, LOWER, UPPER
 from tierflow.plans import run_code, scoped_views
 from tierflow.spec import CodeSpec, SinkSpec, TaskSpec
 from tierflow.workspace import scratch_dir
@@ -249,9 +250,47 @@ def percentile_bounds(spark, sf_dir):
     return ops.exact_percentile_bounds(trips(spark, sf_dir), _BOUNDED)
 
 
+def percentile_bounds_narrowed(spark, sf_dir):
+    """The same bounds by narrowing intervals, as large tables need it."""
+    rides = trips(spark, sf_dir)
+    return ops.exact_percentile_bounds(rides, _BOUNDED, sketch_size=512, window_rows=100)
+
+
 def percentile_bounds_approx(spark, sf_dir):
-    derived = ops.derive_trips(raw_trips(spark, sf_dir))
-    return ops.percentile_bounds(derived, _BOUNDED)
+    """Approximate bounds, each with whether its rank is as near as promised.
+
+    ``rows / accuracy`` off at most; a rank is a range where values repeat.
+    """
+    rides = trips(spark, sf_dir)
+    bounds = ops.percentile_bounds(rides, _BOUNDED)
+    shares = (("lower", LOWER), ("upper", UPPER))
+    sought = [(f"{c}_{side}_bound", c, share) for c in _BOUNDED for side, share in shares]
+    placed, columns = {}, []
+    for name, column, share in sought:
+        bound = bounds.select(name).scalar()
+        placed[f"{name}_under"] = F.col(column) < bound
+        placed[f"{name}_upto"] = F.col(column) <= bound
+        rows = F.count(column)
+        rank, slack = rows * share, rows / ACCURACY + 1
+        first, last = F.count_if(f"{name}_under") + 1, F.count_if(f"{name}_upto")
+        columns.append(((first <= rank + slack) & (last >= rank - slack)).alias(name))
+    near = rides.withColumns(placed).agg(*columns)
+    return near.unpivot([], [name for name, *_ in sought], "bound", "near")
+
+
+def dedup_latest(spark, sf_dir):
+    """The last order of every customer."""
+    return ops.latest(
+        table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    )
+
+
+def versions_from_changes(spark, sf_dir):
+    """What every customer paid last, as versions between two orders."""
+    changes = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"), "o_orderkey", "o_totalprice", "o_orderdate"
+    )
+    return ops.versions_from_changes(changes, "id", "o_orderdate", order=["o_orderkey"])
 
 
 def multi_agg(spark, sf_dir):
@@ -381,7 +420,10 @@ QUERIES = {
         qualified_star,
         outlier_trim,
         percentile_bounds,
+        percentile_bounds_narrowed,
         percentile_bounds_approx,
+        dedup_latest,
+        versions_from_changes,
         multi_agg,
         group_by_alias,
         reaggregate,
@@ -429,6 +471,23 @@ ORACLES = {
     "qualified_star": "SELECT * FROM orders WHERE o_totalprice > 100000",
     "outlier_trim": TRIM_SQL,
     "percentile_bounds": BOUNDS_SQL,
+    "percentile_bounds_narrowed": BOUNDS_SQL,
+    "percentile_bounds_approx": "SELECT bound, true AS near FROM (VALUES "
+    + ", ".join(f"('{c}_{side}_bound')" for c in _BOUNDED for side in ("lower", "upper"))
+    + ") AS b(bound)",
+    "dedup_latest": """
+        SELECT * FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey
+                                   ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "versions_from_changes": """
+        WITH changes AS (
+            SELECT * FROM orders
+            QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate
+                                       ORDER BY o_orderkey DESC) = 1)
+        SELECT o_custkey AS id, o_orderkey, o_totalprice, o_orderdate AS start_ts,
+               lead(o_orderdate, 1, TIMESTAMP '9999-12-31 00:00:00') OVER (
+                   PARTITION BY o_custkey ORDER BY o_orderdate) AS end_ts
+        FROM changes""",
     "multi_agg": """
         SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey,
                l_quantity > 15 AS large, count(*) AS line_count,

@@ -59,6 +59,18 @@ def sink_table_append(spark, sf_dir):
     return _appended(spark, sf_dir, "table")
 
 
+def sink_append_merged(spark, sf_dir):
+    """Orders, then orders with one more column, in one file sink."""
+    given_orders = table(spark, sf_dir, "orders")
+    runs = [given_orders, given_orders.withColumn("o_year", F.year("o_orderdate"))]
+    task = sql_task("orders", "std_orders", lambda _: runs.pop(0), "file")
+    task["output"]["options"] = {"mergeSchema": True}
+    flow = pipeline(spark, "merged", standard=[task])
+    flow.run()
+    flow.run()
+    return plain(_output(flow, "standard", "orders", "file"))
+
+
 def sink_file_overwrite(spark, sf_dir):
     return _replaced(spark, sf_dir, "file")
 
@@ -144,6 +156,7 @@ QUERIES = {
     for f in (
         sink_file_append,
         sink_table_append,
+        sink_append_merged,
         sink_file_overwrite,
         sink_table_overwrite,
         sink_view,
@@ -165,6 +178,9 @@ _DEAREST_SQL = """
 ORACLES = {
     "sink_file_append": _TWICE_SQL,
     "sink_table_append": _TWICE_SQL,
+    "sink_append_merged": """
+        SELECT *, NULL::INTEGER AS o_year FROM orders
+        UNION ALL SELECT *, year(o_orderdate)::INTEGER FROM orders""",
     "sink_file_overwrite": _DEAREST_SQL,
     "sink_table_overwrite": _DEAREST_SQL,
     "sink_view": "SELECT * FROM orders",

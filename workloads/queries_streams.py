@@ -18,7 +18,7 @@ from .documents import (
     streaming_conf,
 )
 from .queries_batch import REVENUE_SQL, SOLD_SQL, rounded
-from .tables import ORDERS_SCHEMA, orders, plain
+from .tables import ORDERS_SCHEMA, orders, plain, table
 
 
 def _output(flow, stage: str, task: str, kind: str):
@@ -54,6 +54,31 @@ def _counted(spark, sf_dir, kind: str):
     return _output(flow, "serving", "count", kind)
 
 
+def stream_dedup(spark, sf_dir):
+    """Events landed twice, each kept once while the watermark remembers it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    path = land(spark, events, "parquet")
+    land(spark, events, "parquet", path)
+    schema = events.schema.jsonValue()
+    source = file_input(path, "parquet", "streaming")
+
+    def once(session):
+        return ops.latest_stream(
+            session.table("stg_events"), ["event_id"], "ts", "3650 days"
+        )
+
+    flow = pipeline(
+        spark,
+        "once",
+        streaming_conf(spark),
+        staging=[staging("events", source, schema, "view")],
+        standard=[sql_task("once", "std_events", once, "file", mode="streaming")],
+    )
+    flow.run()
+    return plain(_output(flow, "standard", "once", "file"))
+
+
 def sink_stream_file_append(spark, sf_dir):
     return _staged(spark, sf_dir, "file")
 
@@ -191,6 +216,7 @@ def stream_restart(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        stream_dedup,
         sink_stream_file_append,
         sink_stream_table_append,
         sink_stream_file_complete,
@@ -209,6 +235,7 @@ _COUNT_SQL = """
     FROM orders GROUP BY o_orderpriority"""
 
 ORACLES = {
+    "stream_dedup": "SELECT event_id, user_id, ts, value FROM events",
     "sink_stream_file_append": "SELECT * FROM orders",
     "sink_stream_table_append": "SELECT * FROM orders",
     "sink_stream_file_complete": _COUNT_SQL,
