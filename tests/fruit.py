@@ -77,14 +77,13 @@ PRICE_ROWS = [
     for i, fruit, color, price in FRUITS
 ]
 
+# Statements of this project: a sale's cost is settled where its price is found.
 JOIN = [
-    "SELECT p.fruit, p.id, s.amount, p.price, s.ts",
-    "FROM stg_sales s LEFT JOIN stg_price p",
-    "  ON p.id = s.id AND p.start_ts <= s.ts AND s.ts < p.end_ts",
+    "SELECT fruit, stg_price.id, amount, price, ts, amount * price AS cost",
+    "FROM stg_sales LEFT JOIN stg_price",
+    "  ON stg_price.id = stg_sales.id AND ts >= start_ts AND ts < end_ts",
 ]
-TOTAL = """
-SELECT id, fruit, sum(price * amount) AS total FROM std_fruit_sales
-GROUP BY id, fruit ORDER BY total DESC"""
+TOTAL = "SELECT id, fruit, sum(cost) AS total FROM std_fruit_sales GROUP BY ALL"
 
 
 def write_sales_day(folder, day: str, first: int) -> None:

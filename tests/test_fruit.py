@@ -90,6 +90,7 @@ def test_columns_and_types_of_layers(spark, tmp_path, work):
         ("amount", "int"),
         ("price", "double"),
         ("ts", "timestamp"),
+        ("cost", "double"),
     ]
     assert run.relations["srv_fruit_total"].dtypes == [
         ("id", "int"),

@@ -13,6 +13,7 @@ RAW = declared(
     tpep_dropoff_datetime="string",
     PULocationID="integer",
 )
+# Columns, text formats, shares and limits of the trips document.
 STD_1 = """
 WITH timed AS (
   SELECT *, to_unix_timestamp(tpep_pickup_datetime, 'yyyy-MM-dd HH:mm:ss') AS began,
