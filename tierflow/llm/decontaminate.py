@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import append_columns, encoded, stored
 
 WINDOW_WORDS = 10
-#: Pattern characters of one automaton; its nodes are at most as many.
-AUTOMATON_CHARS = 8_000_000
+#: Pattern characters of one automaton: about 45 bytes each where it is built and used.
+AUTOMATON_CHARS = 4_000_000
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
