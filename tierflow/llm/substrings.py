@@ -37,9 +37,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import append_columns, encoded, forget, group_stream, parts, slices, stored
 
 WINDOW_WORDS = 20
-ANCHOR_WORDS = 8
+ANCHOR_WORDS = 6
 #: Words a task parses together; a longer document is a unit of its own.
 UNIT_WORDS = 1 << 19
+#: Buckets of keys for each shuffle partition: one is opened at a time.
+BUCKETS = 16
 #: One document in so many is counted to find crowded anchors.
 SAMPLE = 16
 #: An anchor is crowded if it has more rows than this share of a usual partition.
@@ -48,9 +50,8 @@ CROWDED_SHARE = 0.25
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_DOC = -(1 << 63)
-_ROW = "key bigint, doc bigint, place bigint, known boolean, body binary"
-#: What the body of a known repeat says; other bodies are six bytes for each window.
-_KNOWN = np.dtype([("size", "<i4"), ("ref_doc", "<i8"), ("ref_place", "<i8")])
+_ROW = "bucket bigint, body binary"
+_WINDOWS, _KNOWN = 0, 1
 _PRINT_BYTES = 6
 _MATCH = "doc bigint, place bigint, size int, ref_doc bigint, ref_place bigint"
 
@@ -113,7 +114,7 @@ class Unit:
         return source
 
 
-def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spans(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(breaks)
     return starts, np.diff(np.append(starts, len(breaks)))
 
@@ -135,89 +136,116 @@ def _units(batches, unit_words: int):
         yield held
 
 
-def _rows(batches, window: int, anchor: int, unit_words: int, crowded: np.ndarray):
-    """Known repeats of a unit, and its windows as rows for the reference blocks."""
+def _rows(batches, window: int, anchor: int, unit_words: int, buckets: int, crowded: np.ndarray):
+    """Known repeats of a unit, and its windows in a row for each bucket of keys."""
     for docs in _units(batches, unit_words):
         unit = Unit(docs, window, anchor)
-        count = len(unit.at)
-        if not count:
-            continue
         source = unit.seen()
-        repeat = source != np.arange(count)
-        again = np.flatnonzero(repeat)
+        again = np.flatnonzero(source != np.arange(len(source)))
         if len(again):
             goes_on = (np.diff(again) == 1) & (np.diff(source[again]) == 1)
             goes_on &= (np.diff(unit.owner[again]) == 0) & (np.diff(unit.owner[source[again]]) == 0)
-            starts, sizes = _runs(np.concatenate([[True], ~goes_on]))
+            starts, sizes = _spans(np.concatenate([[True], ~goes_on]))
             at, ref = again[starts], source[again][starts]
-            known = np.empty(len(at), _KNOWN)
-            known["size"], known["ref_doc"], known["ref_place"] = sizes, unit.doc[ref], unit.place[ref]
-            bodies = _bodies(known.tobytes(), np.full(len(at), _KNOWN.itemsize))
-            # any partition will do for these
-            spread = _mixed(unit.doc[at].view(np.uint64) * np.uint64(_BASE) + unit.place[at].view(np.uint64), _BASE)
-            yield _row_batch(spread.view(np.int64), unit.doc[at], unit.place[at], True, bodies)
-        new = np.flatnonzero(~repeat)
-        alone = np.isin(unit.anchors[new], crowded)
-        breaks = np.ones(len(new), bool)
-        breaks[1:] = (np.diff(new) != 1) | (np.diff(unit.anchor_at[new]) != 0)
-        breaks[1:] |= np.diff(unit.owner[new]) != 0
-        starts, sizes = _runs(breaks | alone)
-        at = new[starts]
-        keys = np.where(
-            alone[starts], _mixed(unit.anchors[at] ^ unit.prints[at], _BASE), unit.anchors[at]
-        )
-        packed = unit.prints[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PRINT_BYTES]
-        bodies = _bodies(packed.tobytes(), sizes * _PRINT_BYTES)
-        yield _row_batch(keys.view(np.int64), unit.doc[at], unit.place[at], False, bodies)
-
-
-def _bodies(data: bytes, sizes: np.ndarray) -> pa.Array:
-    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    buffers = [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data)]
-    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
-
-
-def _row_batch(keys, docs, places, known: bool, bodies: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(keys),
-            pa.array(docs),
-            pa.array(places),
-            pa.array(np.full(len(keys), known)),
-            bodies,
-        ],
-        names=["key", "doc", "place", "known", "body"],
-    )
+            columns = [unit.doc[at], unit.place[at], sizes, unit.doc[ref], unit.place[ref]]
+            # any bucket will do for these
+            yield _batch([int(unit.prints[0] % np.uint64(buckets))], [_packed(_KNOWN, columns)])
+        keys, at, sizes, prints = _addressed(unit, source, crowded)
+        if not len(keys):
+            continue
+        places = np.cumsum(sizes) - sizes
+        order = np.argsort(keys, kind="stable")
+        keys, at, sizes, places = keys[order], at[order], sizes[order], places[order]
+        # equal parts of the range of keys, so a bucket is a stretch of the order
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        edges = [*np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        names, bodies, low = [], [], 0
+        for high in edges:
+            mine = slice(low, high)
+            columns = [keys[mine].view(np.int64), unit.doc[at[mine]], unit.place[at[mine]], sizes[mine]]
+            step = np.arange(sizes[mine].sum()) - np.repeat(np.cumsum(sizes[mine]) - sizes[mine], sizes[mine])
+            tail = prints[np.repeat(places[mine], sizes[mine]) + step]
+            names.append(int(bucket[low]))
+            bodies.append(_packed(_WINDOWS, columns) + tail.tobytes())
+            low = high
+        yield _batch(names, bodies)
+
+
+def _addressed(unit: Unit, source: np.ndarray, crowded: np.ndarray):
+    """Keys, first windows and sizes of runs of new windows, and all their prints."""
+    new = np.flatnonzero(source == np.arange(len(source)))
+    alone = np.isin(unit.anchors[new], crowded)
+    breaks = np.ones(len(new), bool)
+    breaks[1:] = (np.diff(new) != 1) | (np.diff(unit.anchor_at[new]) != 0)
+    breaks[1:] |= np.diff(unit.owner[new]) != 0
+    starts, sizes = _spans(breaks | alone)
+    at = new[starts]
+    keys = np.where(alone[starts], _mixed(unit.anchors[at] ^ unit.prints[at], _BASE), unit.anchors[at])
+    prints = unit.prints[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PRINT_BYTES]
+    return keys, at, sizes, prints
+
+
+def _batch(names: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    arrays = [pa.array(names, pa.int64()), pa.array(bodies, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "body"])
+
+
+def _packed(kind: int, columns: list[np.ndarray]) -> bytes:
+    """Columns of longs, byte by byte: the bytes that are alike stand together."""
+    rows = len(columns[0])
+    planes = [np.array([kind, rows, len(columns)], "<i8").tobytes()]
+    for column in columns:
+        planes.append(column.astype("<i8").view(np.uint8).reshape(rows, 8).T.tobytes())
+    return b"".join(planes)
+
+
+def _unpacked(body: bytes) -> tuple[int, list[np.ndarray], np.ndarray]:
+    kind, rows, count = np.frombuffer(body, "<i8", 3).tolist()
+    end = 24 + 8 * rows * count
+    planes = np.frombuffer(body, np.uint8, end - 24, 24).reshape(count, 8, rows)
+    columns = [np.ascontiguousarray(plane.T).view("<i8").ravel() for plane in planes]
+    return kind, columns, np.frombuffer(body, np.uint8, -1, end)
+
+
+def _key_counts(batches, window: int, anchor: int, unit_words: int):
+    none = np.zeros(0, np.uint64)
+    for docs in _units(batches, unit_words):
+        unit = Unit(docs, window, anchor)
+        keys, counts = np.unique(_addressed(unit, unit.seen(), none)[0], return_counts=True)
+        arrays = [pa.array(keys.view(np.int64)), pa.array(counts)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "n"])
 
 
 def _matches(rows: pa.Table):
-    """Windows of a reference block that have an earlier equal, as runs."""
+    """Windows of a bucket that have an earlier equal, as runs."""
     names = ["doc", "place", "size", "ref_doc", "ref_place"]
-    known = rows.column("known").to_numpy()
-    if known.any():
-        done = rows.filter(pa.array(known))
-        told = np.frombuffer(b"".join(done.column("body").to_pylist()), _KNOWN)
-        columns = [done.column("doc").to_numpy(), done.column("place").to_numpy()]
-        columns += [np.ascontiguousarray(told[name]) for name in names[2:]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-        rows = rows.filter(pa.array(~known))
-    keys = rows.column("key").to_numpy()
-    shared = np.zeros(len(keys), bool)
-    shared[1:] = keys[1:] == keys[:-1]
+    found, prints = [], []
+    for body in rows.column("body").to_pylist():
+        kind, columns, tail = _unpacked(body)
+        if kind == _KNOWN:
+            yield _match_batch(columns)
+        else:
+            found.append(columns)
+            prints.append(tail)
+    if not found:
+        return
+    keys, docs, places, sizes = (np.concatenate(parts) for parts in zip(*found))
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    shared = np.zeros(len(ranked), bool)
+    shared[1:] = ranked[1:] == ranked[:-1]
     shared[:-1] |= shared[1:].copy()
-    rows = rows.filter(pa.array(shared))
-    if not rows.num_rows:
+    open_ = np.sort(order[shared])
+    if not len(open_):
         return
-    bodies = rows.column("body").to_pylist()
-    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // _PRINT_BYTES
+    tails = np.concatenate(prints).reshape(-1, _PRINT_BYTES)
+    first = (np.cumsum(sizes) - sizes)[open_]
+    sizes = sizes[open_]
     row = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys = rows.column("key").to_numpy()[row]
-    docs = rows.column("doc").to_numpy()[row]
-    places = rows.column("place").to_numpy()[row] + step
-    packed = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, _PRINT_BYTES)
+    keys, docs, places = keys[open_][row], docs[open_][row], places[open_][row] + step
     prints = np.zeros((len(row), 8), np.uint8)
-    prints[:, :_PRINT_BYTES] = packed
+    prints[:, :_PRINT_BYTES] = tails[first[row] + step]
     prints = prints.view("<u8").ravel()
     order = np.lexsort((places, docs, prints, keys))
     first = np.ones(len(order), bool)
@@ -232,10 +260,15 @@ def _matches(rows: pa.Table):
     ref = source[again]
     goes_on = (np.diff(again) == 1) & (np.diff(row[again]) == 0)
     goes_on &= (np.diff(docs[ref]) == 0) & (np.diff(places[ref]) == 1)
-    starts, counts = _runs(np.concatenate([[True], ~goes_on]))
+    starts, counts = _spans(np.concatenate([[True], ~goes_on]))
     at, ref = again[starts], ref[starts]
-    columns = [docs[at], places[at], counts.astype(np.int32), docs[ref], places[ref]]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    yield _match_batch([docs[at], places[at], counts, docs[ref], places[ref]])
+
+
+def _match_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    arrays = [pa.array(np.ascontiguousarray(c)).cast(kind) for c, kind in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "place", "size", "ref_doc", "ref_place"])
 
 
 def repeated_runs(
@@ -247,16 +280,15 @@ def repeated_runs(
     """Runs of windows with an earlier equal, for ``docs`` (doc, variant, text)."""
     spark = docs.sparkSession
     tasks = parts(spark)
-    none = np.zeros(0, np.uint64)
-
-    def rows(crowded):
-        return lambda batches: _rows(batches, window, anchor, unit_words, crowded)
-
+    shape = (window, anchor, unit_words)
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
-    counts = sample.mapInArrow(rows(none), _ROW).where("NOT known").groupBy("key").count()
+    counts = sample.mapInArrow(lambda b: _key_counts(b, *shape), "key bigint, n bigint")
+    counts = counts.groupBy("key").agg(F.sum("n").alias("count"))
     hot = np.array(sorted(_crowded(counts, tasks)), np.int64).view(np.uint64)
-    indexed = docs.mapInArrow(rows(hot), _ROW).repartition(tasks, "key").sortWithinPartitions("key")
-    return indexed.mapInArrow(lambda batches: group_stream(batches, ["key"], _matches), _MATCH)
+    buckets = tasks * BUCKETS
+    indexed = docs.mapInArrow(lambda b: _rows(b, *shape, buckets, hot), _ROW)
+    indexed = indexed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return indexed.mapInArrow(lambda b: group_stream(b, ["bucket"], _matches), _MATCH)
 
 
 def _crowded(counts: DataFrame, tasks: int) -> list[int]:
