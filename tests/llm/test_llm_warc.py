@@ -70,8 +70,10 @@ def test_a_damaged_payload_is_noticed(spark, work):
         read_archives(manifest).collect()
 
 
-def test_equals_brute_force(spark):
-    got = round_trip(spark.createDataFrame(ROWS, PAGES), chunk_bytes=1000).collect()
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_equals_brute_force(spark, sent):
+    sizes = {"chunk_bytes": 1000, "broadcast_bytes": sent}
+    got = round_trip(spark.createDataFrame(ROWS, PAGES), **sizes).collect()
     winner = {}
     for doc, _, html in ROWS:
         winner[html or ""] = max(winner.get(html or "", -1), -1 if doc is None else doc)

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
+from tierflow.operators.joins import BROADCAST_BYTES, broadcast_fits
 from tierflow.workspace import scratch_dir
 
 from .common import parts, slices, stored
@@ -67,7 +68,9 @@ _CHUNK_DDL = (
 # --- which record holds a payload --------------------------------------------
 
 
-def with_roles(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+def with_roles(
+    records: DataFrame, least_bytes: int = 0, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """``records`` (id, url, payload binary) with ``size``, ``sha1``, ``response``,
     ``refers_to`` and ``twin``, the number of a row among those equal in id and payload.
     """
@@ -81,9 +84,13 @@ def with_roles(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     winners = (
         ids.where(F.col("size") >= least_bytes)
         .groupBy(*payload)
-        .agg(F.max("id").alias("winner"), F.count("*").alias("known"))
+        .agg(F.max("id").alias("winner"), F.sum("rows").alias("known"))
+        .where("known > 1")
     )
-    joined = records.join(winners, payload, "left")
+    winners = stored(winners, "winners")
+    # where few payloads repeat, no payload has to move; beyond that they are shuffled
+    few = broadcast_fits(winners, broadcast_bytes)
+    joined = records.join(F.broadcast(winners) if few else winners, payload, "left")
     repeated = ids.where("rows > 1").select(*payload, F.col("id").alias("again"))
     twin = F.lit(0)
     if not repeated.isEmpty():
@@ -112,13 +119,15 @@ def write_archives(
     chunk_bytes: int = CHUNK_BYTES,
     archive_bytes: int = ARCHIVE_BYTES,
     date: str = DATE,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Archives of ``records`` (id bigint, url string, payload string or binary).
 
     Returns the manifest: ``path`` and ``records`` of every archive.
     """
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
-    rows = with_roles(records.select("id", "url", payload.alias("payload")), least_bytes)
+    records = records.select("id", "url", payload.alias("payload"))
+    rows = with_roles(records, least_bytes, broadcast_bytes)
     last = F.when(
         F.col("response"), F.greatest(F.expr(f"(size - 1) div {chunk_bytes}"), F.lit(0))
     ).otherwise(F.lit(0))
