@@ -83,7 +83,7 @@ def decontaminate(
     weight = F.sum(F.length("pattern") + 2 + F.size("items") * 8)
     total = patterns.agg(weight).first()[0] or 0
     shards = max(1, -(-int(total) // automaton_chars))
-    states = {"__start": "array<int>", "__end": "array<int>", "__found": "array<string>"}
+    states = {"__llm_start": "array<int>", "__llm_end": "array<int>", "__llm_found": "array<string>"}
     for shard in range(shards):
         mine = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == shard)
         automaton = ahocorasick.Automaton()
@@ -110,7 +110,7 @@ def _scan(shared, text: str, first: bool):
             starts, ends, found = ([[] for _ in texts] for _ in range(3))
         else:
             starts, ends, found = (
-                batch.column(name).to_pylist() for name in ("__start", "__end", "__found")
+                batch.column(name).to_pylist() for name in ("__llm_start", "__llm_end", "__llm_found")
             )
         for row, body in enumerate(texts if len(automaton) else ()):
             normal = f" {' '.join([w.decode() for w in normal_words(body)])} "
@@ -125,7 +125,7 @@ def _scan(shared, text: str, first: bool):
                 ends[row].append(last + 1)
                 seen[number] = items
             found[row] = sorted({*found[row], *(i for items in seen.values() for i in items)})
-        return {"__start": starts, "__end": ends, "__found": found}
+        return {"__llm_start": starts, "__llm_end": ends, "__llm_found": found}
 
     return run
 
@@ -135,8 +135,8 @@ def _summary(text: str):
         n_words, n_hit, spans = [], [], []
         for body, starts, ends in zip(
             encoded(batch.column(text)),
-            batch.column("__start").to_pylist(),
-            batch.column("__end").to_pylist(),
+            batch.column("__llm_start").to_pylist(),
+            batch.column("__llm_end").to_pylist(),
         ):
             runs = _merged(sorted(zip(starts, ends)))
             n_hit.append(sum(end - start for start, end in runs))
@@ -155,7 +155,7 @@ def _summary(text: str):
             else:
                 n_words.append(len(normal_words(body)))
                 spans.append([])
-        found = batch.column("__found")
+        found = batch.column("__llm_found")
         return {"n_words": n_words, "n_hit": n_hit, "items": found, "spans": spans}
 
     return run

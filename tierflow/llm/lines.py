@@ -137,12 +137,12 @@ def drop_repeated_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text
     tasks = parts(docs.sparkSession)
     keyed = docs.withColumns(
         {
-            "__doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_NO_DOC)),
-            "__variant": F.xxhash64(F.col(text)),
+            "__llm_doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_NO_DOC)),
+            "__llm_variant": F.xxhash64(F.col(text)),
         }
     )
     chunks = keyed.select(
-        F.col("__doc").alias("doc"), F.col("__variant").alias("variant"), F.col(text).alias("text")
+        F.col("__llm_doc").alias("doc"), F.col("__llm_variant").alias("variant"), F.col(text).alias("text")
     ).mapInArrow(_rows, _ROW)
     # a known repeat needs no meeting: it goes wherever its document goes
     known = chunks.withColumn(
@@ -153,9 +153,9 @@ def drop_repeated_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text
         _repeats, "doc bigint, variant bigint, chunk int"
     )
     listed = repeats.groupBy(
-        F.col("doc").alias("__doc"), F.col("variant").alias("__variant")
-    ).agg(F.collect_set("chunk").alias("__gone"))
-    found = keyed.join(listed, ["__doc", "__variant"], "left")
+        F.col("doc").alias("__llm_doc"), F.col("variant").alias("__llm_variant")
+    ).agg(F.collect_set("chunk").alias("__llm_gone"))
+    found = keyed.join(listed, ["__llm_doc", "__llm_variant"], "left")
     results = {text: "string", "n_lines": "bigint", "n_removed": "bigint"}
     order = [*docs.columns, *(name for name in ("n_lines", "n_removed") if name not in docs.columns)]
     return append_columns(found, results, _cut(text), text).select(order)
@@ -167,7 +167,7 @@ def _cut(text: str):
         for known, body, gone in zip(
             batch.column(text).is_valid().to_pylist(),
             encoded(batch.column(text)),
-            batch.column("__gone").to_pylist(),
+            batch.column("__llm_gone").to_pylist(),
         ):
             lines = body.count(b"\n") + 1 if known else 0
             n_lines.append(lines)

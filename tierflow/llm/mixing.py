@@ -69,42 +69,42 @@ def mix(
     )
     rows = docs.select(
         *kept,
-        number.alias("__source"),
-        F.md5(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")).alias("__hash"),
-    ).withColumn("__high", F.substring("__hash", 1, _DIGITS)).withColumn(
-        "__low", F.substring("__hash", 1 + _DIGITS, _DIGITS)
+        number.alias("__llm_source"),
+        F.md5(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")).alias("__llm_hash"),
+    ).withColumn("__llm_high", F.substring("__llm_hash", 1, _DIGITS)).withColumn(
+        "__llm_low", F.substring("__llm_hash", 1 + _DIGITS, _DIGITS)
     )
-    counts = rows.groupBy("__source", "__high", "__low").agg(F.count("*").alias("__n"))
+    counts = rows.groupBy("__llm_source", "__llm_high", "__llm_low").agg(F.count("*").alias("__llm_n"))
     offsets = _offsets(counts)
     # one count per source, MOST_SOURCES at most
-    found = {r["__source"]: r["n"] for r in counts.groupBy("__source").agg(F.sum("__n").alias("n")).collect()}
+    found = {r["__llm_source"]: r["n"] for r in counts.groupBy("__llm_source").agg(F.sum("__llm_n").alias("n")).collect()}
     blocks = [-(-found.get(n, 0) // block_rows) for n in range(len(names))]
     plan, starts = _schedules(docs.sparkSession, list(shares.values()), blocks)
 
-    bucket = ["__source", "__high", "__low"]
+    bucket = ["__llm_source", "__llm_high", "__llm_low"]
     # only columns that can be hashed: maps cannot
     whole = F.xxhash64(*[n for n in kept if not docs.schema[n].dataType.typeName() == "map"])
-    within = F.row_number().over(Window.partitionBy(*bucket).orderBy("__hash", F.col(doc), whole))
-    share = _pick(F.col("__source"), list(shares.values()))
+    within = F.row_number().over(Window.partitionBy(*bucket).orderBy("__llm_hash", F.col(doc), whole))
+    share = _pick(F.col("__llm_source"), list(shares.values()))
     numbered = (
         rows.join(offsets, bucket)
-        .withColumn("__row", F.col("__offset") + within - 1)
-        .withColumn("__block", F.expr(f"__row div {block_rows}"))
-        .withColumn("__share", share)
-        .withColumn("__round", F.expr("__block div __share"))
-        .withColumn("__turn", F.expr("cast(__block % __share as int)"))
-        .withColumn("__start", _last_start(F.col("__round"), starts))
+        .withColumn("__llm_row", F.col("__llm_offset") + within - 1)
+        .withColumn("__llm_block", F.expr(f"__llm_row div {block_rows}"))
+        .withColumn("__llm_share", share)
+        .withColumn("__llm_round", F.expr("__llm_block div __llm_share"))
+        .withColumn("__llm_turn", F.expr("cast(__llm_block % __llm_share as int)"))
+        .withColumn("__llm_start", _last_start(F.col("__llm_round"), starts))
     )
     block = (
-        F.col("__base")
-        + (F.col("__round") - F.col("__start")) * F.col("__length")
-        + F.col("__slot")
+        F.col("__llm_base")
+        + (F.col("__llm_round") - F.col("__llm_start")) * F.col("__llm_length")
+        + F.col("__llm_slot")
     )
     return (
-        numbered.join(F.broadcast(plan), ["__start", "__source", "__turn"])
-        .withColumn("mix_source", _pick(F.col("__source"), names))
+        numbered.join(F.broadcast(plan), ["__llm_start", "__llm_source", "__llm_turn"])
+        .withColumn("mix_source", _pick(F.col("__llm_source"), names))
         .withColumn("block", block)
-        .withColumn("row_in_block", F.expr(f"cast(__row % {block_rows} as int)"))
+        .withColumn("row_in_block", F.expr(f"cast(__llm_row % {block_rows} as int)"))
         .withColumn("position", F.col("block") * block_rows + F.col("row_in_block"))
         .select(*kept, *made)
     )
@@ -123,17 +123,17 @@ def _last_start(round_: Column, starts: list[int]) -> Column:
 
 def _offsets(counts: DataFrame) -> DataFrame:
     """Rows of a source before each bucket, added up in two levels of 256."""
-    high = counts.groupBy("__source", "__high").agg(F.sum("__n").alias("__sum"))
-    across = Window.partitionBy("__source").orderBy("__high").rowsBetween(Window.unboundedPreceding, -1)
+    high = counts.groupBy("__llm_source", "__llm_high").agg(F.sum("__llm_n").alias("__llm_sum"))
+    across = Window.partitionBy("__llm_source").orderBy("__llm_high").rowsBetween(Window.unboundedPreceding, -1)
     inside = (
-        Window.partitionBy("__source", "__high").orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("__llm_source", "__llm_high").orderBy("__llm_low").rowsBetween(Window.unboundedPreceding, -1)
     )
     base = high.select(
-        "__source", "__high", F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__base")
+        "__llm_source", "__llm_high", F.coalesce(F.sum("__llm_sum").over(across), F.lit(0)).alias("__llm_base")
     )
-    low = counts.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    return low.join(base, ["__source", "__high"]).select(
-        "__source", "__high", "__low", (F.col("__base") + F.col("__before")).alias("__offset")
+    low = counts.withColumn("__llm_before", F.coalesce(F.sum("__llm_n").over(inside), F.lit(0)))
+    return low.join(base, ["__llm_source", "__llm_high"]).select(
+        "__llm_source", "__llm_high", "__llm_low", (F.col("__llm_base") + F.col("__llm_before")).alias("__llm_offset")
     )
 
 
@@ -173,12 +173,12 @@ def _schedules(spark: SparkSession, shares: list[int], blocks: list[int]):
         .withColumn("order", F.expr(fold))
         .selectExpr("s", "b", "n", "posexplode(order) AS (slot, one)")
         .selectExpr(
-            "s AS __start",
-            "one.i AS __source",
-            "one.j AS __turn",
-            "slot AS __slot",
-            "n AS __length",
-            "b AS __base",
+            "s AS __llm_start",
+            "one.i AS __llm_source",
+            "one.j AS __llm_turn",
+            "slot AS __llm_slot",
+            "n AS __llm_length",
+            "b AS __llm_base",
         )
     )
     return plan, starts

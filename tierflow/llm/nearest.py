@@ -235,11 +235,11 @@ def top_k(
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    chosen = vectors.withColumn("__query", F.coalesce(is_query, F.lit(False)))
+    chosen = vectors.withColumn("__llm_query", F.coalesce(is_query, F.lit(False)))
     known = stored(
         quantised(chosen.select(F.col(vec).cast("bigint"), embedding)), "vectors"
     )
-    asked = quantised(chosen.where("__query").select(F.col(vec).cast("bigint"), embedding))
+    asked = quantised(chosen.where("__llm_query").select(F.col(vec).cast("bigint"), embedding))
     asked = stored(asked.distinct().orderBy("dims", "vec_id"), "queries")
     lengths = known.groupBy("dims").agg(F.max("norm2").alias("most"), F.count("*").alias("n")).collect()
     routing = {}

@@ -171,8 +171,8 @@ def resample(
     """
     ids, good = target_ids(labels, target_rows)
     share = good if share is None else share
-    ids = F.broadcast(ids.withColumnRenamed("doc_id", "__target"))  # at most target_rows
-    target = docs.join(ids, docs["doc_id"] == ids["__target"], "left_semi")
+    ids = F.broadcast(ids.withColumnRenamed("doc_id", "__llm_target"))  # at most target_rows
+    target = docs.join(ids, docs["doc_id"] == ids["__llm_target"], "left_semi")
     ratios = log_ratios(ngram_counts(target, buckets=buckets), ngram_counts(docs, buckets=buckets), buckets)
     scored = with_scores(docs, ratios)
     keys = stored(scored.select("rank_key"), "scores")

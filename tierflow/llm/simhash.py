@@ -267,16 +267,16 @@ def first_of_groups(
     hash stays, of repeated rows one.
     """
     keys = {
-        "__doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_LAST_DOC)),
-        "__variant": F.xxhash64(F.col(text)),
+        "__llm_doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_LAST_DOC)),
+        "__llm_variant": F.xxhash64(F.col(text)),
     }
     keyed = docs.withColumns(keys)
-    narrow = keyed.select("__doc", "__variant", F.col(text).alias("text"))
-    place = F.struct("__doc", "__variant").alias("place")
+    narrow = keyed.select("__llm_doc", "__llm_variant", F.col(text).alias("text"))
+    place = F.struct("__llm_doc", "__llm_variant").alias("place")
     prints = with_fingerprints(narrow, shingle_words).select("fingerprint", place)
     lowest = stored(prints.groupBy("fingerprint").agg(F.min("place").alias("place")), "lowest")
     rooted = lowest.join(linked_roots(lowest, max_distance), "fingerprint", "left")
     group = F.coalesce("root", "fingerprint").alias("group")
     firsts = rooted.groupBy(group).agg(F.min("place").alias("place")).select("place.*")
-    kept = keyed.join(firsts, ["__doc", "__variant"], "left_semi")
-    return kept.dropDuplicates(["__doc", "__variant"]).select(docs.columns)
+    kept = keyed.join(firsts, ["__llm_doc", "__llm_variant"], "left_semi")
+    return kept.dropDuplicates(["__llm_doc", "__llm_variant"]).select(docs.columns)

@@ -316,17 +316,17 @@ def remove_repeats(
     """
     keyed = docs.withColumns(
         {
-            "__doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_NO_DOC)),
-            "__variant": F.shiftrightunsigned(F.xxhash64(F.col(text)), 33),
+            "__llm_doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_NO_DOC)),
+            "__llm_variant": F.shiftrightunsigned(F.xxhash64(F.col(text)), 33),
         }
     )
     # the variant tells texts of one id apart: where there are none, it need not travel
-    texts = keyed.groupBy("__doc").agg(F.min("__variant").alias("a"), F.max("__variant").alias("b"))
+    texts = keyed.groupBy("__llm_doc").agg(F.min("__llm_variant").alias("a"), F.max("__llm_variant").alias("b"))
     if texts.where("a < b").isEmpty():
-        keyed = keyed.withColumn("__variant", F.lit(0).cast("bigint"))
+        keyed = keyed.withColumn("__llm_variant", F.lit(0).cast("bigint"))
     runs = repeated_runs(
         keyed.select(
-            F.col("__doc").alias("doc"), F.col("__variant").alias("variant"), F.col(text).alias("text")
+            F.col("__llm_doc").alias("doc"), F.col("__llm_variant").alias("variant"), F.col(text).alias("text")
         ),
         window,
         anchor,
@@ -336,7 +336,7 @@ def remove_repeats(
     ref_start = F.col("ref_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     ref_doc = F.when(F.col("ref_doc") != _NO_DOC, F.col("ref_doc"))
     listed = runs.groupBy(
-        F.col("doc").alias("__doc"), F.shiftright("place", 32).alias("__variant")
+        F.col("doc").alias("__llm_doc"), F.shiftright("place", 32).alias("__llm_variant")
     ).agg(
         F.collect_list(
             F.struct(
@@ -345,9 +345,9 @@ def remove_repeats(
                 ref_doc.alias("ref_doc"),
                 ref_start.alias("ref_start"),
             )
-        ).alias("__runs")
+        ).alias("__llm_runs")
     )
-    found = keyed.join(listed, ["__doc", "__variant"], "left")
+    found = keyed.join(listed, ["__llm_doc", "__llm_variant"], "left")
     results = {
         "n_words": "bigint",
         "n_removed": "bigint",
@@ -355,13 +355,13 @@ def remove_repeats(
         "factors": "array<struct<start:int,n_words:int,ref_doc:bigint,ref_start:int>>",
     }
     out = append_columns(found, results, _cut(window, text), text)
-    return out.drop("__doc", "__variant", "__runs")
+    return out.drop("__llm_doc", "__llm_variant", "__llm_runs")
 
 
 def _cut(window: int, text: str):
     def run(batch):
         n_words, n_removed, kept, factors = [], [], [], []
-        for body, runs in zip(encoded(batch.column(text)), batch.column("__runs").to_pylist()):
+        for body, runs in zip(encoded(batch.column(text)), batch.column("__llm_runs").to_pylist()):
             words = body.split()
             n_words.append(len(words))
             if not runs:
