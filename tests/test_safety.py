@@ -161,12 +161,12 @@ def test_one_deadline_for_all_queries_of_a_task(spark, tmp_path, work):
 
 def test_a_broken_sibling_is_the_cause(spark, work):
     standard = [
-        {"name": "one", "code": {"lang": "sql", "sql": "SELECT * FROM no_such_table"}, "output": {"target": "std_one", "type": "view"}},
-        {"name": "two", "code": {"lang": "sql", "sql": "SELECT * FROM std_one"}, "output": {"target": "std_two", "type": "view"}},
+        {"name": "one", "code": {"lang": "sql", "sql": "SELECT * FROM no_such_table"}, "output": {"target": "std_broken", "type": "view"}},
+        {"name": "two", "code": {"lang": "sql", "sql": "SELECT * FROM std_broken"}, "output": {"target": "std_reader", "type": "view"}},
     ]
     flow = Pipeline(spark, {"name": "siblings", "standard": standard}, work)
     for run in (lambda: flow.run(task="two", stage="standard"), lambda: flow.try_task("standard", "two")):
-        with pytest.raises(Exception, match="std_one") as caught:
+        with pytest.raises(Exception, match="std_broken") as caught:
             run()
         assert "no_such_table" in str(caught.value.__cause__)
 
