@@ -41,7 +41,7 @@ ANCHOR_WORDS = 6
 #: Words a task parses together; a longer document is a unit of its own.
 UNIT_WORDS = 1 << 19
 #: Buckets of keys for each shuffle partition: one is opened at a time.
-BUCKETS = 16
+BUCKETS = 64
 #: One document in so many is counted to find crowded anchors.
 SAMPLE = 16
 #: An anchor is crowded if it has more rows than this share of a usual partition.
