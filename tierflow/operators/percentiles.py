@@ -140,11 +140,13 @@ def exact_percentile_bounds(
     bound splits at two values of the sketch, so the part that holds the bound
     is known for certain, and sketches the middle part at once.  When few
     values are left their running counts give the bound: four passes for a
-    hundred billion rows.  The driver sees only ends of intervals, counts and
-    merged sketches.  ``df`` is read a few times: store it first if it is
+    hundred billion rows.  The rows are counted before, without any column, and
+    as few as are left at the end are not sketched at all.  The driver sees only
+    ends of intervals, counts and merged sketches.  ``df`` is read a few times: store it first if it is
     costly to compute.
     """
-    marks = _first_pass(df, columns, (lower, upper), sketch_size)
+    few = df.count() <= window_rows
+    marks = _first_pass(df, columns, (lower, upper), 0 if few else sketch_size)
     for _ in range(MOST_PASSES):
         wide = [m for m in marks if m.at is None and m.inside > window_rows]
         if not wide:
@@ -157,12 +159,19 @@ def exact_percentile_bounds(
 def _first_pass(
     df: DataFrame, columns: Sequence[str], shares: tuple[float, float], sketch_size: int
 ) -> list[_Mark]:
-    """Marks over the whole columns; ranks among NaN are settled."""
+    """Marks over the whole columns; ranks among NaN are settled.
+
+    Without a ``sketch_size`` the columns are counted only.
+    """
     counts, sketches = {}, {}
     for i, c in enumerate(columns):
         counts |= {f"rows{i}": F.count(c), f"numbers{i}": F.count(_number(c))}
-        sketches[f"s{i}"] = _sketch(_number(c), sketch_size)
-    found = _merged(df, sketches, sketch_size, **counts).first()
+        if sketch_size:
+            sketches[f"s{i}"] = _sketch(_number(c), sketch_size)
+    if sketch_size:
+        found = _merged(df, sketches, sketch_size, **counts).first()
+    else:
+        found = df.agg(*[count.alias(name) for name, count in counts.items()]).first()
     marks, held = [], []
     for i, c in enumerate(columns):
         rows, numbers = found[f"rows{i}"] or 0, found[f"numbers{i}"] or 0
@@ -170,7 +179,7 @@ def _first_pass(
             rank = (Decimal(str(share)) * rows).to_integral_value(ROUND_CEILING)
             mark = _Mark(f"{c}_{side}_bound", c, max(1, int(rank)), numbers)
             marks.append(replace(mark, at=nan) if rows and mark.rank > numbers else mark)
-            held.append(found[f"s{i}"])
+            held.append(found[f"s{i}"] if sketch_size else None)
     return _with_tries(df, marks, held, sketch_size)
 
 
@@ -226,11 +235,11 @@ def _with_tries(
     df: DataFrame, marks: list[_Mark], sketches: list, sketch_size: int
 ) -> list[_Mark]:
     """Marks with values some way below and above their rank, where sketched."""
-    # Over three times the rank error published for sketches of this size.
-    slack = 10 / sketch_size
     known = [i for i, s in enumerate(sketches) if s is not None and marks[i].inside]
     if not known:
         return marks
+    # Over three times the rank error published for sketches of this size.
+    slack = 10 / sketch_size
     ends = []
     for i in known:
         share = min(1.0, (marks[i].rank - marks[i].below) / marks[i].inside)
@@ -248,30 +257,45 @@ def _with_tries(
 
 def _pick(df: DataFrame, marks: list[_Mark]) -> DataFrame:
     """Running counts of the distinct values in each interval reach its rank."""
-    sought = [m for m in marks if m.at is None or not isnan(m.at)]
-    groups: dict[tuple, list[_Mark]] = {}
-    for m in sought:
-        groups.setdefault((m.column, m.low, m.high, m.at), []).append(m)
     kinds = dict(df.dtypes)
     picks = {m.name: F.lit(nan).cast(kinds[m.column]).alias(m.name) for m in marks}
-    firsts = [group[0] for group in groups.values()]
-    if not firsts:
+    groups: dict[tuple, list[_Mark]] = {}
+    for m in marks:
+        if m.at is None or not isnan(m.at):
+            groups.setdefault((m.column, m.low, m.high, m.at), []).append(m)
+    if not groups:
         return df.sparkSession.range(1).select(*[picks[m.name] for m in marks])
-    entries = [
-        F.when(
-            m.rows(),
-            F.struct(F.lit(i).alias("group"), F.col(m.column).alias("value")),
-        )
-        for i, m in enumerate(firsts)
-    ]
-    rows = df.where(reduce(Column.__or__, [m.rows() for m in firsts]))
-    values = rows.select(F.explode(F.array(*entries)).alias("entry"))
-    values = values.where(F.col("entry").isNotNull()).select("entry.*")
-    counts = values.groupBy("group", "value").agg(F.count("*").alias("rows"))
-    upto = Window.partitionBy("group").orderBy("value")
-    reached = counts.withColumn("reached", F.sum("rows").over(upto))
+    firsts = [group[0] for group in groups.values()]
+    reached = _reached(df, [(m.rows(), m.column) for m in firsts])
     for i, group in enumerate(groups.values()):
         for m in group:
             hit = (F.col("group") == i) & (F.col("reached") >= m.rank - m.below)
-            picks[m.name] = F.min(F.when(hit, F.col("value"))).alias(m.name)
+            picks[m.name] = F.min(F.when(hit, F.col(f"v{i}"))).alias(m.name)
     return reached.agg(*[picks[m.name] for m in marks])
+
+
+def _reached(df: DataFrame, chosen: list[tuple[Column, str]]) -> DataFrame:
+    """Distinct values of each choice of rows and column, with running counts.
+
+    Choice ``i`` has its values in ``v<i>``, of the column's own type; choices
+    of one type share a column while they are counted.
+    """
+    kinds = dict(df.dtypes)
+    types = sorted({kinds[c] for _, c in chosen})
+    entries = []
+    for i, (rows, c) in enumerate(chosen):
+        fields = [
+            (F.col(c) if kinds[c] == kind else F.lit(None).cast(kind)).alias(f"of{t}")
+            for t, kind in enumerate(types)
+        ]
+        entries.append(F.when(rows, F.struct(F.lit(i).alias("group"), *fields)))
+    values = df.where(reduce(Column.__or__, [rows for rows, _ in chosen]))
+    values = values.select(F.explode(F.array(*entries)).alias("entry"))
+    values = values.where(F.col("entry").isNotNull()).select("entry.*")
+    names = [f"of{t}" for t in range(len(types))]
+    counts = values.groupBy("group", *names).agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy("group").orderBy(*names)
+    reached = counts.withColumn("reached", F.sum("rows").over(upto))
+    return reached.withColumns(
+        {f"v{i}": F.col(f"of{types.index(kinds[c])}") for i, (_, c) in enumerate(chosen)}
+    )
