@@ -10,7 +10,7 @@ from tierflow.llm.lines import drop_repeated_chunks
 from tierflow.llm.mixing import mix
 from tierflow.llm.quality import resample
 from tierflow.llm.queries import MIX_BLOCK_ROWS, MIX_WEIGHTS
-from tierflow.llm.simhash import first_of_groups
+from tierflow.llm.similar import first_of_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    return first_of_groups(docs)
+    """The first document of each group of texts that share 0.8 of their shingles."""
+    return first_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
