@@ -48,6 +48,27 @@ def test_odd_pages(source, text):
     assert main_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        *((f"<div class='{name}'>", "</div>") for name in ("overflow-hidden", "has-sidebar", "no-sidebar", "with-header")),
+        ("<div class='elementor-widget-container'>", "</div>"),
+        ("<div class='sidebar-right layout'>", "</div>"),
+        ("<div class='nav-open'><div class='widget'>", "</div></div>"),
+        ("<div title='The hidden valley' data-hidden='false' data-id='ad' data-role=search>", "</div>"),
+        ("<form method=post action='/Default.aspx'>", "</form>"),
+    ],
+)
+def test_wrappers_of_the_page_are_not_left_out(start, end):
+    article = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    rest = f"<nav><a href=/>Home</a></nav><div class='comments'><p>{LONG}</p></div><div class='site-footer'>F</div>"
+    assert main_text(page(f"{start}<div>{article}</div>{rest}{end}")) == f"Head {LONG} {LONG}"
+
+
+def test_comments_longer_than_the_article_are_left_out():
+    assert main_text(page(f"<div><h1>Head</h1><p>{LONG}</p></div><div class='comments'>{f'<p>{LONG}</p>' * 4}</div>")) == f"Head {LONG}"
+
+
 def test_very_long_and_deep_pages_end():
     deep = "<div>" * 20_000 + LONG + "</div>" * 20_000
     assert main_text(deep) == LONG

@@ -7,7 +7,11 @@ discounted by its own link density; the best container is kept, an enclosing
 ``article`` or ``main`` in its place, with those of its siblings that score well
 enough or read like its paragraphs.  Elements that hold no article by their tag,
 role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments by readers) are left out wherever they stand.
+scripts, styles, comments by readers) are left out wherever they stand.  A name of a
+class or id counts as a whole, or by its first word (``sidebar-left``), behind a word
+for a place too (``site-footer``).  A block left out by name, or a form, stays if it
+holds the page: more than half of all points and an ``article``, ``main`` or ``h1``,
+or nine tenths of all points.
 
 Text of a block element is one block: character references decoded, white space
 made single spaces, trimmed; blocks are joined in page order by a space.  Inline
@@ -54,7 +58,9 @@ LEFT_OUT_NAMES = set(
     "navigation menu topbar toolbar footer header masthead widget widgets pagination pager login "
     "signup signin skip hidden".split()
 )
+PLACES = set("site page global top bottom left right primary secondary mobile wp".split())
 ARTICLE_NAMES = set("article body content entry main post story text".split())
+FORMS = set("form fieldset".split())
 NEVER_LEFT_OUT = set("html body article main".split())
 SEMANTIC = set("article main".split())
 # A start tag of these ends an open element of those.
@@ -73,6 +79,9 @@ SCOPES = set("ul ol dl table tbody thead tfoot select article section div body h
 LEVELS = 4
 SIBLING_SHARE, SIBLING_POINTS = 0.2, 10.0
 LONG_PARAGRAPH, LINKED = 80, 0.25
+#: Shares of a page's points an element holds that is not left out by its name.
+WITH_ARTICLE, WHOLE_PAGE = 0.5, 0.9
+STAYS, BY_NAME, GONE = range(3)
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -80,29 +89,40 @@ _TOKEN = re.compile(
       | <[!?/a-zA-Z][^>]*+(?:>|\Z)""",
     re.VERBOSE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(
-    r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
-    re.IGNORECASE,
-)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in LEFT_OUT and not (tag == "header" and in_article):
-        return True
+def _left_out(tag: str, attributes: str, in_article: bool) -> int:
+    """STAYS, BY_NAME (unless it holds the page) or GONE."""
+    if tag in LEFT_OUT and tag not in FORMS and not (tag == "header" and in_article):
+        return GONE
+    by_tag = BY_NAME if tag in FORMS else STAYS
     if not attributes or tag in NEVER_LEFT_OUT:
-        return False
-    found = {
-        m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)
-    }
+        return by_tag
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
-    if found.get("role") in LEFT_OUT_ROLES or _HIDDEN.search(found.get("style", "")):
-        return True
-    names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(names & LEFT_OUT_NAMES) and not names & ARTICLE_NAMES
+        return GONE
+    role = found.get("role")
+    if role in LEFT_OUT_ROLES and role != "form" or _HIDDEN.search(found.get("style", "")):
+        return GONE
+    tokens = [_NAME.findall(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    if role == "form":
+        return BY_NAME
+    if any(_names_no_article(words) for words in tokens) and not any(ARTICLE_NAMES & set(w) for w in tokens):
+        # inside a line of text there is no page to hold
+        return GONE if tag in INLINE else BY_NAME
+    return by_tag
+
+
+def _names_no_article(words: list[str]) -> bool:
+    if len(words) > 1 and words[0] in PLACES:
+        words = words[1:]
+    return bool(words) and words[0] in LEFT_OUT_NAMES
 
 
 class Page:
@@ -110,6 +130,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.out, self.within = ["#page"], [-1], [False], [False]
+        self.by_name = [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack = [0]
         self._open: dict[str, int] = {}
@@ -172,10 +193,12 @@ class Page:
             return
         parent = self._stack[-1]
         within = self.within[parent] or tag in SEMANTIC
-        out = self.out[parent] or _left_out(tag, attributes, self.within[parent])
+        left_out = _left_out(tag, attributes, self.within[parent])
+        out = self.out[parent] or left_out == GONE
         self.tags.append(tag)
         self.parents.append(parent)
         self.out.append(out)
+        self.by_name.append(left_out == BY_NAME)
         self.within.append(within)
         self._stack.append(len(self.tags) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
@@ -210,6 +233,8 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
+    if any(page.by_name):
+        _leave_out_by_name(page)
     if not page.blocks:
         return ""
     keep = _kept(page)
@@ -218,6 +243,26 @@ def main_text(source: str | None) -> str:
     return " ".join(text for owner, text, _ in page.blocks if keep[owner])
 
 
+def _points(text: str, links: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+
+
+def _leave_out_by_name(page: Page) -> None:
+    """Drop the blocks of elements left out by name, but for those that hold the page."""
+    held = [0.0] * len(page.tags)
+    article = [tag in SEMANTIC or tag == "h1" for tag in page.tags]
+    for owner, text, links in page.blocks:
+        held[owner] += _points(text, links)
+    for at in range(len(held) - 1, 0, -1):
+        held[page.parents[at]] += held[at]
+        article[page.parents[at]] |= article[at]
+    for at in range(1, len(held)):
+        share = held[at] / held[0] if held[0] else 0.0
+        holds = share >= WHOLE_PAGE or share > WITH_ARTICLE and article[at]
+        page.out[at] |= page.out[page.parents[at]] or page.by_name[at] and not holds
+    page.blocks = [block for block in page.blocks if not page.out[block[0]]]
+
+
 def _kept(page: Page) -> list[bool]:
     tags, parents = page.tags, page.parents
     scores = [0.0] * len(tags)
@@ -225,8 +270,7 @@ def _kept(page: Page) -> list[bool]:
     for owner, text, links in page.blocks:
         lengths[owner] += len(text)
         linked[owner] += links
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - links / len(text)
+        points = _points(text, links)
         at = parents[owner] if tags[owner] in PARAGRAPHS else owner
         for level in range(LEVELS):
             if at < 0:
