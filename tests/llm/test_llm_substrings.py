@@ -79,3 +79,16 @@ def test_long_text_empty_table_and_clashes(spark):
     df = spark.createDataFrame([(1, "a b")], DOCS).withColumn("kept", F.lit(5)).withColumn("doc", F.lit("d"))
     (row,) = remove_repeats(df).collect()
     assert row.kept == "a b" and row.doc == "d"
+
+
+def test_texts_of_one_id_are_told_apart_by_the_whole_hash(spark, monkeypatch):
+    whole = substrings.F.xxhash64
+    # a hash whose upper 31 bits say nothing
+    weak = lambda *columns: whole(*columns).bitwiseAND(substrings.F.lit((1 << 33) - 1))
+    monkeypatch.setattr(substrings.F, "xxhash64", weak)
+    bodies = [" ".join(f"t{n}w{k}" for k in range(30)) for n in range(200)]
+    docs = [(None, body) for body in bodies] + [(n, f"own{n} {body}") for n, body in enumerate(bodies)]
+    for unit in (200, 1 << 19):
+        rows = kept(spark, docs, unit_words=unit)
+        assert sorted(t for d, _, _, t, _ in rows if d is None) == sorted(bodies)
+        assert {d: t for d, _, _, t, _ in rows if d is not None} == {n: f"own{n}" for n in range(200)}

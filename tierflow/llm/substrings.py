@@ -53,7 +53,7 @@ _NO_DOC = -(1 << 63)
 _ROW = "bucket bigint, body binary"
 _WINDOWS, _KNOWN = 0, 1
 _PRINT_BYTES = 6
-_MATCH = "doc bigint, place bigint, size int, ref_doc bigint, ref_place bigint"
+_MATCH = "doc bigint, variant bigint, place int, size int, ref_doc bigint, ref_place int"
 
 
 def _mixed(values: np.ndarray, by: int) -> np.ndarray:
@@ -99,9 +99,10 @@ class Unit:
         self.owner = owner[self.at]
         begin = np.concatenate([np.zeros(1, np.int64), ends])[:-1]
         self.doc = ids[self.owner] if len(ids) else ids
-        self.place = (
-            (variants[self.owner] << 32) + self.at - begin[self.owner] if len(ids) else ids
-        )
+        self.variant = variants[self.owner] if len(ids) else ids
+        self.place = self.at - begin[self.owner] if len(ids) else ids
+        #: Only where ids repeat do variants travel.
+        self.varied = bool(variants.any())
 
     def seen(self) -> np.ndarray:
         """For each window the first equal one of the unit."""
@@ -148,6 +149,7 @@ def _rows(batches, window: int, anchor: int, unit_words: int, buckets: int, crow
             starts, sizes = _spans(np.concatenate([[True], ~goes_on]))
             at, ref = again[starts], source[again][starts]
             columns = [unit.doc[at], unit.place[at], sizes, unit.doc[ref], unit.place[ref]]
+            columns += [unit.variant[at]] if unit.varied else []
             # any bucket will do for these
             yield _batch([int(unit.prints[0] % np.uint64(buckets))], [_packed(_KNOWN, columns)])
         keys, at, sizes, prints = _addressed(unit, source, crowded)
@@ -163,6 +165,7 @@ def _rows(batches, window: int, anchor: int, unit_words: int, buckets: int, crow
         for high in edges:
             mine = slice(low, high)
             columns = [keys[mine].view(np.int64), unit.doc[at[mine]], unit.place[at[mine]], sizes[mine]]
+            columns += [unit.variant[at[mine]]] if unit.varied else []
             step = np.arange(sizes[mine].sum()) - np.repeat(np.cumsum(sizes[mine]) - sizes[mine], sizes[mine])
             tail = prints[np.repeat(places[mine], sizes[mine]) + step]
             names.append(int(bucket[low]))
@@ -218,18 +221,17 @@ def _key_counts(batches, window: int, anchor: int, unit_words: int):
 
 def _matches(rows: pa.Table):
     """Windows of a bucket that have an earlier equal, as runs."""
-    names = ["doc", "place", "size", "ref_doc", "ref_place"]
     found, prints = [], []
     for body in rows.column("body").to_pylist():
         kind, columns, tail = _unpacked(body)
         if kind == _KNOWN:
-            yield _match_batch(columns)
+            yield _match_batch(_with_variant(columns, 5))
         else:
-            found.append(columns)
+            found.append(_with_variant(columns, 4))
             prints.append(tail)
     if not found:
         return
-    keys, docs, places, sizes = (np.concatenate(parts) for parts in zip(*found))
+    keys, docs, places, sizes, variants = (np.concatenate(parts) for parts in zip(*found))
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     shared = np.zeros(len(ranked), bool)
@@ -244,31 +246,38 @@ def _matches(rows: pa.Table):
     row = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keys, docs, places = keys[open_][row], docs[open_][row], places[open_][row] + step
+    variants = variants[open_][row]
     prints = np.zeros((len(row), 8), np.uint8)
     prints[:, :_PRINT_BYTES] = tails[first[row] + step]
     prints = prints.view("<u8").ravel()
-    order = np.lexsort((places, docs, prints, keys))
+    order = np.lexsort((places, variants, docs, prints, keys))
     first = np.ones(len(order), bool)
     first[1:] = (keys[order][1:] != keys[order][:-1]) | (prints[order][1:] != prints[order][:-1])
     head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
     source = np.empty(len(order), np.int64)
     source[order] = head
-    repeat = (docs[source] != docs) | (places[source] != places)
+    repeat = (docs[source] != docs) | (places[source] != places) | (variants[source] != variants)
     again = np.flatnonzero(repeat)
     if not len(again):
         return
     ref = source[again]
     goes_on = (np.diff(again) == 1) & (np.diff(row[again]) == 0)
-    goes_on &= (np.diff(docs[ref]) == 0) & (np.diff(places[ref]) == 1)
+    goes_on &= (np.diff(docs[ref]) == 0) & (np.diff(variants[ref]) == 0) & (np.diff(places[ref]) == 1)
     starts, counts = _spans(np.concatenate([[True], ~goes_on]))
     at, ref = again[starts], ref[starts]
-    yield _match_batch([docs[at], places[at], counts, docs[ref], places[ref]])
+    yield _match_batch([docs[at], places[at], counts, docs[ref], places[ref], variants[at]])
+
+
+def _with_variant(columns: list[np.ndarray], count: int) -> list[np.ndarray]:
+    return columns if len(columns) > count else [*columns, np.zeros(len(columns[0]), np.int64)]
 
 
 def _match_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    doc, place, size, ref_doc, ref_place, variant = columns
+    columns = [doc, variant, place, size, ref_doc, ref_place]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
     arrays = [pa.array(np.ascontiguousarray(c)).cast(kind) for c, kind in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc", "place", "size", "ref_doc", "ref_place"])
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "variant", "place", "size", "ref_doc", "ref_place"])
 
 
 def repeated_runs(
@@ -317,7 +326,7 @@ def remove_repeats(
     keyed = docs.withColumns(
         {
             "__llm_doc": F.coalesce(F.col(doc).cast("bigint"), F.lit(_NO_DOC)),
-            "__llm_variant": F.shiftrightunsigned(F.xxhash64(F.col(text)), 33),
+            "__llm_variant": F.xxhash64(F.col(text)),
         }
     )
     # the variant tells texts of one id apart: where there are none, it need not travel
@@ -332,18 +341,16 @@ def remove_repeats(
         anchor,
         unit_words,
     )
-    start = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    ref_start = F.col("ref_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     ref_doc = F.when(F.col("ref_doc") != _NO_DOC, F.col("ref_doc"))
     listed = runs.groupBy(
-        F.col("doc").alias("__llm_doc"), F.shiftright("place", 32).alias("__llm_variant")
+        F.col("doc").alias("__llm_doc"), F.col("variant").alias("__llm_variant")
     ).agg(
         F.collect_list(
             F.struct(
-                start.alias("start"),
+                F.col("place").alias("start"),
                 F.col("size").alias("size"),
                 ref_doc.alias("ref_doc"),
-                ref_start.alias("ref_start"),
+                F.col("ref_place").alias("ref_start"),
             )
         ).alias("__llm_runs")
     )
