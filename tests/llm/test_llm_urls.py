@@ -92,6 +92,21 @@ def test_spread_equals_a_sum_over_walks(spark):
     assert all(got[key] == pytest.approx(total[key]) for key in got)
 
 
+def test_distrust_of_many_pages_goes_down_a_long_chain(spark):
+    rows = [(n, "https://h0.net/a", None) for n in range(1000)]
+    rows += [(1000 + n, f"https://h{n}.com/a", f"<a href='https://h{n - 1}.{'com' if n > 1 else 'net'}/'>") for n in range(1, 31)]
+    # 1000 * 0.85**30 is 7.6, more than half a page
+    assert {r.verdict for r in judged(spark, rows).values()} == {"block"}
+
+
+def test_mass_in_a_cycle_is_counted_to_the_end(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "trust", 1000.0)], "host string, kind string, mass double")
+    got = {r.host: r.mass for r in spread(seeds, links, rest=50.0).collect()}
+    whole = 1000 / (1 - DAMPING**2)
+    assert whole - 50 < got["a"] <= whole and whole * DAMPING - 50 < got["b"] <= whole * DAMPING
+
+
 def test_links_are_distinct_and_between_hosts(spark):
     html = "<a href=http://B.com/1><a href='http://b.com/2'><a href=\"https://a.com/x\"><a href=mailto:x@y>" * 50
     pages = spark.createDataFrame([("a.com", html), ("", html), ("c.com", None)], "host string, html string")

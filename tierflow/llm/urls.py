@@ -14,8 +14,9 @@ links let go.  A host is blocked if distrust per page reaches
 ``BLOCK_PER_PAGE`` and exceeds trust.
 
 Both run in one iteration: a join of the mass that arrived last with the links,
-and a sum combined before its shuffle.  Iterations end when no mass above ``LEAST_MASS``
-moves; links of a host to itself pass nothing on.  Links come from the pages'
+and a sum combined before its shuffle.  Iterations end when all mass that is still
+to arrive, at all hosts together, is below ``REST_SHARE`` of what blocks the host
+with the fewest pages; links of a host to itself pass nothing on.  Links come from the pages'
 ``href`` attributes; those without a host stay on their own host.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, and is no
@@ -32,9 +33,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import stored
 
 DAMPING = 0.85
-#: Walks of more steps carry less than a fiftieth of their seeds.
+#: Where ``spread`` is not given a rest, and in the SQL: walks end here, and at less mass.
 MOST_STEPS = 24
 LEAST_MASS = 1e-6
+#: Of the distrust that blocks the smallest host, what may be left on the way.
+REST_SHARE = 1e-6
+#: Iterations whose mass is added up in one table.
+FOLDED = 16
 BLOCK_PER_PAGE = 0.5
 MOST_RULES = 1_000
 
@@ -77,10 +82,18 @@ def host_links(pages: DataFrame, payload: str = "html") -> DataFrame:
     return links.where("dst != '' AND dst != src").distinct()
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, least: float = LEAST_MASS) -> DataFrame:
+def spread(
+    seeds: DataFrame,
+    links: DataFrame,
+    damping: float = DAMPING,
+    least: float = LEAST_MASS,
+    rest: float | None = None,
+) -> DataFrame:
     """Mass per ``host`` and ``kind`` from ``seeds`` (host, kind, mass).
 
-    Kind ``trust`` follows ``links``, kind ``distrust`` runs against them.
+    Kind ``trust`` follows ``links``, kind ``distrust`` runs against them.  With a
+    ``rest`` walks have any number of steps and no mass is let go: it ends when all
+    that would still arrive is less than that.
     """
     forward = links.join(links.groupBy("src").agg(F.count("*").alias("n")), "src")
     backward = links.join(links.groupBy("dst").agg(F.count("*").alias("n")), "dst")
@@ -90,18 +103,29 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, least:
         .union(backward.select(F.lit("distrust"), F.col("dst"), F.col("src"), part)),
         "steps",
     )
-    arrived = [stored(seeds.select("host", "kind", "mass"), "mass")]
-    for _ in range(MOST_STEPS):
-        moved = arrived[-1].join(steps, ["host", "kind"])
+    total = stored(seeds.select("host", "kind", "mass"), "mass")
+    arrived, last, step = [total], total, 0
+    while rest is not None or step < MOST_STEPS:
+        step += 1
+        moved = last.join(steps, ["host", "kind"])
         moved = moved.groupBy(F.col("next").alias("host"), "kind").agg(
             F.sum(F.col("mass") * F.col("part")).alias("mass")
         )
-        moved = stored(moved.where(F.col("mass") >= least), "mass")
-        if moved.isEmpty():
+        last = stored(moved.where(F.col("mass") >= least) if rest is None else moved, "mass")
+        moving = last.agg(F.sum("mass")).first()[0]
+        if moving is None:
+            break
+        arrived.append(last)
+        # of what has just arrived, all later steps pass on the sum of a geometric series
+        if rest is not None and moving * damping / (1 - damping) < rest:
             break
-        arrived.append(moved)
-    total = reduce(DataFrame.union, arrived)
-    return total.groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
+        if len(arrived) > FOLDED:
+            arrived = [stored(_summed(arrived), "mass")]
+    return _summed(arrived)
+
+
+def _summed(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
 
 
 def judge(
@@ -134,7 +158,9 @@ def judge(
     )
     counts = stored(counts, "hosts")
     seeds = counts.unpivot("host", ["trust", "distrust"], "kind", "mass").where("mass > 0")
-    mass = spread(seeds, stored(host_links(read, "payload"), "links"))
+    smallest = counts.agg(F.min("pages")).first()[0] or 1
+    rest = REST_SHARE * block_per_page * smallest
+    mass = spread(seeds, stored(host_links(read, "payload"), "links"), rest=rest)
     kinds = mass.groupBy("host").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     )
