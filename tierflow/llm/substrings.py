@@ -1,4 +1,4 @@
-"""Substring deduplication: a relative Lempel-Ziv parse over word windows.
+"""Substring deduplication by hashes of word windows.
 
 A document word goes if some window of ``WINDOW_WORDS`` words that covers it also
 starts earlier: in a smaller document, or further ahead in the same one.
@@ -9,9 +9,9 @@ indexed as reference blocks by anchor hash: a shuffle partition is a block, and
 holds all windows of its anchors.  Neighbouring windows mostly share an anchor
 and travel as one row, with 48 bits of each window's own hash behind the 64 bits
 of the anchor.  In a block every window is looked up, those at the ends of a
-match too, and refers to the earliest place that has the same words.  The parse
-of a document is greedy: matches that go on at the same distance in the same
-reference are one factor.
+match too, and refers to the earliest place that has the same hashes.  Runs of
+found windows decide what goes.  ``factors`` are made from them, matches that go
+on at the same distance in the same reference as one, and decide nothing.
 
 Before the shuffle a task drops what it has seen itself: of equal windows in a
 unit of ``UNIT_WORDS`` words only the first travels, the rest are known to
@@ -20,7 +20,9 @@ with a large share of all rows in front of different words, found in a 1/16
 sample of the documents, are addressed window by window instead; the sample
 decides where rows go, never what is found.
 
-Windows are compared by 112 bits of hash; words are hashed with XXH64.
+In a unit windows are compared by 64 bits of hash, between units by 64 bits of
+the anchor's and 48 of their own: windows of one anchor are told apart by 48
+bits.  Words are hashed with XXH64 and not compared again.
 
 Nulls: a null text has no words, a null id comes before all others.  Rows with
 one id and one text are one document, each returned alike; rows with one id and
