@@ -1,6 +1,7 @@
 import brute
 import corpus_pipeline
 import pytest
+from test_llm_similar import firsts
 from tierflow.llm.queries import MIX_BLOCK_ROWS, MIX_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,9 +28,8 @@ def test_run_equals_brute_force(spark, corpus):
     sources = {r[0]: r[3] for r in rows}
     docs = brute.resampled([(r[0], r[1]) for r in rows], labels)
     docs = [(d, t) for (d, _), t in zip(docs, brute.without_lines(docs))]
-    docs.sort()
-    first = brute.groups([brute.simhash(text) for _, text in docs])
-    docs = [doc for place, doc in enumerate(docs) if first[place] == place]
+    stays = set(firsts(docs))
+    docs = [(d, t) for d, t in sorted(docs) if d in stays]
     docs = [(d, t) for d, t in docs if not brute.contaminated(t, items)[0]]
     mixed = brute.mixed([(d, sources[d]) for d, _ in docs], MIX_WEIGHTS, MIX_BLOCK_ROWS)
     texts = dict(docs)
