@@ -193,3 +193,60 @@ def without_lines(docs):
                 seen.add(body)
         left[place] = "\n".join(kept)
     return [left[i] for i in range(len(docs))]
+
+
+# --- op11 --------------------------------------------------------------------
+
+
+def repaired(rows):
+    """Counts, cost, audit and text of one conversation's rows (turn, role, text), in order."""
+    white, seen, faults = " \t\n\v\f\r", set(), []
+    for _, role, text in rows:
+        last = text.rstrip(white)[-1:]
+        known = (role, text) in seen
+        seen.add((role, text))
+        faults.append("blank" if not last else "duplicate" if known else "" if last in ".!?" else "truncated")
+    # every state (the roles' initials so far, shortened to the last) with its best end
+    ends = {"": (0, "", ())}
+
+    def better(into, state, cost, audit, kept):
+        into[state] = min(into.get(state, (cost, audit, kept)), (cost, audit, kept))
+
+    def follows(state, initial):
+        return state + initial in ("s", "u", "su", "ua", "au")
+
+    def grown(ends):
+        while True:
+            more = dict(ends)
+            for state, (cost, audit, kept) in ends.items():
+                for role in ("user", "assistant"):
+                    if follows(state, role[0]):
+                        better(more, role[0], cost + 2, audit + "I", (*kept, (role, "")))
+            if more == ends:
+                return ends
+            ends = more
+
+    ends = grown(ends)
+    for (_, role, text), fault in zip(rows, faults):
+        after, late = {}, int(fault == "truncated")
+        for state, (cost, audit, kept) in ends.items():
+            better(after, state, cost + 3, audit + "D", kept)
+            if fault in ("blank", "duplicate"):
+                continue
+            if follows(state, role[:1]) and role:
+                better(after, role[:1], cost + late, audit + "K", (*kept, (role, text)))
+            for other in ("user", "assistant"):
+                if follows(state, other[0]):
+                    better(after, other[0], cost + 2 + late, audit + "R", (*kept, (other, text)))
+        ends = grown(after)
+    cost, audit, kept = min(ends[s] for s in ("", "a") if s in ends)
+    turns = {t for t, _, _ in rows if t is not None}
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    return {
+        "gaps": max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+        **{name: faults.count(name) for name in ("blank", "duplicate", "truncated")},
+        "illegal": sum(p not in ("su", "ua", "au") for p in pairs),
+        "cost": cost,
+        "audit": audit,
+        "repaired_sha256": hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest(),
+    }, list(kept)

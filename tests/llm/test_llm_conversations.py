@@ -1,0 +1,125 @@
+import random
+import zlib
+from itertools import product
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+from tierflow.llm import conversations
+from tierflow.llm.conversations import audits, damaged, less, messages, nothing
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+ROLES = ["user", "assistant", "system", "tool", "", "u2"]
+
+
+def rows_of(seed, longest, conversations=60):
+    rng = random.Random(seed)
+    out = []
+    for conv in range(conversations):
+        for n in range(rng.randint(1, longest)):
+            role = rng.choice(ROLES) if rng.random() < 0.3 else ("user", "assistant")[n % 2]
+            text = rng.choice(["Yes.", "no", " ", "", f"t{rng.randint(0, 40)}!", f"t{rng.random()}.", f"x{n}"])
+            out.append((conv, None if rng.random() < 0.05 else 2 * n, role, text))
+    return out
+
+
+def by_brute(rows):
+    """Results by id; rows of one turn in the order of role and text, as short texts go."""
+    groups = {}
+    for conv, turn, role, text in rows:
+        told = (turn, " " if role is None else role, " " if text is None else text)
+        groups.setdefault(conv, []).append(told)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    return {conv: brute.repaired(sorted(group, key=order)) for conv, group in groups.items()}
+
+
+def plain(df):
+    return {r.conv_id: {k: v for k, v in r.asDict().items() if k != "conv_id"} for r in df.collect()}
+
+
+@pytest.mark.parametrize("long_rows", [20_000, 7])
+def test_equals_brute_force(spark, long_rows):
+    rows = rows_of(3, 40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = by_brute(rows)
+    got = audits(df, long_rows=long_rows)
+    assert plain(got) == {conv: counts for conv, (counts, _) in expected.items()}
+    left = {}
+    for r in sorted(messages(df, got).collect(), key=lambda r: r.place):
+        left.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert left == {conv: kept for conv, (_, kept) in expected.items() if kept}
+
+
+def test_no_cheaper_edits_exist():
+    """All edits of short conversations, with up to two inserts at a place."""
+    rng = random.Random(5)
+    for _ in range(60):
+        rows = [(n, rng.choice(ROLES[:4]), rng.choice(["a.", "b", "", "a."])) for n in range(rng.randint(0, 3))]
+        faults, seen = [], set()
+        for _, role, text in rows:
+            faults.append("b" if not text else "d" if (role, text) in seen else "" if text[-1] == "." else "t")
+            seen.add((role, text))
+        best = None
+        for inserts in product(["", "u", "a", "ua", "au"], repeat=len(rows) + 1):
+            for edits in product(["D", "K", "Ru", "Ra"], repeat=len(rows)):
+                initials, audit, cost = inserts[0], "I" * len(inserts[0]), 2 * len(inserts[0])
+                for edit, (_, role, _), fault, more in zip(edits, rows, faults, inserts[1:]):
+                    if fault in ("b", "d") and edit != "D":
+                        break
+                    cost += {"D": 3, "K": 0}.get(edit, 2) + (fault == "t" and edit != "D") + 2 * len(more)
+                    initials += ("" if edit == "D" else role[0] if edit == "K" else edit[1]) + more
+                    audit += edit[0] + "I" * len(more)
+                else:
+                    body = initials.removeprefix("s")
+                    legal = not initials or (body and body == "ua" * (len(body) // 2))
+                    if legal and (best is None or (cost, audit) < best):
+                        best = cost, audit
+        counts, _ = brute.repaired(rows)
+        assert (counts["cost"], counts["audit"]) == best, rows
+
+
+def test_a_hot_conversation_is_cut_into_blocks(spark):
+    rng = random.Random(8)
+    rows = [(1, n // 2, rng.choice(["user", "assistant"]), rng.choice(["same.", f"n{n}.", "open"])) for n in range(3_000)]
+    rows += [(None, None, None, "null turns") for _ in range(300)] + [(2, 0, "user", "Hi."), (2, 1, "assistant", "Yes.")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert plain(audits(df, long_rows=100)) == {conv: counts for conv, (counts, _) in by_brute(rows).items()}
+
+
+def test_ties_go_by_letters_whatever_the_hashes(monkeypatch):
+    rng = random.Random(1)
+    for modulus in ((1 << 61) - 1, 5):
+        monkeypatch.setattr(conversations, "_MODULUS", modulus)
+        nodes = [nothing()]
+        for _ in range(300):
+            nodes.append(rng.choice(nodes[-12:]).add(rng.choice("DIKR")))
+        for _ in range(3_000):
+            a, b = rng.choice(nodes), rng.choice(nodes)
+            assert less(a, b) == (str(a) < str(b))
+
+
+def test_damage_follows_the_hash(spark):
+    rows = [(c, t, "assistant", "One. Two! Three?") for c in range(30) for t in range(8)] + [(None, None, None, None)]
+    got = {}
+    for r in damaged(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault((r.conv_id, r.turn), []).append((r.role, r.text, r.absent))
+    for conv, turn, role, text in rows:
+        told = [" " if v is None else str(v) for v in (conv, turn, role, text)]
+        kind = zlib.crc32(f"{told[0]}:{told[1]}".encode()) % 20
+        role, text = "user" if kind == 4 else told[2], {1: "", 2: "One Two Three"}.get(kind, told[3])
+        assert got[conv, turn] == [(role, text, kind == 0)] * (2 if kind == 3 else 1)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None, None), (2, 5, "user", "Hi."), (3, -(2**63), "user", "a."), (3, 2**63 - 1, "assistant", "b.")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("audit", F.lit("mine")).withColumn("conv", F.lit(1))
+    df = df.withColumn("gone", F.col("conv_id") == 2)
+    got = plain(audits(df, absent="gone"))
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    none = dict(gaps=0, blank=0, duplicate=0, truncated=0, illegal=0, cost=0, audit="", repaired_sha256=empty)
+    assert got[1] == {**none, "blank": 1, "cost": 3, "audit": "D"}
+    assert got[2] == none
+    assert got[3]["gaps"] == 2**63 - 1 and got[3]["audit"] == "KK"
+    assert audits(df.limit(0)).count() == 0
+    names = spark.createDataFrame([("x", 1, "user", "a" * 200_000 + "."), ("", 1, "user", "b.")], "conv_id string, turn bigint, role string, text string")
+    assert {r.conv_id: r.audit for r in audits(names).collect()} == {"x": "KI", "": "KI"}

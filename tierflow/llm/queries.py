@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .conversations import audits, damaged
 from .decontaminate import decontaminate
 from .extraction import extract
 from .lines import drop_repeated_chunks
@@ -287,6 +288,97 @@ FROM docs LEFT JOIN ranked USING (r, doc_id) GROUP BY r, doc_id
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits(damaged(table(spark, sf_dir, "conversations")), absent="absent")
+
+
+def _move(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """SQL for an end of ``state`` with one edit more."""
+    return (
+        f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'text': {state}.text || {line}}}"
+    )
+
+
+def _way(when: str, state: str, *edit: str) -> str:
+    return f"CASE WHEN {when} AND {state} IS NOT NULL THEN {_move(state, *edit)} END"
+
+
+def _insert(state: str, role: str) -> str:
+    return _way("true", state, "2", "I", f"chr(10) || '{role}:'")
+
+
+def _ways(state: str) -> str:
+    """SQL for a state's best end after one more row."""
+    to = {"n": [], "s": ["n"], "u": ["n", "s", "a"], "a": ["u"]}[state]
+    role = {"u": "user", "a": "assistant"}.get(state)
+    ways = [_way("true", f"d.{state}", "3", "D")]
+    for before in to:
+        keep = f"NOT must AND first = '{state}'"
+        ways.append(_way(keep, f"d.{before}", "late", "K", "chr(10) || role || ':' || text"))
+        if role:
+            ways.append(_way("NOT must", f"d.{before}", "2 + late", "R", f"chr(10) || '{role}:' || text"))
+    return f"least({', '.join([*ways, 'NULL'])})"
+
+
+_EMPTY = "{'cost': 0, 'audit': '', 'text': ''}"
+
+#: Null ids are not told apart from a space here; the given rows have none.
+OP11_SQL = rf"""
+WITH RECURSIVE bits(n, k, c) AS (
+  SELECT n, 0, n FROM (SELECT unnest(range(0, 256)) AS n) UNION ALL
+  SELECT n, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+dealt AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::BIGINT),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM told, crcs),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM dealt, unnest(range(0, CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS c(copy) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM hurt),
+seen AS (
+  SELECT *, left(role, 1) AS first, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair
+  FROM placed),
+faults AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM seen),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS must, (fault = 'truncated')::INT AS late FROM faults),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS k
+  FROM rows GROUP BY conv_id),
+ends(conv_id, k, n, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {_EMPTY},
+         CASE WHEN false THEN {_EMPTY} END,
+         {{'cost': 2, 'audit': 'I', 'text': chr(10) || 'user:'}},
+         {{'cost': 4, 'audit': 'II', 'text': chr(10) || 'user:' || chr(10) || 'assistant:'}} FROM told
+  UNION ALL
+  SELECT conv_id, k, n, s, u, least(a, {_insert("u", "assistant")}) FROM (
+    SELECT conv_id, k, n, s, a,
+           least(u, {_insert("n", "user")}, {_insert("s", "user")}, {_insert("a", "user")}) AS u
+    FROM (SELECT d.conv_id, r.k, {_ways("n")} AS n, {_ways("s")} AS s, {_ways("u")} AS u, {_ways("a")} AS a
+          FROM ends d JOIN rows r ON r.conv_id = d.conv_id AND r.k = d.k + 1))),
+best AS (
+  SELECT ends.conv_id, least(n, a) AS e, gaps, blank, duplicate, truncated, illegal
+  FROM ends LEFT JOIN counted USING (conv_id) WHERE ends.k = coalesce(counted.k, 0))
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, e.cost::BIGINT AS cost, e.audit AS audit,
+       sha256(e.text[2:]) AS repaired_sha256
+FROM best
+"""
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
@@ -298,6 +390,7 @@ QUERIES = {
     "op8_mtree_top_k": op8_mtree_top_k,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES = {
     "op2_decontamination": OP2_SQL,
@@ -307,4 +400,5 @@ ORACLES = {
     "op8_mtree_top_k": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
