@@ -12,6 +12,7 @@ from .lines import drop_repeated_chunks
 from .mixing import mix
 from .nearest import top_k
 from .quality import resample
+from .rules import BITS, COUNTS, LEAST_DOCS, LEAST_WORDS, MOST_REPEATED_PERCENT, SPREAD, judged
 from .simhash import near_duplicates
 from .substrings import remove_repeats
 from .urls import BLOCK_PER_PAGE, DAMPING, LEAST_MASS, MOST_STEPS, judge
@@ -379,6 +380,69 @@ FROM best
 """
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+_LEVELS = " UNION ALL ".join(
+    f"SELECT {n} AS level, {keys}, rate, b, sum(texts) AS texts FROM sketches GROUP BY ALL"
+    for n, keys in enumerate(["lang, source", "lang, NULL AS source", "NULL AS lang, NULL AS source"])
+)
+
+OP12_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(list_slice(w, i, i + 2), ' ')) AS n
+  FROM docs, unnest(range(1, len(w) - 1)) AS t(i)),
+again AS (SELECT r, count(DISTINCT i + j) AS n FROM windows, unnest([0, 1, 2]) AS t(j) WHERE n > 1 GROUP BY r),
+counts AS (
+  SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines
+  FROM docs LEFT JOIN again USING (r)),
+judged AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM counts),
+passing AS (SELECT * FROM judged WHERE NOT base_failed),
+rates AS (
+  SELECT r, lang, source, 'symbol_rate' AS rate, 1000 * n_symbols // n_words AS v FROM passing UNION ALL
+  SELECT r, lang, source, 'repeat_rate', 1000 * n_repeat_words // n_words FROM passing UNION ALL
+  SELECT r, lang, source, 'line_rate', 1000 * n_dup_lines // greatest(n_lines, 1) FROM passing UNION ALL
+  SELECT r, lang, source, 'word_length', 100 * word_chars // n_words FROM passing),
+sketches AS (
+  SELECT lang, source, rate, (v >> greatest(length(bin(v)) - {BITS}, 0)) << greatest(length(bin(v)) - {BITS}, 0) AS b,
+         count(*) AS texts FROM rates GROUP BY ALL),
+levels AS ({_LEVELS}),
+ranked AS (
+  SELECT *, b + (1::BIGINT << greatest(length(bin(b)) - {BITS}, 0)) - 1 AS e, sum(texts) OVER w AS total,
+         sum(texts) OVER (w ORDER BY b) AS upto
+  FROM levels WINDOW w AS (PARTITION BY level, lang, source, rate)),
+quartiles AS (
+  SELECT level, lang, source, rate, max(total) AS texts, min(b) FILTER (4 * upto >= total) AS quarter,
+         min(b) FILTER (2 * upto >= total) AS low, min(e) FILTER (2 * upto >= total) AS high
+  FROM ranked GROUP BY ALL),
+cuts AS (
+  SELECT level, lang, source, rate, texts, high + room AS upper, CASE WHEN rate = 'word_length' THEN low - room ELSE 0 END AS lower
+  FROM (SELECT *, {SPREAD} * greatest(high - quarter, CASE rate WHEN 'symbol_rate' THEN 25 WHEN 'word_length' THEN high // 20 ELSE 75 END) AS room
+        FROM quartiles)),
+failed AS (
+  SELECT DISTINCT r FROM rates
+  JOIN cuts o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM rates.lang AND o.source IS NOT DISTINCT FROM rates.source AND o.rate = rates.rate
+  JOIN cuts l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM rates.lang AND l.rate = rates.rate
+  JOIN cuts a ON a.level = 2 AND a.rate = rates.rate
+  WHERE NOT v BETWEEN CASE WHEN o.texts >= {LEAST_DOCS} THEN o.lower WHEN l.texts >= {LEAST_DOCS} THEN l.lower ELSE a.lower END
+                  AND CASE WHEN o.texts >= {LEAST_DOCS} THEN o.upper WHEN l.texts >= {LEAST_DOCS} THEN l.upper ELSE a.upper END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM failed) AS kept
+FROM judged
+"""
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
@@ -391,6 +455,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
 }
 ORACLES = {
     "op2_decontamination": OP2_SQL,
@@ -401,4 +466,5 @@ ORACLES = {
     "op9_substring_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_quality_rules": OP12_SQL,
 }
