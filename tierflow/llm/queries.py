@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .conversations import audits, damaged
 from .decontaminate import decontaminate
+from .divergence import LEAST_DOCS as LEAST_TERM_DOCS, MOST_TERMS, SCALE, divergence
 from .extraction import extract
 from .lines import drop_repeated_chunks
 from .mixing import mix
@@ -443,6 +444,42 @@ FROM judged
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= {LEAST_TERM_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT lang, source, any_value(v) AS v, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN counts USING (lang, source)
+  GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(counts.n, 0) AS n, 1 + ({SCALE}::HUGEINT * (coalesce(counts.n, 0) + 1)) // (groups.total + groups.v) AS p,
+         1 + ({SCALE}::HUGEINT * (kept.n + 1)) // (langs.total + langs.v) AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {MOST_TERMS}
+"""
+
+
 QUERIES = {
     "op1_quality_resampling": op1_quality_resampling,
     "op2_decontamination": op2_decontamination,
@@ -456,6 +493,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_quality_rules": op12_quality_rules,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES = {
     "op2_decontamination": OP2_SQL,
@@ -467,4 +505,5 @@ ORACLES = {
     "op10_line_dedup": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_quality_rules": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
