@@ -1,12 +1,14 @@
 """DataFrame forms of the operators pipelines are built from."""
 
 from .aggregates import first_rows, revenue_by, roll_up, summarize
+from .asof import asof_join
 from .history import latest, latest_stream, versions_from_changes, with_load_columns
 from .joins import broadcast_fits, temporal_left_join
 from .percentiles import exact_percentile_bounds, percentile_bounds, trim_outliers
 from .trips import curate_trips, derive_trips, summarize_trips, trim_trips
 
 __all__ = [
+    "asof_join",
     "broadcast_fits",
     "curate_trips",
     "derive_trips",

@@ -404,6 +404,60 @@ def taxi_serving(spark, sf_dir):
     return rounded(ops.curate_trips(_taxi_summary(spark, sf_dir)), 4, *SUMMED)
 
 
+# --- as-of joins -----------------------------------------------------------
+
+
+def _errors_and_clicks(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    errors = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    clicks = events.where("event_type = 'click'").select(
+        "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"), "value"
+    )
+    return errors, clicks
+
+
+def asof_join(spark, sf_dir):
+    """Every error with the last click of its user before it."""
+    errors, clicks = _errors_and_clicks(spark, sf_dir)
+    return ops.asof_join(errors, clicks, "user_id", ("ts", "click_ts"), order=["click_id"])
+
+
+def asof_join_nearest(spark, sf_dir):
+    """Every sale with the order of the part's supplier nearest in time, a week away at most."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    ordered = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("l_suppkey"), "o_orderkey", "o_orderdate"
+    )
+    return ops.asof_join(
+        lines, ordered, "l_suppkey", ("l_shipdate", "o_orderdate"),
+        order=["o_orderkey"], direction="nearest", tolerance="7 days", equal=False,
+    )
+
+
+ASOF_SQL = """
+  WITH errors AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+  clicks AS (
+    SELECT user_id, event_id AS click_id, ts AS click_ts, value FROM events WHERE event_type = 'click'
+    QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+  SELECT event_id, errors.user_id, ts, click_id, click_ts, value
+  FROM errors ASOF LEFT JOIN clicks ON errors.user_id = clicks.user_id AND errors.ts >= clicks.click_ts"""
+
+NEAREST_SQL = """
+  WITH lines AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate FROM lineitem),
+  points AS (SELECT DISTINCT l_suppkey, l_shipdate FROM lines),
+  ordered AS (
+    SELECT * FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1),
+  near AS (
+    SELECT l_suppkey, l_shipdate, o_orderkey, o_orderdate FROM points JOIN ordered ON o_custkey = l_suppkey
+     AND o_orderdate <> l_shipdate
+     AND o_orderdate BETWEEN l_shipdate - INTERVAL 7 DAYS AND l_shipdate + INTERVAL 7 DAYS
+    QUALIFY row_number() OVER (
+      PARTITION BY l_suppkey, l_shipdate
+      ORDER BY abs(epoch_us(o_orderdate) - epoch_us(l_shipdate)), o_orderdate) = 1)
+  SELECT lines.*, o_orderkey, o_orderdate FROM lines LEFT JOIN near USING (l_suppkey, l_shipdate)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -424,6 +478,8 @@ QUERIES = {
         percentile_bounds_approx,
         dedup_latest,
         versions_from_changes,
+        asof_join,
+        asof_join_nearest,
         multi_agg,
         group_by_alias,
         reaggregate,
@@ -488,6 +544,8 @@ ORACLES = {
                lead(o_orderdate, 1, TIMESTAMP '9999-12-31 00:00:00') OVER (
                    PARTITION BY o_custkey ORDER BY o_orderdate) AS end_ts
         FROM changes""",
+    "asof_join": ASOF_SQL,
+    "asof_join_nearest": NEAREST_SQL,
     "multi_agg": """
         SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey,
                l_quantity > 15 AS large, count(*) AS line_count,
