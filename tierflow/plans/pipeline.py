@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sinks import store_batch
-from ..sources import load_source, relation_from_rows
+from ..sources import load_source, watermarked, relation_from_rows
 from ..spec import STAGES, PipelineSpec, SourceSpec, SpecError, TaskSpec, parse_pipeline
 from ..streaming import (
     AT_ONCE,
@@ -224,6 +224,8 @@ class Pipeline:
             chosen[target] = noted.get(target, "stored" if held else "built")
             if chosen[target] == "stored":
                 rows = stored_stream(self.spark, self.workspace, other, rows.schema)
+                if other.source is not None:
+                    rows = watermarked(rows, other.source)
             else:
                 rows = self._build(other)
             self._publish(target, rows)

@@ -49,13 +49,23 @@ def load_source(spark: SparkSession, source: SourceSpec) -> DataFrame:
         kind = bare if bare in VENDOR_TYPES else kind
     if kind not in LOADERS:
         raise SpecError(f"unknown source type {source.kind!r}")
-    rows = LOADERS[kind](spark, source)
+    rows = watermarked(LOADERS[kind](spark, source), source)
     wanted = source.optional("load_metadata")
     if not wanted:
         return rows
     return with_load_columns(rows, wanted if isinstance(wanted, Mapping) else {})
 
 
+def watermarked(rows: DataFrame, source: SourceSpec) -> DataFrame:
+    """Rows with the watermark their source declares: ``{"column": ..., "delay": ...}``."""
+    mark = source.optional("watermark")
+    if not mark:
+        return rows
+    if not isinstance(mark, Mapping) or not {"column", "delay"} <= set(mark):
+        raise SpecError(f"source {source.kind!r}: a watermark needs 'column' and 'delay'")
+    return rows.withWatermark(mark["column"], mark["delay"])
+
+
 __all__ = [
     "LOADERS",
     "decode_json",
@@ -63,4 +73,5 @@ __all__ = [
     "load_source",
     "register_source",
     "relation_from_rows",
+    "watermarked",
 ]

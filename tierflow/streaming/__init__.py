@@ -1,5 +1,6 @@
 """Streaming sinks and how long their queries run."""
 
+from .joins import interval_join
 from .queries import AT_ONCE, DRAIN, finish, run_for
 from .sinks import default_output_mode, has_stored, start_sinks, stored_stream
 
@@ -9,6 +10,7 @@ __all__ = [
     "default_output_mode",
     "finish",
     "has_stored",
+    "interval_join",
     "run_for",
     "start_sinks",
     "stored_stream",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tierflow import operators as ops
 from tierflow.sinks import read_sink
+from tierflow.streaming import interval_join
+from tierflow.workspace import scratch_dir
 
 from .documents import (
     batches,
@@ -18,7 +22,7 @@ from .documents import (
     streaming_conf,
 )
 from .queries_batch import REVENUE_SQL, SOLD_SQL, rounded
-from .tables import ORDERS_SCHEMA, orders, plain, table
+from .tables import ORDERS_SCHEMA, declared, orders, plain, table
 
 
 def _output(flow, stage: str, task: str, kind: str):
@@ -79,6 +83,65 @@ def stream_dedup(spark, sf_dir):
     return plain(_output(flow, "standard", "once", "file"))
 
 
+EVENT_SCHEMA = declared(event_id="long", user_id="long", ts="timestamp", value="double")
+#: Events before and after this come in two runs.
+SPLIT = "2024-01-15"
+
+
+def _instants(spark, sf_dir, *kinds: str):
+    """Events of some types with their time as an instant."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.where(F.col("event_type").isin(*kinds)) if kinds else events
+    return events.select("event_id", "user_id", "ts", "value")
+
+
+def _heartbeat(spark, days: int):
+    """A row of no event, so many days after all events: it moves the watermark on.
+
+    It has a user of its own, as a join drops rows without a key before it sees their time.
+    """
+    return spark.sql(
+        "SELECT CAST(NULL AS bigint) AS event_id, -1L AS user_id, "
+        f"timestamp'2100-01-01' + INTERVAL {days} DAYS AS ts, CAST(NULL AS double) AS value"
+    )
+
+
+def _event_source(name: str, path: str, delay: str):
+    source = file_input(path, "parquet", "streaming") | {"watermark": {"column": "ts", "delay": delay}}
+    return staging(name, source, EVENT_SCHEMA, "view")
+
+
+def stream_stream_join(spark, sf_dir):
+    """Errors with their user's clicks of six hours before, both as streams, over a restart."""
+    kinds = {"errors": "error", "clicks": "click"}
+    paths = {name: scratch_dir(spark, name) for name in kinds}
+    begins = F.col("ts") >= F.lit(SPLIT).cast("timestamp")
+
+    def joined(session):
+        clicks = session.table("stg_clicks").select(
+            "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts")
+        )
+        errors = session.table("stg_errors").select("event_id", "user_id", "ts")
+        within = (timedelta(hours=-6), timedelta(0))
+        return interval_join(errors, clicks, "user_id", ("ts", "click_ts"), within, "left")
+
+    flow = pipeline(
+        spark,
+        "joined",
+        streaming_conf(spark),
+        staging=[_event_source(name, path, "1 hour") for name, path in paths.items()],
+        standard=[sql_task("joined", "std_joined", joined, "file", mode="streaming")],
+    )
+    # rows of a heartbeat move the watermark, the run after them releases what it passed
+    for part in (~begins, begins, 0, 1):
+        for name, kind in kinds.items():
+            heartbeat = isinstance(part, int)
+            rows = _heartbeat(spark, part) if heartbeat else _instants(spark, sf_dir, kind).where(part)
+            land(spark, rows, "parquet", paths[name])
+        flow.run()
+    return plain(_output(flow, "standard", "joined", "file")).where("event_id IS NOT NULL")
+
+
 def sink_stream_file_append(spark, sf_dir):
     return _staged(spark, sf_dir, "file")
 
@@ -222,6 +285,7 @@ QUERIES = {
         sink_stream_file_complete,
         sink_stream_table_complete,
         stream_temporal_join,
+        stream_stream_join,
         stream_revenue_complete,
         stream_view_chain,
         layers_streaming,
@@ -241,6 +305,11 @@ ORACLES = {
     "sink_stream_file_complete": _COUNT_SQL,
     "sink_stream_table_complete": _COUNT_SQL,
     "stream_temporal_join": SOLD_SQL,
+    "stream_stream_join": """
+        SELECT e.event_id, e.user_id, e.ts, c.event_id AS click_id, c.ts AS click_ts
+        FROM (SELECT * FROM events WHERE event_type = 'error') e
+        LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
+          ON c.user_id = e.user_id AND c.ts BETWEEN e.ts - INTERVAL 6 HOURS AND e.ts""",
     "stream_revenue_complete": REVENUE_SQL,
     "stream_view_chain": REVENUE_SQL,
     "layers_streaming": REVENUE_SQL,
