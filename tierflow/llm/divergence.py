@@ -42,11 +42,12 @@ LEAST_DOCS, MOST_TERMS, SCALE = 3, 200, 1_000_000_000
 #: Different texts a task holds before it sends them on, in bytes.
 UNIT_BYTES = 32 << 20
 #: Counts a task adds up before it sends them on.
-HELD_TERMS = 200_000
+HELD_TERMS = 500_000
 #: Numbers of a matrix over pairs of sources at a time.
 CELLS = 1 << 20
 SALTS = 32
 
+_LOW = (1 << 64) - 1
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256)
 )
@@ -112,29 +113,37 @@ def _texts(batches) -> Iterator[tuple[str, bytes, Counter]]:
 
 def _counted(batches) -> Iterator[pa.RecordBatch]:
     """Documents and occurrences (lang, source, term, docs, n), added up a while."""
-    held: dict[tuple[str, str, bytes], list[int]] = {}
+    # both numbers of a term in one: documents above the lower 64 bits
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
+    size = 0
 
     def sent():
-        rows = [(*key, *value) for key, value in held.items()]
-        for at in range(0, len(rows), 20_000):
-            langs, sources, words, docs, counts = zip(*rows[at : at + 20_000])
-            arrays = [pa.array(langs), pa.array(sources), pa.array(words, pa.binary()).cast(pa.string())]
-            arrays += [pa.array(docs, pa.int64()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "docs", "n"])
+        for (lang, source), sums in held.items():
+            words = list(sums)
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
+                both = [sums[term] for term in part]
+                arrays = [
+                    pa.repeat(pa.scalar(lang, pa.string()), len(part)),
+                    pa.repeat(pa.scalar(source, pa.string()), len(part)),
+                    pa.array(part, pa.binary()).cast(pa.string()),
+                    pa.array([value >> 64 for value in both], pa.int64()),
+                    pa.array([value & _LOW for value in both], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "docs", "n"])
 
     for lang, body, has in _texts(batches):
         found = Counter(terms(body))
         for source, times in has.items():
+            sums = held.setdefault((lang, source), {})
+            size -= len(sums)
+            document = times << 64
             for term, n in found.items():
-                sums = held.get((lang, source, term))
-                if sums is None:
-                    held[lang, source, term] = [times, times * n]
-                else:
-                    sums[0] += times
-                    sums[1] += times * n
-        if len(held) > HELD_TERMS:
+                sums[term] = sums.get(term, 0) + document + times * n
+            size += len(sums)
+        if size > HELD_TERMS:
             yield from sent()
-            held = {}
+            held, size = {}, 0
     yield from sent()
 
 
