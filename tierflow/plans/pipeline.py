@@ -216,7 +216,7 @@ class Pipeline:
         for other in (*earlier, *self.spec.before(task)):
             target = other.sink.target
             rows = known.get(target)
-            if rows is None or not rows.isStreaming or not other.sink.stored:
+            if rows is None or not rows.isStreaming or not other.sink.stored or other.sink.keyed:
                 continue
             if "view" not in other.sink.kinds or default_output_mode(other.stage) == "complete":
                 continue

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from ..sources.schema import TABLE_FORMATS
 from ..spec import SinkSpec, TaskSpec
 from ..workspace import Workspace, path_exists
+from .keyed import BUCKETS, KeyedFiles
 from .versions import (
     current_path,
     merged_schema,
@@ -51,11 +52,33 @@ def write_sink(
     mode: str,
 ) -> DataFrame:
     """Write ``df`` to one sink; return the rows just written, as read back."""
+    if task.sink.keyed:
+        return change_keyed(spark, workspace, task, df)
     if kind == "table":
         return _write_table(spark, workspace, task, df, mode)
     return _write_files(spark, workspace, task, df, mode)
 
 
+def keyed_files(spark: SparkSession, workspace: Workspace, task: TaskSpec) -> KeyedFiles:
+    """The sink of a task that keeps one row a key."""
+    base = workspace.data_path(task.stage, task.sink.target)
+    buckets = task.sink.buckets or BUCKETS
+    return KeyedFiles(spark, base, task.sink.keys, buckets, workspace.storage_format)
+
+
+def change_keyed(
+    spark: SparkSession, workspace: Workspace, task: TaskSpec, df: DataFrame, batch: int | None = None
+) -> DataFrame:
+    """Put ``df`` into a keyed sink, a micro-batch once only; return all the sink holds."""
+    files = keyed_files(spark, workspace, task)
+    writer = None if batch is None else workspace.checkpoint_path(task.stage, task.sink.target, "keyed")
+    if task.sink.mode == "merge":
+        files.fold(df, task.sink.merge, writer=writer, batch=batch)
+    else:
+        files.upsert(df, task.sink.order, writer=writer, batch=batch)
+    return files.read()
+
+
 def _write_files(spark, workspace, task, df, mode) -> DataFrame:
     base = workspace.data_path(task.stage, task.sink.target)
     if mode == "overwrite" and not _in_place(workspace, task.sink):
@@ -122,6 +145,8 @@ def read_sink(
     schema: StructType | None = None,
 ) -> DataFrame:
     """What a sink holds; a known ``schema`` saves inferring it from files."""
+    if task.sink.keyed:
+        return keyed_files(spark, workspace, task).read()
     if kind == "table":
         rows = spark.read.table(workspace.table(task.sink.target))
         return rows if schema is None else rows.select(*schema.names)

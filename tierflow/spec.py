@@ -20,7 +20,8 @@ from pyspark.sql.types import StructType
 STAGES = ("staging", "standard", "serving")
 SINK_KINDS = ("table", "file", "view")
 READ_TYPES = ("batch", "streaming")
-WRITE_MODES = ("append", "overwrite", "errorifexists", "ignore")
+WRITE_MODES = ("append", "overwrite", "errorifexists", "ignore", "upsert", "merge")
+KEYED_MODES = ("upsert", "merge")
 
 
 class SpecError(ValueError):
@@ -66,6 +67,15 @@ class SinkSpec:
     mode: str | None = None
     options: Mapping[str, str] = field(default_factory=dict)
     partition_by: tuple[str, ...] = ()
+    # of the modes that keep one row a key
+    keys: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    buckets: int | None = None
+    merge: Mapping[str, str] = field(default_factory=dict)
+
+    @property
+    def keyed(self) -> bool:
+        return self.mode in KEYED_MODES
 
     @property
     def stored(self) -> tuple[str, ...]:
@@ -252,6 +262,10 @@ def _sink(name: str, raw: Mapping[str, Any]) -> SinkSpec:
     mode = output.get("mode")
     if mode is not None and mode not in WRITE_MODES:
         raise SpecError(f"task {name!r} has unknown write mode {mode!r}")
+    if mode in KEYED_MODES and (not output.get("keys") or "file" not in kinds or "table" in kinds):
+        raise SpecError(f"task {name!r}: mode {mode!r} needs 'keys' and a file sink, and writes no table")
+    if mode == "merge" and not output.get("merge"):
+        raise SpecError(f"task {name!r}: mode 'merge' needs 'merge', how each column is folded")
     return SinkSpec(
         target=target,
         kinds=kinds,
@@ -261,6 +275,10 @@ def _sink(name: str, raw: Mapping[str, Any]) -> SinkSpec:
             for key, value in (output.get("options") or {}).items()
         },
         partition_by=tuple(output.get("partition_by") or ()),
+        keys=tuple(output.get("keys") or ()),
+        order=tuple(output.get("order") or ()),
+        buckets=int(output["buckets"]) if output.get("buckets") else None,
+        merge=dict(output.get("merge") or {}),
     )
 
 

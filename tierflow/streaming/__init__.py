@@ -3,10 +3,12 @@
 from .joins import interval_join
 from .queries import AT_ONCE, DRAIN, finish, run_for
 from .sinks import default_output_mode, has_stored, start_sinks, stored_stream
+from .windows import EventWindows
 
 __all__ = [
     "AT_ONCE",
     "DRAIN",
+    "EventWindows",
     "default_output_mode",
     "finish",
     "has_stored",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..sinks import write_sink
+from ..sinks import change_keyed, write_sink
 from ..sinks.versions import merged_schema, note_schema
 from ..sources.schema import TABLE_FORMATS
 from ..spec import SpecError, TaskSpec
@@ -33,6 +33,8 @@ def start_sinks(
     """
     if not task.sink.stored:
         return []
+    if task.sink.keyed:
+        return [_start_keyed(workspace, task, df, trigger)]
     if task.sink.mode is not None:
         raise SpecError(f"task {task.name!r}: a write mode is for batch tasks, not for streams")
     if default_output_mode(task.stage) == "complete":
@@ -115,3 +117,20 @@ def _start_complete(
     writer = df.writeStream.outputMode("complete").foreachBatch(replace)
     writer = writer.option("checkpointLocation", checkpoint).trigger(**trigger)
     return writer.start()
+
+
+def _start_keyed(
+    workspace: Workspace, task: TaskSpec, df: DataFrame, trigger: Mapping[str, Any]
+) -> StreamingQuery:
+    """Put each micro-batch into the buckets it touches.
+
+    A streaming aggregate gives the groups that changed, other queries their new
+    rows.  The sink notes the batches it has, so one that is run again is left out.
+    """
+
+    def change(batch: DataFrame, batch_id: int) -> None:
+        change_keyed(batch.sparkSession, workspace, task, batch, batch_id)
+
+    checkpoint = workspace.checkpoint_path(task.stage, task.sink.target, "keyed")
+    writer = df.writeStream.outputMode("update").foreachBatch(change)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

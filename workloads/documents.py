@@ -106,6 +106,7 @@ def sales_pipeline(
     staged_sinks: tuple[str, ...] = ("file", "view"),
     join_code=JOIN_SQL,
     total_code=TOTAL_SQL,
+    total_output: dict | None = None,
 ) -> Pipeline:
     """Sales joined to the price of their time, then totalled.
 
@@ -121,6 +122,8 @@ def sales_pipeline(
         conf = streaming_conf(spark)
     else:
         sales_input = given(sf_dir, "lineitem")
+    total = sql_task("total", "srv_total", total_code, *total_sinks, mode=mode)
+    total["output"] |= total_output or {}
     return pipeline(
         spark,
         label,
@@ -130,5 +133,5 @@ def sales_pipeline(
             staging("price", file_input(price_path, "csv"), PRICE_SCHEMA, "view"),
         ],
         standard=[sql_task("sold", "std_sold", join_code, *sold_sinks, mode=mode)],
-        serving=[sql_task("total", "srv_total", total_code, *total_sinks, mode=mode)],
+        serving=[total],
     )

@@ -102,6 +102,17 @@ def sink_fanout(spark, sf_dir):
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
+def sink_upsert(spark, sf_dir):
+    """The last order of each customer, over three loads into one sink."""
+    loads = [table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == n) for n in (2, 0, 1)]
+    task = sql_task("orders", "std_orders", lambda _: loads.pop(0), "file")
+    task["output"] |= {"mode": "upsert", "keys": ["o_custkey"], "order": ["o_orderdate", "o_orderkey"], "buckets": 16}
+    flow = pipeline(spark, "upserted", standard=[task])
+    for _ in range(3):
+        flow.run()
+    return plain(_output(flow, "standard", "orders", "file"))
+
+
 def layers_batch(spark, sf_dir):
     """All layers: stage, join to the valid price, total per part."""
     flow = sales_pipeline(spark, sf_dir, "sales")
@@ -157,6 +168,7 @@ QUERIES = {
         sink_file_append,
         sink_table_append,
         sink_append_merged,
+        sink_upsert,
         sink_file_overwrite,
         sink_table_overwrite,
         sink_view,
@@ -176,6 +188,9 @@ _DEAREST_SQL = """
     FROM orders GROUP BY o_orderpriority, o_orderstatus"""
 
 ORACLES = {
+    "sink_upsert": """
+        SELECT * FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
     "sink_file_append": _TWICE_SQL,
     "sink_table_append": _TWICE_SQL,
     "sink_append_merged": """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tierflow import operators as ops
 from tierflow.sinks import read_sink
-from tierflow.streaming import interval_join
+from tierflow.streaming import DRAIN, EventWindows, finish, interval_join
 from tierflow.workspace import scratch_dir
 
 from .documents import (
@@ -142,6 +142,43 @@ def stream_stream_join(spark, sf_dir):
     return plain(_output(flow, "standard", "joined", "file")).where("event_id IS NOT NULL")
 
 
+#: Events that come after all others, and how late rows may be.
+STRAGGLERS, DELAY = "event_id % 50 = 7", timedelta(days=2)
+
+
+def _windows(spark, sf_dir, **lengths) -> EventWindows:
+    """Events counted in windows by user group; stragglers come last, then a heartbeat closes all."""
+    counted = {"events": ("sum", F.lit(1).cast("bigint")), "most": ("max", "value"), "first_event": ("min", "event_id")}
+    windows = EventWindows(
+        spark, scratch_dir(spark, "windows"), "ts", counted, delay=DELAY, keys=["user_group"], buckets=16, **lengths
+    )
+    begins = F.col("ts") >= F.lit(SPLIT).cast("timestamp")
+    events = _instants(spark, sf_dir)
+    usual = events.where(f"NOT ({STRAGGLERS})")
+    path = scratch_dir(spark, "events")
+    for rows in (usual.where(~begins), usual.where(begins), events.where(STRAGGLERS), _heartbeat(spark, 0)):
+        land(spark, rows, "parquet", path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        finish([windows.start(stream.withColumn("user_group", F.col("user_id") % 4), DRAIN)])
+    return windows
+
+
+def stream_windows(spark, sf_dir):
+    """Closed tumbling windows of six hours."""
+    return plain(_windows(spark, sf_dir, size=timedelta(hours=6)).closed())
+
+
+def stream_windows_sliding(spark, sf_dir):
+    """Closed windows of a day, one every six hours."""
+    return plain(_windows(spark, sf_dir, size=timedelta(hours=24), slide=timedelta(hours=6)).closed())
+
+
+def stream_windows_late(spark, sf_dir):
+    """The stragglers that came after their window had closed."""
+    late = _windows(spark, sf_dir, size=timedelta(hours=6)).late()
+    return plain(late.select("event_id", "ts", "window_start"))
+
+
 def sink_stream_file_append(spark, sf_dir):
     return _staged(spark, sf_dir, "file")
 
@@ -216,6 +253,49 @@ def stream_revenue_complete(spark, sf_dir):
     return rounded(_output(flow, "serving", "total", "file"), 2, "total")
 
 
+def stream_revenue_merged(spark, sf_dir):
+    """The same totals, folded into the groups each micro-batch touches; no state is kept."""
+    flow = sales_pipeline(
+        spark,
+        sf_dir,
+        "stream_merged",
+        mode="streaming",
+        staged_sinks=("view",),
+        sold_sinks=("view",),
+        total_sinks=("file",),
+        join_code=_join_valid_price,
+        total_code="SELECT id, fruit, amount * price AS total FROM std_sold",
+        total_output={"mode": "merge", "keys": ["id", "fruit"], "merge": {"total": "sum"}, "buckets": 8},
+    )
+    flow.run(stage="serving")
+    return rounded(_output(flow, "serving", "total", "file"), 2, "total")
+
+
+def stream_counts_upserted(spark, sf_dir):
+    """A streaming aggregate whose changed groups replace those held, over a restart."""
+    whole = orders(spark, sf_dir)
+    late = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")
+    path = land(spark, whole.where(~late), "parquet")
+    source = file_input(path, "parquet", "streaming", **batches(spark))
+    text = """
+        SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS dearest
+        FROM stg_orders GROUP BY o_custkey"""
+    task = sql_task("count", "srv_count", text, "file", mode="streaming")
+    task["output"] |= {"mode": "upsert", "keys": ["o_custkey"], "buckets": 8}
+    flow = pipeline(
+        spark,
+        "counted",
+        streaming_conf(spark),
+        staging=[staging("orders", source, ORDERS_SCHEMA, "view")],
+        serving=[task],
+    )
+    flow.run()
+    land(spark, whole.where(late), "parquet", path)
+    flow.run()
+    flow.run()
+    return _output(flow, "serving", "count", "file")
+
+
 def stream_view_chain(spark, sf_dir):
     """Serving SQL reads a streaming view over a streaming view."""
     flow = sales_pipeline(
@@ -286,7 +366,12 @@ QUERIES = {
         sink_stream_table_complete,
         stream_temporal_join,
         stream_stream_join,
+        stream_windows,
+        stream_windows_sliding,
+        stream_windows_late,
         stream_revenue_complete,
+        stream_revenue_merged,
+        stream_counts_upserted,
         stream_view_chain,
         layers_streaming,
         stream_batch_parity,
@@ -298,6 +383,26 @@ _COUNT_SQL = """
     SELECT o_orderpriority, count(*) AS orders, max(o_totalprice) AS dearest
     FROM orders GROUP BY o_orderpriority"""
 
+
+
+def _windows_sql(starts: str, hours: int, select: str) -> str:
+    """Rows with each of their windows, in time or late by the watermark of the usual events."""
+    return f"""
+        WITH paired AS (
+            SELECT *, user_id % 4 AS user_group, time_bucket(INTERVAL 6 HOURS, ts) - to_hours(6 * back) AS window_start
+            FROM events, unnest({starts}) AS t(back)),
+        judged AS (
+            SELECT *, window_start + INTERVAL {hours} HOURS AS window_end,
+                   NOT ({STRAGGLERS}) OR window_start + INTERVAL {hours} HOURS >
+                       (SELECT max(ts) FROM events WHERE NOT ({STRAGGLERS})) - INTERVAL {DELAY.days} DAYS AS in_time
+            FROM paired)
+        {select}"""
+
+
+_CLOSED = """
+        SELECT window_start, window_end, user_group, count(*) AS events, max(value) AS most, min(event_id) AS first_event
+        FROM judged WHERE in_time GROUP BY ALL"""
+
 ORACLES = {
     "stream_dedup": "SELECT event_id, user_id, ts, value FROM events",
     "sink_stream_file_append": "SELECT * FROM orders",
@@ -311,6 +416,12 @@ ORACLES = {
         LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
           ON c.user_id = e.user_id AND c.ts BETWEEN e.ts - INTERVAL 6 HOURS AND e.ts""",
     "stream_revenue_complete": REVENUE_SQL,
+    "stream_windows": _windows_sql("[0]", 6, _CLOSED),
+    "stream_windows_sliding": _windows_sql("[0, 1, 2, 3]", 24, _CLOSED),
+    "stream_windows_late": _windows_sql("[0]", 6, "SELECT event_id, ts, window_start FROM judged WHERE NOT in_time"),
+    "stream_revenue_merged": REVENUE_SQL,
+    "stream_counts_upserted": """
+        SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS dearest FROM orders GROUP BY o_custkey""",
     "stream_view_chain": REVENUE_SQL,
     "layers_streaming": REVENUE_SQL,
     "stream_batch_parity": f"""
