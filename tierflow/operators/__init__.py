@@ -5,6 +5,7 @@ from .asof import asof_join
 from .history import latest, latest_stream, versions_from_changes, with_load_columns
 from .joins import broadcast_fits, temporal_left_join
 from .percentiles import exact_percentile_bounds, percentile_bounds, trim_outliers
+from .sessions import sessions
 from .trips import curate_trips, derive_trips, summarize_trips, trim_trips
 
 __all__ = [
@@ -19,6 +20,7 @@ __all__ = [
     "percentile_bounds",
     "revenue_by",
     "roll_up",
+    "sessions",
     "summarize",
     "summarize_trips",
     "temporal_left_join",

@@ -8,14 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from .joins import NESTED, SLICE_ROWS, _spread_hot_keys, _ticks, hot_keys
+from .slots import SLOT_ROWS, crowded_keys, key_of, with_slots
 
 DIRECTIONS = ("backward", "forward", "nearest")
-# Points of one key a task may sort; a key with more has its time cut into slots.
-SLOT_POINTS = 1_000_000
-# Cuts of a key's time: quantiles, so slots hold about alike many points.
-CUTS = 1_024
-# Keys with cuts, of 8 bytes each, that are sent to every executor; more are joined by a shuffle.
-LISTED_KEYS = 8_192
 
 
 def asof_join(
@@ -27,7 +22,7 @@ def asof_join(
     direction: str = "backward",
     tolerance: str | float | None = None,
     equal: bool = True,
-    slot_points: int = SLOT_POINTS,
+    slot_points: int = SLOT_ROWS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Left join of each row to the nearest row of ``right`` with its key.
@@ -63,17 +58,13 @@ def asof_join(
         raise ValueError(f"both sides have columns {sorted(both)}; rename them on one side")
     ticks = _ticks(dict(left.dtypes)[left_at], dict(right.dtypes)[right_at])
     points = _points(left, right, keys, at, taken, order)
-    points = _with_slots(points, _crowded(left, right, keys, slot_points), ticks)
+    points = with_slots(points, crowded_keys([left, right], keys, slot_points), "__at", ticks)
     match = _nearest(points, direction, equal, ticks)
     match = _within(match, right_at, tolerance)
     asked = match.where("__asked AND __match IS NOT NULL").select("__key", "__at", "__match")
     return _looked_up(left, asked, keys, left_at, taken, slice_rows)
 
 
-def _key(keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(name) for name in keys])
-
-
 def _known(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Rows that can match: with a key and a time."""
     known = F.col(at).isNotNull()
@@ -88,14 +79,14 @@ def _points(left, right, keys, at, taken, order) -> DataFrame:
     hashed = [name for name, kind in right.dtypes if not kind.startswith(NESTED)]
     rank = F.struct(*[F.col(name) for name in order], F.xxhash64(*hashed))
     there = _known(right, keys, right_at).select(
-        _key(keys).alias("__key"),
+        key_of(keys).alias("__key"),
         F.col(right_at).alias("__at"),
         F.lit(False).alias("__asked"),
         F.struct(*[F.col(name) for name in taken]).alias("__row"),
         rank.alias("__rank"),
     )
     asks = _known(left, keys, left_at).select(
-        _key(keys).cast(there.schema["__key"].dataType).alias("__key"),
+        key_of(keys).cast(there.schema["__key"].dataType).alias("__key"),
         F.col(left_at).alias("__at"),
         F.lit(True).alias("__asked"),
         F.lit(None).cast(there.schema["__row"].dataType).alias("__row"),
@@ -108,37 +99,6 @@ def _points(left, right, keys, at, taken, order) -> DataFrame:
     )
 
 
-def _crowded(left, right, keys, slot_points: int) -> DataFrame:
-    """Keys with more rows on both sides than a slot holds points, combined before any shuffle."""
-    rows = left.select(_key(keys).alias("__key")).unionAll(right.select(_key(keys).alias("__key")))
-    counts = rows.groupBy("__key").agg(F.count("*").alias("__rows"))
-    return counts.where(F.col("__rows") > slot_points).select(F.col("__key").alias("__crowded"))
-
-
-def _with_slots(points: DataFrame, crowded: DataFrame, ticks) -> DataFrame:
-    """Points with the slot of their time, 0 for all of a key with few."""
-    listed = crowded.count()
-    if not listed:
-        return points.withColumn("__slot", F.lit(0))
-    cuts = F.percentile_approx(ticks("__at"), [n / CUTS for n in range(1, CUTS)], F.lit(100 * CUTS))
-    some = points.join(crowded, F.col("__key") == F.col("__crowded"), "left_semi")
-    slots = some.groupBy(F.col("__key").alias("__crowded")).agg(cuts.alias("__cuts"))
-    if listed <= LISTED_KEYS:
-        slots = F.broadcast(slots)
-    halves = [CUTS >> n for n in range(1, CUTS.bit_length())]
-    # cuts up to a time, by halving
-    count = F.reduce(
-        F.array(*[F.lit(n) for n in halves]),
-        F.lit(0),
-        lambda found, half: F.when(
-            F.get(F.col("__cuts"), found + half - 1) <= ticks("__at"), found + half
-        ).otherwise(found),
-    )
-    joined = points.join(slots, F.col("__key") == F.col("__crowded"), "left")
-    slot = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(count)
-    return joined.withColumn("__slot", slot).drop("__crowded", "__cuts")
-
-
 def _nearest(points: DataFrame, direction: str, equal: bool, ticks) -> DataFrame:
     """Points with ``__match``: time and row of the nearest right row."""
     found = F.when(F.col("__row").isNotNull(), F.struct(F.col("__at").alias("at"), F.col("__row").alias("row")))
@@ -196,7 +156,7 @@ def _looked_up(left, asked, keys, left_at, taken, slice_rows) -> DataFrame:
     for name in keys:
         complete &= F.col(name).isNotNull()
     kind = StructType([asked.schema["__key"], asked.schema["__at"]])
-    point = F.when(complete, F.struct(_key(keys), F.col(left_at)).cast(kind))
+    point = F.when(complete, F.struct(key_of(keys), F.col(left_at)).cast(kind))
     rows = left.withColumn("__point", point)
     found = asked.select(F.struct("__key", "__at").cast(kind).alias("__point"), "__match")
     slices = hot_keys(rows, "__point", slice_rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow import functions as fn
@@ -458,6 +460,38 @@ NEAREST_SQL = """
   SELECT lines.*, o_orderkey, o_orderdate FROM lines LEFT JOIN near USING (l_suppkey, l_shipdate)"""
 
 
+# --- sessions ----------------------------------------------------------------
+
+SESSION_GAP = timedelta(minutes=30)
+# Rows of a key after which its time is cut; low, so that the hot user's is.
+SESSION_SLOT_ROWS = 500
+SESSION_MEASURES = {"events": ("sum", "1L"), "most": ("max", "value"), "first_event": ("min", "event_id")}
+
+
+def watched(events):
+    """Events by user; a third of all are of user 0."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id"))
+    return events.select("event_id", user.alias("user_id"), "ts", "value")
+
+
+def sessions(spark, sf_dir):
+    """Events of a user at most half an hour apart, the hot user's time in slots."""
+    events = watched(table(spark, sf_dir, "events"))
+    return plain(ops.sessions(events, "user_id", "ts", SESSION_GAP, SESSION_MEASURES, slot_rows=SESSION_SLOT_ROWS))
+
+
+SESSIONS_SQL = """
+  WITH watched AS (
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, ts, value FROM events),
+  cut AS (
+    SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTES, true) AS begins
+    FROM watched WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM cut)
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end,
+         count(*) AS events, max(value) AS most, min(event_id) AS first_event
+  FROM numbered GROUP BY user_id, n"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -480,6 +514,7 @@ QUERIES = {
         versions_from_changes,
         asof_join,
         asof_join_nearest,
+        sessions,
         multi_agg,
         group_by_alias,
         reaggregate,
@@ -545,6 +580,7 @@ ORACLES = {
                    PARTITION BY o_custkey ORDER BY o_orderdate) AS end_ts
         FROM changes""",
     "asof_join": ASOF_SQL,
+    "sessions": SESSIONS_SQL,
     "asof_join_nearest": NEAREST_SQL,
     "multi_agg": """
         SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey,

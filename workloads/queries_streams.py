@@ -21,7 +21,15 @@ from .documents import (
     staging,
     streaming_conf,
 )
-from .queries_batch import REVENUE_SQL, SOLD_SQL, rounded
+from .queries_batch import (
+    REVENUE_SQL,
+    SESSION_GAP,
+    SESSION_MEASURES,
+    SESSIONS_SQL,
+    SOLD_SQL,
+    rounded,
+    watched,
+)
 from .tables import ORDERS_SCHEMA, declared, orders, plain, table
 
 
@@ -148,7 +156,7 @@ STRAGGLERS, DELAY = "event_id % 50 = 7", timedelta(days=2)
 
 def _windows(spark, sf_dir, **lengths) -> EventWindows:
     """Events counted in windows by user group; stragglers come last, then a heartbeat closes all."""
-    counted = {"events": ("sum", F.lit(1).cast("bigint")), "most": ("max", "value"), "first_event": ("min", "event_id")}
+    counted = {"events": ("sum", "1L"), "most": ("max", "value"), "first_event": ("min", "event_id")}
     windows = EventWindows(
         spark, scratch_dir(spark, "windows"), "ts", counted, delay=DELAY, keys=["user_group"], buckets=16, **lengths
     )
@@ -179,6 +187,30 @@ def stream_windows_late(spark, sf_dir):
     return plain(late.select("event_id", "ts", "window_start"))
 
 
+def stream_sessions(spark, sf_dir):
+    """The sessions of the same events as a stream, open ones kept in state over a restart."""
+    path = scratch_dir(spark, "events")
+    source = _event_source("events", path, "10 minutes")
+
+    def found(session):
+        events = session.table("stg_events")
+        return ops.sessions(events, "user_id", "ts", SESSION_GAP, SESSION_MEASURES)
+
+    flow = pipeline(
+        spark,
+        "sessions",
+        streaming_conf(spark),
+        staging=[source],
+        standard=[sql_task("sessions", "std_sessions", found, "file", mode="streaming")],
+    )
+    events = watched(_instants(spark, sf_dir))
+    begins = F.col("ts") >= F.lit(SPLIT).cast("timestamp")
+    for rows in (events.where(~begins), events.where(begins), _heartbeat(spark, 0), _heartbeat(spark, 1)):
+        land(spark, rows, "parquet", path)
+        flow.run()
+    return plain(_output(flow, "standard", "sessions", "file")).where("user_id >= 0")
+
+
 def sink_stream_file_append(spark, sf_dir):
     return _staged(spark, sf_dir, "file")
 
@@ -366,6 +398,7 @@ QUERIES = {
         sink_stream_table_complete,
         stream_temporal_join,
         stream_stream_join,
+        stream_sessions,
         stream_windows,
         stream_windows_sliding,
         stream_windows_late,
@@ -416,6 +449,7 @@ ORACLES = {
         LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
           ON c.user_id = e.user_id AND c.ts BETWEEN e.ts - INTERVAL 6 HOURS AND e.ts""",
     "stream_revenue_complete": REVENUE_SQL,
+    "stream_sessions": SESSIONS_SQL,
     "stream_windows": _windows_sql("[0]", 6, _CLOSED),
     "stream_windows_sliding": _windows_sql("[0, 1, 2, 3]", 24, _CLOSED),
     "stream_windows_late": _windows_sql("[0]", 6, "SELECT event_id, ts, window_start FROM judged WHERE NOT in_time"),
