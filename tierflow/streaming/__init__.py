@@ -3,6 +3,7 @@
 from .joins import interval_join
 from .queries import AT_ONCE, DRAIN, finish, run_for
 from .sinks import default_output_mode, has_stored, start_sinks, stored_stream
+from .versions import versions_of_stream
 from .windows import EventWindows
 
 __all__ = [
@@ -16,4 +17,5 @@ __all__ = [
     "run_for",
     "start_sinks",
     "stored_stream",
+    "versions_of_stream",
 ]

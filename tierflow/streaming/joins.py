@@ -7,8 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Metadata Spark keeps with a column that has a watermark.
-_DELAY = "spark.watermarkDelayMs"
+from .versions import WATERMARK
 
 
 def interval_join(
@@ -50,7 +49,7 @@ def interval_join(
         raise ValueError(f"both sides have columns {sorted(both)}; rename them on one side")
     if left.isStreaming and right.isStreaming:
         for side, name in ((left, left_at), (right, right_at)):
-            if _DELAY not in side.schema[name].metadata:
+            if WATERMARK not in side.schema[name].metadata:
                 raise ValueError(f"the stream's time {name!r} needs a watermark, or its state grows for ever")
     width = max(high - low, timedelta(milliseconds=1))
     slotted = left.withColumn("__slot", _slot(F.col(left_at), width))

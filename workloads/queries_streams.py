@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tierflow import operators as ops
 from tierflow.sinks import read_sink
-from tierflow.streaming import DRAIN, EventWindows, finish, interval_join
+from tierflow.streaming import DRAIN, EventWindows, finish, interval_join, versions_of_stream
+from tierflow.streaming.versions import ROCKSDB, STATE_STORE
 from tierflow.workspace import scratch_dir
 
 from .documents import (
@@ -22,6 +23,7 @@ from .documents import (
     streaming_conf,
 )
 from .queries_batch import (
+    ORACLES as BATCH_SQL,
     REVENUE_SQL,
     SESSION_GAP,
     SESSION_MEASURES,
@@ -211,6 +213,31 @@ def stream_sessions(spark, sf_dir):
     return plain(_output(flow, "standard", "sessions", "file")).where("user_id >= 0")
 
 
+def stream_versions(spark, sf_dir):
+    """Versions of each customer from orders that come in any order, over a restart."""
+    whole = orders(spark, sf_dir).select(F.col("o_custkey").alias("id"), "o_orderkey", "o_totalprice", "o_orderdate")
+    path = scratch_dir(spark, "orders")
+    source = file_input(path, "parquet", "streaming", **batches(spark))
+
+    def versions(session):
+        return versions_of_stream(session.table("stg_orders"), "id", "o_orderdate", order=["o_orderkey"])
+
+    task = sql_task("versions", "std_versions", versions, "file", mode="streaming")
+    task["output"] |= {"mode": "upsert", "keys": ["id", "start_ts"], "buckets": 8}
+    flow = pipeline(
+        spark,
+        "versions",
+        streaming_conf(spark) | {STATE_STORE: ROCKSDB},
+        staging=[staging("orders", source, whole.schema.jsonValue(), "view")],
+        standard=[task],
+    )
+    for part in (F.col("o_orderkey") % 2 == 1, F.col("o_orderkey") % 2 == 0):
+        land(spark, whole.where(part), "parquet", path)
+        flow.run()
+    flow.run()
+    return plain(_output(flow, "standard", "versions", "file"))
+
+
 def sink_stream_file_append(spark, sf_dir):
     return _staged(spark, sf_dir, "file")
 
@@ -398,6 +425,7 @@ QUERIES = {
         sink_stream_table_complete,
         stream_temporal_join,
         stream_stream_join,
+        stream_versions,
         stream_sessions,
         stream_windows,
         stream_windows_sliding,
@@ -449,6 +477,7 @@ ORACLES = {
         LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
           ON c.user_id = e.user_id AND c.ts BETWEEN e.ts - INTERVAL 6 HOURS AND e.ts""",
     "stream_revenue_complete": REVENUE_SQL,
+    "stream_versions": BATCH_SQL["versions_from_changes"],
     "stream_sessions": SESSIONS_SQL,
     "stream_windows": _windows_sql("[0]", 6, _CLOSED),
     "stream_windows_sliding": _windows_sql("[0, 1, 2, 3]", 24, _CLOSED),
