@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .folds import Measures, check_measures, folded, measured
 from .slots import SLOT_ROWS, crowded_keys, key_of, with_slots
 
-# How measures are folded; each can be applied to its own results again.
-FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
-
 
 def sessions(
     df: DataFrame,
     keys: Sequence[str] | str,
     at: str,
     gap: timedelta,
-    measures: Mapping[str, tuple[str, Column | str]],
+    measures: Measures,
     delay: timedelta | None = None,
     slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
@@ -39,26 +37,19 @@ def sessions(
     the watermark, ``delay`` behind the latest time, has passed its end.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    unknown = sorted({fold for fold, _ in measures.values()} - set(FOLDS))
-    if unknown:
-        raise ValueError(f"unknown folds {unknown}, expected some of {sorted(FOLDS)}")
-    values = {name: F.expr(v) if isinstance(v, str) else v for name, (_, v) in measures.items()}
+    check_measures(measures)
     # a cast would take the column's watermark away
     time = F.col(at) if dict(df.dtypes)[at] == "timestamp" else F.col(at).cast("timestamp")
-    rows = df.select(*keys, time.alias("__at"), *[v.alias(n) for n, v in values.items()])
+    rows = measured(df.withColumn("__at", time), [*keys, "__at"], measures)
     if df.isStreaming:
         return _of_stream(rows, keys, gap, measures, delay)
     return _of_batch(rows.where(F.col("__at").isNotNull()), keys, gap, measures, slot_rows)
 
 
-def _folded(measures) -> list[Column]:
-    return [FOLDS[fold](name).alias(name) for name, (fold, _) in measures.items()]
-
-
 def _of_stream(rows, keys, gap, measures, delay) -> DataFrame:
     marked = rows if delay is None else rows.withWatermark("__at", f"{_micros(delay)} microseconds")
     window = F.session_window("__at", f"{_micros(gap)} microseconds")
-    grouped = marked.groupBy(*keys, window.alias("__session")).agg(*_folded(measures))
+    grouped = marked.groupBy(*keys, window.alias("__session")).agg(*folded(measures))
     return grouped.select(
         *keys, F.col("__session.start").alias("session_start"), F.col("__session.end").alias("session_end"), *measures
     )
@@ -66,7 +57,7 @@ def _of_stream(rows, keys, gap, measures, delay) -> DataFrame:
 
 def _of_batch(rows, keys, gap, measures, slot_rows) -> DataFrame:
     crowded = crowded_keys([rows], keys, slot_rows)
-    points = rows.groupBy(key_of(keys).alias("__key"), "__at").agg(*_folded(measures))
+    points = rows.groupBy(key_of(keys).alias("__key"), "__at").agg(*folded(measures))
     cut = with_slots(points, crowded, "__at", lambda c: F.unix_micros(F.col(c)).cast("double"))
     spans = cut.withColumns({"__from": F.col("__at"), "__to": F.col("__at")})
     parts = _joined(spans, ["__key", "__slot"], gap, measures)
@@ -92,7 +83,7 @@ def _joined(spans: DataFrame, group: list[str], gap: timedelta, measures) -> Dat
     begins = F.when(apart <= _micros(gap), 0).otherwise(1)
     numbered = spans.withColumn("__begins", begins).withColumn("__number", F.sum("__begins").over(ordered))
     bounds = [F.min("__from").alias("__from"), F.max("__to").alias("__to")]
-    return numbered.groupBy(*group, "__number").agg(*bounds, *_folded(measures)).drop("__number")
+    return numbered.groupBy(*group, "__number").agg(*bounds, *folded(measures)).drop("__number")
 
 
 def _micros(length: timedelta) -> int:

@@ -12,8 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks import store_batch
-from ..sources import load_source, watermarked, relation_from_rows
+from ..sinks import read_quarantine, store_batch
+from ..sources import decoded_part, load_source, quarantined, relation_from_rows, watermarked
 from ..spec import STAGES, PipelineSpec, SourceSpec, SpecError, TaskSpec, parse_pipeline
 from ..streaming import (
     AT_ONCE,
@@ -117,6 +117,11 @@ class Pipeline:
             view = self._views.get(chosen.sink.target)
             return output_of(self.spark, self.workspace, chosen, view)
 
+    def quarantine(self, task: str) -> DataFrame:
+        """Messages of a staging task that could not be decoded, with body and error."""
+        with self._session():
+            return read_quarantine(self.spark, self.workspace, self.spec.task("staging", task))
+
     def try_task(
         self,
         stage: str,
@@ -175,6 +180,7 @@ class Pipeline:
                 finish(queries)
         else:
             df = store_batch(self.spark, self.workspace, task, df)
+        df = decoded_part(df) if quarantined(task.source) else df
         run.relations[task.sink.target] = df
         if "view" in task.sink.kinds:
             self._publish(task.sink.target, df)
@@ -223,11 +229,13 @@ class Pipeline:
             held = has_stored(self.spark, self.workspace, other)
             chosen[target] = noted.get(target, "stored" if held else "built")
             if chosen[target] == "stored":
-                rows = stored_stream(self.spark, self.workspace, other, rows.schema)
+                schema = self._build(other).schema if quarantined(other.source) else rows.schema
+                rows = stored_stream(self.spark, self.workspace, other, schema)
                 if other.source is not None:
                     rows = watermarked(rows, other.source)
             else:
                 rows = self._build(other)
+            rows = decoded_part(rows) if quarantined(other.source) else rows
             self._publish(target, rows)
         return chosen
 
@@ -235,6 +243,8 @@ class Pipeline:
         target = task.sink.target
         if "view" in task.sink.kinds and target not in known:
             known[target] = self._build(task)
+            if quarantined(task.source):
+                known[target] = decoded_part(known[target])
             self._publish(target, known[target])
 
     def _publish(self, target: str, df: DataFrame) -> None:

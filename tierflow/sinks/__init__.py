@@ -7,8 +7,9 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.types import StructType
 
+from ..sources.messages import decoded_part, quarantined, undecoded_part
 from ..sources.schema import TABLE_FORMATS
-from ..spec import SinkSpec, TaskSpec
+from ..spec import SinkSpec, SpecError, TaskSpec
 from ..workspace import Workspace, path_exists
 from .keyed import BUCKETS, KeyedFiles
 from .versions import (
@@ -151,11 +152,23 @@ def read_sink(
         rows = spark.read.table(workspace.table(task.sink.target))
         return rows if schema is None else rows.select(*schema.names)
     base = workspace.data_path(task.stage, task.sink.target)
+    if quarantined(task.source):
+        rows = _read_files(spark, workspace, task, base, stored_schema(spark, base))
+        return decoded_part(rows) if schema is None else decoded_part(rows).select(*schema.names)
     if schema is None:
         schema = stored_schema(spark, base)
     return _read_files(spark, workspace, task, current_path(spark, base), schema)
 
 
+def read_quarantine(spark: SparkSession, workspace: Workspace, task: TaskSpec) -> DataFrame:
+    """Rows of a message source that could not be decoded, with their body and error."""
+    if not quarantined(task.source):
+        raise SpecError(f"task {task.name!r} keeps no quarantine")
+    base = workspace.data_path(task.stage, task.sink.target)
+    rows = _read_files(spark, workspace, task, base, stored_schema(spark, base))
+    return undecoded_part(rows, task.source.schema)
+
+
 def _read_files(
     spark: SparkSession,
     workspace: Workspace,

@@ -20,6 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.folds import FOLDS
 from ..operators.history import latest
 from ..spec import SpecError
 from ..workspace import delete_path, names_in, read_text, write_text
@@ -28,8 +29,6 @@ BUCKETS = 64
 # Names below the folder.
 DATA, INCOMING, MANIFESTS, MARKERS = "data", "incoming", "_manifests", "_current"
 BUCKET, PART, NEW = "__bucket", "__part", "__new"
-# How columns are folded; each can be applied to its own results again.
-FOLDS: dict[str, Callable[[str], Column]] = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 class KeyedFiles:
@@ -78,7 +77,7 @@ class KeyedFiles:
     def fold(
         self, rows: DataFrame, folds: Mapping[str, str], writer: str | None = None, batch: int | None = None
     ) -> bool:
-        """Add rows to the totals held: ``folds`` names sum, min or max for every other column."""
+        """Add rows to the totals held: ``folds`` names sum, min, max or union for every other column."""
         unknown = {name: fold for name, fold in folds.items() if fold not in FOLDS}
         if unknown or set(folds) != set(rows.columns) - set(self.keys):
             raise SpecError(f"columns {rows.columns} need a fold of {sorted(FOLDS)} each, besides keys {self.keys}")

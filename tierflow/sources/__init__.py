@@ -12,7 +12,7 @@ from ..operators.history import with_load_columns
 from ..spec import SourceSpec, SpecError
 from .files import load_files, load_incremental_files, load_lake
 from .jdbc import load_jdbc
-from .messages import decode_json, load_messages
+from .messages import BAD, decode_json, decode_or_explain, decoded_part, load_messages, quarantined, undecoded_part
 from .object_store import load_adl, load_object_store
 from .samples import infer_sample, relation_from_rows
 
@@ -67,11 +67,16 @@ def watermarked(rows: DataFrame, source: SourceSpec) -> DataFrame:
 
 
 __all__ = [
+    "BAD",
     "LOADERS",
     "decode_json",
+    "decode_or_explain",
+    "decoded_part",
     "infer_sample",
     "load_source",
+    "quarantined",
     "register_source",
     "relation_from_rows",
+    "undecoded_part",
     "watermarked",
 ]

@@ -176,11 +176,13 @@ def _task(stage: str, raw: Mapping[str, Any]) -> TaskSpec:
         raise SpecError(f"a {stage} task needs a name")
     samples = raw.get("sampleData")
     if stage == "staging":
-        source = _source(raw)
+        source, sink = _source(raw), _sink(name, raw)
+        if source.optional("quarantine") and ("file" not in sink.kinds or "table" in sink.kinds or sink.partition_by):
+            raise SpecError(f"task {name!r}: a quarantine is kept in an unpartitioned file sink, not in tables")
         return TaskSpec(
             name=name,
             stage=stage,
-            sink=_sink(name, raw),
+            sink=sink,
             streaming=source.read_type == "streaming",
             source=source,
             samples=samples,

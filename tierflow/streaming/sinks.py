@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..sinks import change_keyed, write_sink
 from ..sinks.versions import merged_schema, note_schema
+from ..sources.messages import BAD, quarantined
 from ..sources.schema import TABLE_FORMATS
 from ..spec import SpecError, TaskSpec
 from ..workspace import Workspace, path_exists
@@ -88,6 +89,9 @@ def _start_append(
     checkpoint = workspace.checkpoint_path(task.stage, target, kind)
     writer = df.writeStream.format(workspace.storage_format).outputMode("append")
     writer = writer.options(**task.sink.options).trigger(**trigger)
+    if quarantined(task.source):
+        # one read and one log of offsets; the two kinds of rows lie in folders of their own
+        writer = writer.partitionBy(BAD)
     if task.sink.partition_by:
         writer = writer.partitionBy(*task.sink.partition_by)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks.keyed import BUCKETS, FOLDS, KeyedFiles
+from ..operators.folds import FOLDS
+from ..sinks.keyed import BUCKETS, KeyedFiles
 from ..spec import SpecError
 from ..workspace import names_in, read_text, write_text
 

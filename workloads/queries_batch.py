@@ -492,6 +492,61 @@ SESSIONS_SQL = """
   FROM numbered GROUP BY user_id, n"""
 
 
+# --- totals at many levels ---------------------------------------------------
+
+
+def running_total(spark, sf_dir):
+    """Cents and orders up to the day of each order."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", cents.alias("cents"), F.lit(1).cast("bigint").alias("one"))
+    return ops.running_total(rows, "o_orderdate", {"cents_so_far": "cents", "orders_so_far": "one"}).drop("one")
+
+
+def running_total_by_key(spark, sf_dir):
+    """Quantity of each return flag up to the day of each line."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_quantity")
+    return ops.running_total(rows, "l_shipdate", {"quantity_so_far": "l_quantity"}, keys=["l_returnflag"])
+
+
+_CUBED = {"lines": ("sum", "1L"), "quantity": ("sum", "l_quantity"), "dearest": ("max", "l_extendedprice")}
+_DIMENSIONS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+
+
+def cube_lattice(spark, sf_dir):
+    """Lines by every subset of four columns, each level from its smallest parent."""
+    return ops.cube(table(spark, sf_dir, "lineitem"), _DIMENSIONS, _CUBED)
+
+
+def rollup_lattice(spark, sf_dir):
+    return ops.rollup(table(spark, sf_dir, "lineitem"), _DIMENSIONS, _CUBED)
+
+
+def distinct_rollup(spark, sf_dir):
+    """Different users and values of each event type, exactly; a third of all rows are of one type."""
+    events = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.col("event_type")).alias("kind")
+    rows = events.select(kind, "user_id", "value")
+    users = ops.distinct_counts(rows, ["kind"], "user_id", "users")
+    return users.join(ops.distinct_counts(rows, ["kind"], "value", "amounts"), "kind")
+
+
+def distinct_rollup_sketched(spark, sf_dir):
+    """Whether sketches per day and type, united per type, are within three standard errors."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    daily = stored(spark, ops.distinct_sketches(events, ["event_type", "day"], "event_id"), "sketches")
+    counts = ops.estimated(ops.rolled_up(daily, ["event_type"]))
+    exact = ops.distinct_counts(events, ["event_type"], "event_id", "exact")
+    off = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * 3 * 1.04 / 2**6
+    return counts.join(exact, "event_type").select("event_type", off.alias("near"))
+
+
+_LEVELS_SQL = """
+        SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, count(*) AS lines,
+               sum(l_quantity) AS quantity, max(l_extendedprice) AS dearest,
+               GROUPING(l_returnflag, l_linestatus, l_linenumber, l_suppkey)::INTEGER AS level
+        FROM lineitem GROUP BY {kind}(l_returnflag, l_linestatus, l_linenumber, l_suppkey)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -515,6 +570,12 @@ QUERIES = {
         asof_join,
         asof_join_nearest,
         sessions,
+        running_total,
+        running_total_by_key,
+        cube_lattice,
+        rollup_lattice,
+        distinct_rollup,
+        distinct_rollup_sketched,
         multi_agg,
         group_by_alias,
         reaggregate,
@@ -581,6 +642,22 @@ ORACLES = {
         FROM changes""",
     "asof_join": ASOF_SQL,
     "sessions": SESSIONS_SQL,
+    "running_total": """
+        SELECT o_orderkey, o_orderdate, round(o_totalprice * 100)::BIGINT AS cents,
+               sum(round(o_totalprice * 100)::BIGINT) OVER (ORDER BY o_orderdate)::BIGINT AS cents_so_far,
+               count(*) OVER (ORDER BY o_orderdate) AS orders_so_far
+        FROM orders""",
+    "running_total_by_key": """
+        SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, l_quantity,
+               sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS quantity_so_far
+        FROM lineitem""",
+    "cube_lattice": _LEVELS_SQL.format(kind="CUBE"),
+    "rollup_lattice": _LEVELS_SQL.format(kind="ROLLUP"),
+    "distinct_rollup": """
+        SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type END AS kind,
+               count(DISTINCT user_id) AS users, count(DISTINCT value) AS amounts
+        FROM events GROUP BY kind""",
+    "distinct_rollup_sketched": "SELECT DISTINCT event_type, true AS near FROM events",
     "asof_join_nearest": NEAREST_SQL,
     "multi_agg": """
         SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey,

@@ -132,6 +132,38 @@ def src_message_decode(spark, sf_dir):
     return drained(spark, source, declared(k="integer"))
 
 
+# Bodies damaged by event: cut short, of another type, without the field, or missing.
+_DAMAGED = """
+    CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 4) WHEN event_id % 11 = 0 THEN '{"k": "x"}'
+         WHEN event_id % 13 = 0 THEN '{"other": 1}' WHEN event_id % 17 = 0 THEN NULL ELSE props END"""
+
+
+def src_message_quarantine(spark, sf_dir):
+    """Decoded messages, and those that do not decode with their body, over a restart."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", f"{_DAMAGED} AS body")
+    path = scratch_dir(spark, "messages")
+    source = {
+        "type": "messages",
+        "format": "parquet",
+        "path": path,
+        "options": batches(spark),
+        "envelope": "event_id long, body string",
+        "keep": ["event_id"],
+        "quarantine": True,
+    }
+    schema = {"type": "struct", "fields": [{"name": "k", "type": "integer", "nullable": False, "metadata": {}}]}
+    flow = pipeline(spark, "messages", staging=[staging("messages", source, schema, "file", "view")])
+    for half in (0, 1):
+        land(spark, events.where(f"event_id % 2 = {half}"), "parquet", path)
+        flow.run()
+    flow.run()
+    decoded = flow.output("staging", "messages")
+    bad = flow.quarantine("messages")
+    return decoded.selectExpr("event_id", "k", "CAST(NULL AS string) AS body", "CAST(NULL AS string) AS error").unionByName(
+        bad.selectExpr("event_id", "CAST(NULL AS int) AS k", "_body AS body", "_error AS error")
+    )
+
+
 def src_object_store(spark, sf_dir):
     """A container below a shared folder in the store's place."""
     root = scratch_dir(spark, "store")
@@ -176,6 +208,7 @@ QUERIES = {
         src_lake_stream,
         src_incremental_files,
         src_message_decode,
+        src_message_quarantine,
         src_object_store,
         src_inline_sample,
         src_infer_sample,
@@ -197,6 +230,14 @@ ORACLES = {
     "src_incremental_files": _ORDERS_SQL,
     "src_message_decode": """
         SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
+    "src_message_quarantine": f"""
+        WITH damaged AS (SELECT event_id, props, {_DAMAGED} AS body FROM events),
+        told AS (
+            SELECT *, CASE WHEN body IS NULL THEN 'no body' WHEN body = '{{"other": 1}}' THEN 'lacks k'
+                           WHEN body <> props THEN 'not JSON of the declared schema' END AS error FROM damaged)
+        SELECT event_id, CASE WHEN error IS NULL THEN CAST(json_extract(body, '$.k') AS INTEGER) END AS k,
+               CASE WHEN error IS NOT NULL THEN body END AS body, error
+        FROM told""",
     "src_object_store": _ORDERS_SQL,
     "src_inline_sample": _ORDERS_SQL,
     "src_infer_sample": """
