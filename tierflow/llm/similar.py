@@ -10,8 +10,9 @@ A pair at similarity s shares no band with chance ``(1 - s**4)**24``: 3e-6 at 0.
 A wider fingerprint radius would do it too, but near 16 bits, where a grid no longer
 narrows anything down.
 
-What candidates connect is compared together, by the whole sets, so candidates only
-decide who meets.  A group of more than ``BLOCK_TEXTS`` texts is cut into blocks, and
+What candidates connect meets in a task, so candidates only decide who meets.  There a
+pair is compared by its whole sets, if their sizes allow it and the bytes of their minima
+agree in 0.6 at least: at a similarity of 0.8 that fails with a chance of some 1e-6.  A group of more than ``BLOCK_TEXTS`` texts is cut into blocks, and
 each pair of blocks is a task of its own.  Of the links a spanning forest is kept.
 Equal texts cost one row, and a task sends on a band it has seen but once.
 
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from tierflow.operators import broadcast_fits
 
 from .common import append_columns, encoded, group_stream, parts, stored
 from .components import connected_components
@@ -36,6 +38,8 @@ BANDS, BAND_ROWS = 24, 4
 BLOCK_TEXTS = 512
 #: Texts whose bands a task remembers.
 UNIT_TEXTS = 20_000
+#: Pairs whose sketches agree in so much less are not compared: five standard deviations.
+SKETCH_MARGIN = 0.2
 #: Shingles multiplied at a time.
 SLICE = 4_096
 
@@ -52,15 +56,20 @@ def shingles(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, made), np.uint64))
 
 
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set."""
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), SLICE):
+        np.minimum(low, (hashes[at : at + SLICE, None] * _FACTORS).min(axis=0), out=low)
+    return low
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """One key per band; texts that agree in all minima of a band have its key in common."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), SLICE):
-        np.minimum(low, (hashes[at : at + SLICE, None] * _FACTORS).min(axis=0), out=low)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in low.reshape(BANDS, BAND_ROWS).T:
+    for row in minima(hashes).reshape(BANDS, BAND_ROWS).T:
         keys = (keys ^ row) * _MIX
         keys ^= keys >> np.uint64(29)
     return keys
@@ -142,6 +151,9 @@ def _similar(least: float):
         nodes = rows.column("content").to_pylist()
         sets = [np.frombuffer(body, np.uint64) for body in rows.column("body").to_pylist()]
         sizes = np.array([len(s) for s in sets])
+        # a byte of each minimum: how many agree tells the similarity to within 0.041
+        sketches = np.array([minima(s).astype(np.uint8) for s in sets]).reshape(len(sets), -1)
+        agreeing = (least - SKETCH_MARGIN) * sketches.shape[1]
         left, todo, found = np.arange(1, len(nodes)), [0], []
         while len(left):
             if not todo:
@@ -150,7 +162,10 @@ def _similar(least: float):
             at = todo.pop()
             # sets of too different sizes cannot be similar
             fits = np.minimum(sizes[left], sizes[at]) >= least * np.maximum(sizes[left], sizes[at])
-            near = np.array([i for i in np.flatnonzero(fits) if similarity(sets[at], sets[left[i]]) >= least], int)
+            some = np.flatnonzero(fits)
+            agree = np.count_nonzero(sketches[left[some]] == sketches[at], axis=1)
+            some = some[agree >= agreeing]
+            near = np.array([i for i in some if similarity(sets[at], sets[left[i]]) >= least], int)
             reached = left[near]
             found += [(nodes[at], nodes[i]) for i in reached]
             todo.extend(reached.tolist())
@@ -202,6 +217,10 @@ def first_of_similar(
     members = stored(contents.join(roots, "fingerprint", "left").select(root, "content", "place"), "members")
     blocks = F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks")
     groups = members.groupBy("root").agg(blocks, F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join does not share the partitioning of the count and a large group can be split
+    groups = stored(groups, "groups")
+    if broadcast_fits(groups):
+        groups = F.broadcast(groups)
     met = members.join(groups, "root").select("root", "content", "blocks", "place.*")
     texts = narrow.join(met, ["__llm_doc", "__llm_variant"]).dropDuplicates(["content"])
     bodies = append_columns(texts, {"body": "binary"}, _shingled).select("root", "content", "blocks", "body")
