@@ -65,6 +65,49 @@ def test_wrappers_of_the_page_are_not_left_out(start, end):
     assert main_text(page(f"{start}<div>{article}</div>{rest}{end}")) == f"Head {LONG} {LONG}"
 
 
+SHORT = "A short one."
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        # sections, the second one short, with a heading of its own
+        (f"<div class='post'><section><h2>One</h2>{f'<p>{LONG}</p>' * 6}</section><section><h2>Two</h2><p>{SHORT}</p></section></div>", " ".join(["One", *[LONG] * 6, "Two", SHORT])),
+        # a body in cells of a table
+        (f"<table><tr><td><p>{LONG}</p><p>{LONG}</p></td></tr><tr><td><p>{LONG}</p><p>{LONG}</p></td></tr></table>", " ".join([LONG] * 4)),
+        # each paragraph in a wrapper, at different depths
+        (f"<div><div><p>{LONG}</p></div><div><div><p>{LONG}</p></div></div><div><div><div><p>{LONG}</p></div></div></div></div>", " ".join([LONG] * 3)),
+        # a lead with a link before the body
+        (f"<div><p>Lead with <a href=x>a link</a>.</p><div>{f'<p>{LONG}</p>' * 4}</div></div>", " ".join(["Lead with a link.", *[LONG] * 4])),
+        # two articles
+        (f"<article><h1>One</h1>{f'<p>{LONG}</p>' * 3}</article><article><h1>Two</h1><p>{LONG}</p></article>", " ".join(["One", *[LONG] * 3, "Two", LONG])),
+        # names that only begin like a part that is left out
+        *(
+            (f"<article><p>{LONG}</p><div {name}><p>{LONG}</p></div></article>", f"{LONG} {LONG}")
+            for name in ("class='share-price'", "class='related-work'", "class='social-security'", "id='reply-brief'", "class='ad-hoc notes'")
+        ),
+        # names of comments and the like, by their last word or before a word of layout
+        *(
+            (f"<article><p>{LONG}</p><div {name}><p>{LONG}</p></div></article>", LONG)
+            for name in ("class='user-comments'", "class='post-comments'", "class='comments-area'", "id='related-posts'", "class='comment-body'", "class='cookie-bar'", "class='page-footer'", "class='ad-300x250'")
+        ),
+        # a name that begins like one left out, full of links
+        (f"<article><p>{LONG}</p><div class='share-now'><a href=a>To one place</a> <a href=b>to another</a></div></article>", LONG),
+        # lists of links between the parts of an article without a name
+        (f"<div><div><p>{LONG}</p></div><ul><li><a href=a>More</a><li><a href=b>And more</a></ul><div><p>{LONG}</p></div></div>", f"{LONG} {LONG}"),
+        # a list and a quotation in the article, a paragraph that is one link
+        (f"<article><p>{LONG}</p><ul><li>one<li>two</ul><blockquote>Said.</blockquote><p><a href=x>All of it</a></p></article>", f"{LONG} one two Said. All of it"),
+        # a heading outside the container, text without paragraphs
+        (f"<div><h1>Head</h1><div>{LONG}<br><br>{LONG}</div></div>", f"Head {LONG} {LONG}"),
+        (f"<div id='wrap'><div class='entry-content widget'><p>{LONG}</p></div><div class='widget'><p>{SHORT}</p></div></div>", LONG),
+        # definition lists and code
+        (f"<main><dl><dt>Term</dt><dd>{LONG}</dd></dl><pre>a = 1\nb = 2</pre></main>", f"Term {LONG} a = 1 b = 2"),
+    ],
+)
+def test_page_shapes(body, text):
+    assert main_text(page(body)) == text
+
+
 def test_comments_longer_than_the_article_are_left_out():
     assert main_text(page(f"<div><h1>Head</h1><p>{LONG}</p></div><div class='comments'>{f'<p>{LONG}</p>' * 4}</div>")) == f"Head {LONG}"
 

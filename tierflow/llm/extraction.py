@@ -3,13 +3,19 @@
 Every paragraph gives points for its length and commas, less by the share of its
 text inside links, to the elements around it: all to the nearest container, half
 to the next, a third and a fourth to those beyond.  An element's score is
-discounted by its own link density; the best container is kept, an enclosing
-``article`` or ``main`` in its place, with those of its siblings that score well
-enough or read like its paragraphs.  Elements that hold no article by their tag,
-role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments by readers) are left out wherever they stand.  A name of a
-class or id counts as a whole, or by its first word (``sidebar-left``), behind a word
-for a place too (``site-footer``).  A block left out by name, or a form, stays if it
+discounted by its own link density; the best one tells where the article is.  If
+that is inside an ``article`` or ``main``, the article is that element and every other
+one with a container of a fifth of the best one's own points.  Else it is all of the
+smallest element around all such containers, but for lists of links between them.
+With it stay its siblings that are headings, read like its paragraphs, score well or
+hold paragraphs without many links.
+
+Elements that hold no article by their tag, role, class or id (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, comments by readers) are left out
+wherever they stand.  A class or id names such a part as a whole (``sidebar``), by its
+last word (``user-comments``) or by its first before a word for a thing of layout
+(``related-posts``); one that only begins so (``share-price``) leaves it to the links:
+half of the text must be in them.  A block left out by name, or a form, stays if it
 holds the page: more than half of all points and an ``article``, ``main`` or ``h1``,
 or nine tenths of all points.
 
@@ -25,6 +31,7 @@ the page's length, apart from attributes with unbalanced quotes.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 
@@ -58,7 +65,13 @@ LEFT_OUT_NAMES = set(
     "navigation menu topbar toolbar footer header masthead widget widgets pagination pager login "
     "signup signin skip hidden".split()
 )
-PLACES = set("site page global top bottom left right primary secondary mobile wp".split())
+# Last words of a name that say nothing of what it holds.
+LAYOUT = set(
+    "area bar block body bottom box button buttons center col column container content footer form "
+    "group header heading holder icon icons inner item items label left link links list main menu "
+    "message outer panel posts articles right row section side slot stories text thread title top "
+    "unit widget widgets wrap wrapper zone".split()
+)
 ARTICLE_NAMES = set("article body content entry main post story text".split())
 FORMS = set("form fieldset".split())
 NEVER_LEFT_OUT = set("html body article main".split())
@@ -78,10 +91,13 @@ SCOPES = set("ul ol dl table tbody thead tfoot select article section div body h
 #: Points go this far up.
 LEVELS = 4
 SIBLING_SHARE, SIBLING_POINTS = 0.2, 10.0
+#: Own points of a container of the article, as a share of the most.
+WELL = 0.2
 LONG_PARAGRAPH, LINKED = 80, 0.25
 #: Shares of a page's points an element holds that is not left out by its name.
 WITH_ARTICLE, WHOLE_PAGE = 0.5, 0.9
-STAYS, BY_NAME, GONE = range(3)
+LINK_LIST = 0.5
+STAYS, BY_LINKS, BY_NAME, GONE = range(4)
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -96,7 +112,7 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag
 
 
 def _left_out(tag: str, attributes: str, in_article: bool) -> int:
-    """STAYS, BY_NAME (unless it holds the page) or GONE."""
+    """STAYS, BY_LINKS (if half of it is links), BY_NAME (unless it holds the page) or GONE."""
     if tag in LEFT_OUT and tag not in FORMS and not (tag == "header" and in_article):
         return GONE
     by_tag = BY_NAME if tag in FORMS else STAYS
@@ -110,19 +126,30 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> int:
     role = found.get("role")
     if role in LEFT_OUT_ROLES and role != "form" or _HIDDEN.search(found.get("style", "")):
         return GONE
-    tokens = [_NAME.findall(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
     if role == "form":
         return BY_NAME
-    if any(_names_no_article(words) for words in tokens) and not any(ARTICLE_NAMES & set(w) for w in tokens):
-        # inside a line of text there is no page to hold
-        return GONE if tag in INLINE else BY_NAME
-    return by_tag
+    tokens = [_NAME.findall(t) for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    named = max(map(_names_no_article, tokens), default=STAYS)
+    if named == STAYS or any(_names_article(words) for words in tokens):
+        return by_tag
+    # inside a line of text there is no page to hold
+    if tag in INLINE:
+        return GONE if named == BY_NAME else STAYS
+    return max(named, by_tag)
+
+
+def _names_no_article(words: list[str]) -> int:
+    """What the words of one class or id say of what it holds."""
+    words = [w for w in words if len(w) > 1]
+    if not words:
+        return STAYS
+    if words[-1] in LEFT_OUT_NAMES or words[0] in LEFT_OUT_NAMES and words[-1] in LAYOUT:
+        return BY_NAME
+    return BY_LINKS if words[0] in LEFT_OUT_NAMES else STAYS
 
 
-def _names_no_article(words: list[str]) -> bool:
-    if len(words) > 1 and words[0] in PLACES:
-        words = words[1:]
-    return bool(words) and words[0] in LEFT_OUT_NAMES
+def _names_article(words: list[str]) -> bool:
+    return bool(words) and words[-1] in ARTICLE_NAMES and words[0] not in LEFT_OUT_NAMES
 
 
 class Page:
@@ -130,7 +157,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.out, self.within = ["#page"], [-1], [False], [False]
-        self.by_name = [False]
+        self.by_name, self.by_links = [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack = [0]
         self._open: dict[str, int] = {}
@@ -199,6 +226,7 @@ class Page:
         self.parents.append(parent)
         self.out.append(out)
         self.by_name.append(left_out == BY_NAME)
+        self.by_links.append(left_out == BY_LINKS)
         self.within.append(within)
         self._stack.append(len(self.tags) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
@@ -235,11 +263,14 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     if any(page.by_name):
         _leave_out_by_name(page)
+    if any(page.by_links):
+        _leave_out_link_lists(page)
     if not page.blocks:
         return ""
     keep = _kept(page)
     for at in range(1, len(keep)):
-        keep[at] |= keep[page.parents[at]]
+        if keep[at] is None:
+            keep[at] = keep[page.parents[at]]
     return " ".join(text for owner, text, _ in page.blocks if keep[owner])
 
 
@@ -263,45 +294,108 @@ def _leave_out_by_name(page: Page) -> None:
     page.blocks = [block for block in page.blocks if not page.out[block[0]]]
 
 
-def _kept(page: Page) -> list[bool]:
-    tags, parents = page.tags, page.parents
-    scores = [0.0] * len(tags)
-    lengths, linked = [0] * len(tags), [0] * len(tags)
+def _totals(page: Page) -> tuple[list[int], list[int]]:
+    """Characters below each element, and how many of them are in links."""
+    lengths, linked = [0] * len(page.tags), [0] * len(page.tags)
     for owner, text, links in page.blocks:
         lengths[owner] += len(text)
         linked[owner] += links
+    for at in range(len(lengths) - 1, 0, -1):
+        lengths[page.parents[at]] += lengths[at]
+        linked[page.parents[at]] += linked[at]
+    return lengths, linked
+
+
+def _leave_out_link_lists(page: Page) -> None:
+    lengths, linked = _totals(page)
+    for at in range(1, len(lengths)):
+        dense = lengths[at] and linked[at] >= LINK_LIST * lengths[at]
+        page.out[at] |= page.out[page.parents[at]] or bool(page.by_links[at] and dense)
+    page.blocks = [block for block in page.blocks if not page.out[block[0]]]
+
+
+def _kept(page: Page) -> list[bool | None]:
+    """Whether each element's text is kept, None where its parent decides."""
+    tags, parents = page.tags, page.parents
+    scores, own, prose = [0.0] * len(tags), [0.0] * len(tags), [False] * len(tags)
+    lengths, linked = _totals(page)
+    for owner, text, links in page.blocks:
         points = _points(text, links)
         at = parents[owner] if tags[owner] in PARAGRAPHS else owner
+        prose[at] |= tags[owner] in PARAGRAPHS
+        own[at] += points
         for level in range(LEVELS):
             if at < 0:
                 break
             scores[at] += points / (level + 1)
             at = parents[at]
-    for at in range(len(tags) - 1, 0, -1):
-        lengths[parents[at]] += lengths[at]
-        linked[parents[at]] += linked[at]
     density = [k / n if n else 0.0 for k, n in zip(linked, lengths)]
-    scores = [s * (1 - d) for s, d in zip(scores, density)]
-    best = max(range(len(tags)), key=lambda at: scores[at])
-    at = best
-    while at > 0:
-        if tags[at] in SEMANTIC:
-            best = at
-            break
-        at = parents[at]
-    keep = [False] * len(tags)
-    keep[best] = True
-    least = max(SIBLING_POINTS, SIBLING_SHARE * scores[best])
+    best = max(range(len(tags)), key=lambda at: scores[at] * (1 - density[at]))
+    own = [points * (1 - d) for points, d in zip(own, density)]
+    semantic = [0] * len(tags)
     for at in range(1, len(tags)):
-        if parents[at] != parents[best] or at == best or not lengths[at]:
+        semantic[at] = at if tags[at] in SEMANTIC else semantic[parents[at]]
+    least = WELL * max(own)
+    well = [at for at in range(len(tags)) if own[at] and own[at] >= least]
+    keep: list[bool | None] = [False] + [None] * (len(tags) - 1)
+    if semantic[best]:
+        roots = {semantic[best], *(semantic[at] for at in well if semantic[at])}
+    else:
+        root = _around(parents, [best, *well])
+        roots = {root}
+        _drop_link_lists(tags, parents, root, well, density, lengths, keep)
+    for root in roots:
+        keep[root] = True
+    # what is above or beside is not kept, but for some siblings
+    for at in range(len(tags) - 1, 0, -1):
+        prose[parents[at]] |= prose[at]
+    beside = {parents[root]: root for root in roots if root}
+    enough = max(SIBLING_POINTS, SIBLING_SHARE * scores[best] * (1 - density[best]))
+    for at in range(1, len(tags)):
+        if at in roots or parents[at] not in beside or keep[at] or not lengths[at]:
             continue
-        if scores[at] >= least or tags[at] in HEADINGS and not linked[at]:
-            keep[at] = True
+        if tags[at] in HEADINGS:
+            keep[at] = not linked[at]
         elif tags[at] in PARAGRAPHS:
-            keep[at] = density[at] < LINKED if lengths[at] > LONG_PARAGRAPH else not linked[at]
+            keep[at] = density[at] < (LINKED if lengths[at] > LONG_PARAGRAPH else LINK_LIST)
+        else:
+            alike = prose[at] and density[at] < LINKED and tags[at] == tags[beside[parents[at]]]
+            keep[at] = alike or scores[at] * (1 - density[at]) >= enough
     return keep
 
 
+def _around(parents: list[int], elements: list[int]) -> int:
+    """The smallest element around all of some; one is around itself."""
+    # parents have smaller numbers: the largest of them steps up until one is left
+    open_ = set(elements)
+    heap = [-at for at in open_]
+    heapq.heapify(heap)
+    while len(open_) > 1:
+        at = -heapq.heappop(heap)
+        open_.discard(at)
+        if parents[at] not in open_:
+            open_.add(parents[at])
+            heapq.heappush(heap, -parents[at])
+    return open_.pop()
+
+
+def _drop_link_lists(tags, parents, root, well, density, lengths, keep) -> None:
+    """Inside ``root``, elements without a container of the article that are mostly links."""
+    holds = [False] * len(tags)
+    for at in well:
+        holds[at] = True
+    for at in range(len(tags) - 1, 0, -1):
+        holds[parents[at]] |= holds[at]
+    inside = [False] * len(tags)
+    inside[root] = True
+    for at in range(root + 1, len(tags)):
+        inside[at] = inside[parents[at]]
+        # judged where it leaves the path to a container
+        if inside[at] and not holds[at] and holds[parents[at]] and tags[at] not in PARAGRAPHS | INLINE:
+            if lengths[at] and density[at] >= LINK_LIST:
+                keep[at] = False
+
+
 def extract(pages: DataFrame, payload: str = "html", column: str = "text") -> DataFrame:
     """``pages`` with the main text of ``payload`` and its length, ``n_chars``.
 
