@@ -1,4 +1,6 @@
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -56,9 +58,37 @@ def test_repeated_rows_never_meet(spark):
     assert found(spark, rows) == {(5, 1, 6, 256 * 512), (5, 2, 6, 256 * 512)}
 
 
-def test_too_long_vectors_are_refused(spark):
-    with pytest.raises(Exception, match="too long"):
-        found(spark, [(5, [1e9])])
+def exact_top(rows, queries, k):
+    """In whole numbers of any size; scores shown within a long."""
+    whole = lambda x: math.floor(Fraction(x) * 256)
+    good = [(vec, [whole(v) for v in x]) for vec, x in rows]
+    out = set()
+    for vec, q in good:
+        if queries(vec):
+            scored = [(-sum(a * b for a, b in zip(q, x)), other) for other, x in good if other != vec and len(x) == len(q)]
+            for rank, (score, other) in enumerate(sorted(scored)[:k], 1):
+                out.add((vec, rank, other, min(max(-score, -(2**63)), 2**63 - 1)))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_any_finite_vector_is_scored_exactly(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(n, [float(v) for v in rng.normal(size=4)]) for n in range(30)]
+    rows += [(100 + n, [float(v) for v in rng.normal(size=4) * 10.0 ** int(rng.integers(0, 300))]) for n in range(30)]
+    # equal but for the last bits, beyond what doubles tell apart
+    rows += [(200 + n, [2.0**40 + n, 3.0, float(n % 2), 1.0]) for n in range(12)]
+    rows += [(300, [1e306, 1.0, 0.0, 0.0]), (305, [-1e306, 1e-3, 0.0, 0.0]), (310, [3e5] * 4), (315, [3e5, 1.0]), (320, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = {tuple(r) for r in top_k(df, F.col("vec_id") % 5 == 0, 5, query_rows=block).collect()}
+    assert got == exact_top(rows, lambda v: v % 5 == 0, 5)
+
+
+def test_places_sort_as_scores():
+    rng = random.Random(2)
+    scores = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**200, -(10**200)]
+    scores += [rng.randint(-(2**n), 2**n) for n in range(1, 130) for _ in range(5)]
+    assert sorted(scores) == sorted(scores, key=nearest._place)
 
 
 def test_bounds_hold_and_avoid_computations():

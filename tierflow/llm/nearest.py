@@ -23,13 +23,19 @@ Vectors of another length than the query's have no score with it.  Rows with the
 query's id are its own, so repeated ids never meet; queries with the same id and
 vector are one.  Ties go to the smaller id; fewer candidates than ``k`` give as
 many rows as there are.  A null id takes no part.
-Components whose squares add up to 2^52 or more are refused: scores are exact
-in double precision below that.
+Vectors whose squares add up to 2^52 or more have no exact score in double precision.
+They are no part of the tree: pairs with one of them are bounded in doubles, and those
+that can be among the best ``k`` of their task are scored in whole numbers of any size.
+A score beyond a long is shown as the nearest long; ranks go by the true one.
+An empty table gives no rows; columns of other names are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import operator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,36 +52,44 @@ ROUTED_ROWS, MOST_ROUTING = 2048, 1024
 SAMPLE = 32
 
 _EXACT = float(1 << 52)
-_ENTRY = "vec_id bigint, dims int, norm2 double, vec binary"
+_ENTRY = "vec_id bigint, dims int, norm2 double, vec binary, wide boolean"
+_FOUND = "query_id bigint, vec_id bigint, score bigint, place binary"
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id``, ``dims``, squared norm and little-endian int64 components."""
+    """``vec_id``, ``dims``, squared norm and little-endian int64 components.
+
+    Where these are no exact doubles the vector is ``wide`` and keeps its own components.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, dims, norms, vecs = [], [], [], []
+            ids, dims, norms, vecs, wide = [], [], [], [], []
             column = batch.column(1)
             for number, values in zip(batch.column(0).to_pylist(), column):
                 if number is None or not values.is_valid or values.values.null_count:
                     continue
-                scaled = np.floor(scale * values.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if not np.isfinite(scaled).all():
+                own = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(own).all():
                     continue
-                if scaled @ scaled >= _EXACT:
-                    raise ValueError(f"vector {number} is too long for exact scores")
+                with np.errstate(over="ignore"):
+                    scaled = np.floor(scale * own)
+                    norm = float(scaled @ scaled)
+                wide.append(not norm < _EXACT)
                 ids.append(number)
                 dims.append(len(scaled))
-                norms.append(float(scaled @ scaled))
-                vecs.append(scaled.astype("<i8").tobytes())
+                norms.append(norm)
+                vecs.append((own if wide[-1] else scaled.astype("<i8")).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(dims, pa.int32()),
                     pa.array(norms, pa.float64()),
                     pa.array(vecs, pa.binary()),
+                    pa.array(wide, pa.bool_()),
                 ],
-                names=["vec_id", "dims", "norm2", "vec"],
+                names=["vec_id", "dims", "norm2", "vec", "wide"],
             )
 
     return vectors.mapInArrow(run, _ENTRY)
@@ -125,7 +139,7 @@ def tree_entries(vectors: DataFrame, routing: dict[int, Routing]) -> DataFrame:
                 names=[*batch.schema.names, "node", "parent"],
             )
 
-    placed = vectors.mapInArrow(run, _ENTRY + ", node int, parent double")
+    placed = vectors.mapInArrow(run, _ENTRY + ", node int, parent double").drop("wide")
     tasks = parts(spark)
     # entries of a crowded routing object are dealt to several partitions: rings
     # are formed from what a partition has, so any cut will do
@@ -209,16 +223,93 @@ def _candidates(entries: DataFrame, block, k: int) -> DataFrame:
         for batch in batches:
             search.pages(_rings(batch, dims))
         query, place = np.nonzero(search.found != np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(search.ids[query]),
-                pa.array(search.found[query, place]),
-                pa.array(np.rint(search.scores[query, place]).astype(np.int64)),
-            ],
-            names=["query_id", "vec_id", "score"],
-        )
+        scores = np.rint(search.scores[query, place]).astype(np.int64)
+        yield _found_batch(search.ids[query].tolist(), search.found[query, place].tolist(), scores.tolist())
+
+    return entries.mapInArrow(run, _FOUND)
+
+
+# --- vectors beyond exact doubles ---------------------------------------------------
+
+
+def _place(score: int) -> bytes:
+    """Bytes that sort as scores do: length and digits, both turned round below zero."""
+    size = (abs(score).bit_length() + 7) // 8
+    digits = abs(score).to_bytes(size, "big")
+    if score >= 0:
+        return (32_768 + size).to_bytes(2, "big") + digits
+    return (32_768 - size).to_bytes(2, "big") + bytes(255 - d for d in digits)
+
+
+def _found_batch(queries: list[int], ids: list[int], scores: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(queries, pa.int64()),
+            pa.array(ids, pa.int64()),
+            pa.array([min(max(score, _LEAST), _MOST) for score in scores], pa.int64()),
+            pa.array([_place(score) for score in scores], pa.binary()),
+        ],
+        names=["query_id", "vec_id", "score", "place"],
+    )
 
-    return entries.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+def _whole(blob: bytes, wide: bool, scale: int = SCALE) -> list[int]:
+    """Components as whole numbers."""
+    if not wide:
+        return np.frombuffer(blob, "<i8").tolist()
+    # from 2^44 on a double is whole, and so is its multiple
+    return [math.floor(scale * x) if abs(x) < 2**44 else int(x) * scale for x in np.frombuffer(blob, "<f8").tolist()]
+
+
+def _unit(rows: list[list[int]]) -> tuple[np.ndarray, list[int]]:
+    """Vectors over their largest component, as doubles, and that component."""
+    most = [max(map(abs, row), default=0) or 1 for row in rows]
+    return np.array([[x / m for x in row] for row, m in zip(rows, most)]).reshape(len(rows), -1), most
+
+
+def _exact_candidates(entries: DataFrame, block, k: int) -> DataFrame:
+    """The best ``k`` of every task for each query of a broadcast block, in whole numbers."""
+
+    def run(batches):
+        ids, asked = block.value
+        unit, _ = _unit(asked)
+        best: list[list[tuple[int, int]]] = [[] for _ in ids]
+        for batch in batches:
+            rows = [_whole(v, w) for v, w in zip(batch.column("vec").to_pylist(), batch.column("wide").to_pylist())]
+            if not rows:
+                continue
+            numbers = batch.column("vec_id").to_pylist()
+            other, most = _unit(rows)
+            # scores over the query's largest component, as shares of the largest of the batch
+            share = np.array([m / max(most) for m in most])
+            near = (unit @ other.T) * share
+            # each product is off by a few units in the last place of one at most
+            off = share * (unit.shape[1] + 4) * 2.0**-49 + 1e-300
+            for at, query in enumerate(ids):
+                mine = np.array([number != query for number in numbers])
+                low = np.where(mine, near[at] - off, -np.inf)
+                least = np.sort(low)[-k] if len(low) >= k else -np.inf
+                for n in np.flatnonzero(mine & (near[at] + off >= least)):
+                    best[at].append((-sum(map(operator.mul, asked[at], rows[n])), numbers[n]))
+                best[at] = sorted(best[at])[:k]
+        made = [(query, vec, -score) for query, found in zip(ids, best) for score, vec in found]
+        yield _found_batch(*(map(list, zip(*made)) if made else ([], [], [])))
+
+    return entries.select("vec_id", "vec", "wide").mapInArrow(run, _FOUND)
+
+
+def _of_wide(known: DataFrame, asked: DataFrame, k: int, query_rows: int) -> DataFrame | None:
+    """What pairs with a wide vector give: wide queries with all, others with wide candidates."""
+    results = None
+    for row in known.where("wide").select("dims").distinct().collect():
+        rows, queries = (df.where(F.col("dims") == row["dims"]) for df in (known, asked))
+        for some, candidates in ((queries.where("wide"), rows), (queries.where("NOT wide"), rows.where("wide"))):
+            for ids, vectors in _blocks(some, query_rows, lambda held: [_whole(bytes(r.vec), r.wide) for r in held]):
+                shared = known.sparkSession.sparkContext.broadcast((ids.tolist(), vectors))
+                found = stored(_exact_candidates(candidates, shared, k), "found")
+                shared.unpersist()
+                results = found if results is None else results.union(found)
+    return results
 
 
 def top_k(
@@ -241,6 +332,8 @@ def top_k(
     )
     asked = quantised(chosen.where("__llm_query").select(F.col(vec).cast("bigint"), embedding))
     asked = stored(asked.distinct().orderBy("dims", "vec_id"), "queries")
+    results = _of_wide(known, asked, k, query_rows)
+    known, asked = known.where("NOT wide"), asked.where("NOT wide")
     lengths = known.groupBy("dims").agg(F.max("norm2").alias("most"), F.count("*").alias("n")).collect()
     routing = {}
     for row in lengths:
@@ -251,9 +344,9 @@ def top_k(
     entries = stored(tree_entries(known, routing), "pages")
     forget(known)
     sample = F.pmod(F.xxhash64("vec_id", F.lit("first")), F.lit(SAMPLE)) == 0
-    results = None
     for dims in sorted(routing):
-        for ids, rows in _blocks(asked.where(F.col("dims") == dims), dims, query_rows):
+        plain_rows = lambda held, size=dims: _matrix([bytes(r.vec) for r in held], size)
+        for ids, rows in _blocks(asked.where(F.col("dims") == dims), query_rows, plain_rows):
             mine = entries.where(F.col("dims") == dims)
             plain = (routing[dims].vectors, routing[dims].most)
             block = (ids, rows, plain, np.full(len(ids), -np.inf), dims)
@@ -265,8 +358,8 @@ def top_k(
             shared.unpersist()
             results = found if results is None else results.union(found)
     if results is None:
-        results = spark.range(0).selectExpr("id AS query_id", "id AS vec_id", "id AS score")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        results = spark.range(0).selectExpr("id AS query_id", "id AS vec_id", "id AS score", "X'' AS place")
+    best = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return (
         results.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -282,14 +375,8 @@ def _least(found: DataFrame, ids: np.ndarray, k: int) -> np.ndarray:
     return np.array([known.get(int(number), -np.inf) for number in ids], np.float64)
 
 
-def _blocks(queries: DataFrame, dims: int, size: int):
-    """Query ids and vectors, at most ``size`` on the driver at a time."""
-    ids, rows = [], []
-    for row in queries.toLocalIterator():
-        ids.append(row.vec_id)
-        rows.append(bytes(row.vec))
-        if len(ids) == size:
-            yield np.array(ids, np.int64), _matrix(rows, dims)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), _matrix(rows, dims)
+def _blocks(queries: DataFrame, size: int, read):
+    """Query ids and what ``read`` makes of their rows, at most ``size`` on the driver at a time."""
+    rows = queries.toLocalIterator()
+    while held := list(islice(rows, size)):
+        yield np.array([row.vec_id for row in held], np.int64), read(held)
