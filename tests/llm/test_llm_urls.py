@@ -121,3 +121,14 @@ def test_repeated_rows_empty_table_and_clashes(spark):
     assert judge(odd, RULES).columns == ["page_id", "host", "path", "rule", "verdict"]
     with pytest.raises(ValueError):
         judge(odd, {f"h{n}/": "block" for n in range(1001)})
+
+
+def test_links_of_very_long_pages_are_found_in_time(spark):
+    """A megabyte of tags that never end, and one long tag."""
+    import time
+
+    html = "<a " * 350_000 + "<a class=x href='http://b.net/'>" + "<a " + "x " * 300_000 + "href=http://c.net/>"
+    pages = spark.createDataFrame([("a.net", html)], "host string, html string")
+    began = time.time()
+    assert {(r.src, r.dst) for r in host_links(pages).collect()} == {("a.net", "b.net"), ("a.net", "c.net")}
+    assert time.time() - began < 60

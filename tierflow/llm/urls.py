@@ -43,7 +43,8 @@ FOLDED = 16
 BLOCK_PER_PAGE = 0.5
 MOST_RULES = 1_000
 
-_HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+# A tag ends at the next "<" as well, so that no text is gone through twice.
+_HREF = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
