@@ -161,9 +161,10 @@ def thresholds(sketches: DataFrame, lang: str, source: str, least_docs: int) ->
     """The cutoffs that hold for each language and source of ``sketches``."""
     own = cutoffs(sketches, [lang, source])
     by_lang = cutoffs(merged(sketches, [lang]), [lang])
-    # one row, which meets every language by a key that all share
-    of_all = cutoffs(merged(sketches.withColumn("__all", F.lit(0)), ["__all"]), ["__all"])
-    o, b, a = own.alias("o"), by_lang.withColumn("__all", F.lit(0)).alias("b"), of_all.alias("a")
+    # one row, which meets every language by a key that all share, zero by computation: an equality join
+    shared = F.col("texts") * 0
+    of_all = cutoffs(merged(sketches.withColumn("__all", shared), ["__all"]), ["__all"])
+    o, b, a = own.alias("o"), by_lang.withColumn("__all", shared).alias("b"), of_all.alias("a")
     met = b.join(a, F.col("b.__all") == F.col("a.__all")).select(
         F.col(f"b.{lang}").alias("__lang"),
         *[
