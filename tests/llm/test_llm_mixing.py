@@ -63,3 +63,19 @@ def test_weights_are_checked(spark):
     for weights in ({"a": 0}, {"a": 2000}):
         with pytest.raises(ValueError):
             mix(spark.createDataFrame(many(), SCHEMA), weights)
+
+
+def test_a_hot_id_is_cut_without_moving_a_row(spark, monkeypatch):
+    from tierflow.llm import mixing
+
+    rng = random.Random(9)
+    rows = [(None if rng.random() < 0.4 else str(rng.choice(["", 7, n])), rng.choice("aab"), f"t{n}") for n in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    before = {r.text: r.position for r in mix(df, {"a": 3, "b": 1}, 4).collect()}
+    monkeypatch.setattr(mixing, "HOT_TIMES", 1)
+    cells = []
+    offsets = mixing._offsets
+    monkeypatch.setattr(mixing, "_offsets", lambda counts: cells.append(counts) or offsets(counts))
+    assert {r.text: r.position for r in mix(df, {"a": 3, "b": 1}, 4, hot_rows=50).collect()} == before
+    # equal rows apart, a cell holds a small part of the hot ids
+    assert cells[0].agg({"__llm_n": "max"}).first()[0] < 40

@@ -26,12 +26,16 @@ the input with the names of the new ones are replaced.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from tierflow.operators import broadcast_fits
 
 BLOCK_ROWS = 16
 OTHER = "(other)"
 #: Bounds of the plan: blocks of a round and sources, so schedules stay small.
 MOST_BLOCKS, MOST_SOURCES = 1024, 64
 
+#: Rows of a bucket, and times the usual number, from which its ids are looked at one by one.
+HOT_ROWS, HOT_TIMES = 1_000_000, 8
+
 # Hash buckets of a source: two levels of so many, as hexadecimal digits.
 _DIGITS = 2
 
@@ -43,6 +47,7 @@ def mix(
     other: int = 1,
     doc: str = "doc_id",
     source: str = "source",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``docs`` with ``mix_source``, ``block``, ``row_in_block`` and ``position``.
 
@@ -74,20 +79,25 @@ def mix(
     ).withColumn("__llm_high", F.substring("__llm_hash", 1, _DIGITS)).withColumn(
         "__llm_low", F.substring("__llm_hash", 1 + _DIGITS, _DIGITS)
     )
-    counts = rows.groupBy("__llm_source", "__llm_high", "__llm_low").agg(F.count("*").alias("__llm_n"))
-    offsets = _offsets(counts)
+    # only columns that can be hashed: maps cannot
+    whole = F.xxhash64(*[n for n in kept if not docs.schema[n].dataType.typeName() == "map"])
+    rows = rows.withColumn("__llm_row_hash", whole)
+    buckets = rows.groupBy(*_BUCKET).agg(F.count("*").alias("__llm_n"))
     # one count per source, MOST_SOURCES at most
-    found = {r["__llm_source"]: r["n"] for r in counts.groupBy("__llm_source").agg(F.sum("__llm_n").alias("n")).collect()}
+    sums = buckets.groupBy("__llm_source").agg(F.sum("__llm_n").alias("n"), F.count("*").alias("buckets")).collect()
+    found = {r["__llm_source"]: r["n"] for r in sums}
+    usual = {r["__llm_source"]: r["n"] / r["buckets"] for r in sums}
+    rows = _with_hot_ids(rows, buckets, usual, hot_rows, doc)
+    counts = rows.groupBy(*_CELL).agg(F.count("*").alias("__llm_n"))
+    offsets = _offsets(counts)
     blocks = [-(-found.get(n, 0) // block_rows) for n in range(len(names))]
     plan, starts = _schedules(docs.sparkSession, list(shares.values()), blocks)
 
-    bucket = ["__llm_source", "__llm_high", "__llm_low"]
-    # only columns that can be hashed: maps cannot
-    whole = F.xxhash64(*[n for n in kept if not docs.schema[n].dataType.typeName() == "map"])
-    within = F.row_number().over(Window.partitionBy(*bucket).orderBy("__llm_hash", F.col(doc), whole))
+    order = ["__llm_hash", F.col(doc), "__llm_row_hash"]
+    within = F.row_number().over(Window.partitionBy(*_CELL).orderBy(*order))
     share = _pick(F.col("__llm_source"), list(shares.values()))
     numbered = (
-        rows.join(offsets, bucket)
+        rows.join(offsets, _CELL)
         .withColumn("__llm_row", F.col("__llm_offset") + within - 1)
         .withColumn("__llm_block", F.expr(f"__llm_row div {block_rows}"))
         .withColumn("__llm_share", share)
@@ -110,6 +120,37 @@ def mix(
     )
 
 
+_BUCKET = ["__llm_source", "__llm_high", "__llm_low"]
+# Of a bucket with a hot id each id is a cell, and the hot id one for each leading byte of its rows' hash.
+_CELL = [*_BUCKET, "__llm_id", "__llm_part"]
+
+
+def _with_hot_ids(rows: DataFrame, buckets: DataFrame, usual: dict[int, float], hot_rows: int, doc: str) -> DataFrame:
+    """Rows with their cell; only buckets with far more rows than is usual have several.
+
+    Cells of a bucket follow each other in the order of its rows, so counting goes on
+    as before; the list of such buckets has a row per ``hot_rows`` rows at most.
+    """
+    most = _pick(F.col("__llm_source"), [max(hot_rows, HOT_TIMES * usual.get(n, 0.0)) for n in range(max(usual, default=0) + 1)])
+    crowded = buckets.where(F.col("__llm_n") > most).select(*_BUCKET)
+    if not usual or not crowded.head(1):
+        return rows.withColumns({"__llm_id": F.lit(""), "__llm_part": F.lit(0)})
+    listed = F.broadcast(crowded) if broadcast_fits(crowded) else crowded
+    ids = rows.join(listed, _BUCKET, "left_semi").groupBy("__llm_source", "__llm_hash").agg(F.count("*").alias("n"))
+    hot = ids.where(F.col("n") > hot_rows).select("__llm_source", "__llm_hash", F.lit(True).alias("__llm_hot"))
+    hot = F.broadcast(hot) if broadcast_fits(hot) else hot
+    marked = rows.join(listed.withColumn("__llm_crowded", F.lit(True)), _BUCKET, "left")
+    marked = marked.join(hot, ["__llm_source", "__llm_hash"], "left")
+    # a null id and the text of no characters are one id, the null first
+    part = F.shiftright("__llm_row_hash", 56).cast("int") + F.when(F.col(doc).isNull(), 0).otherwise(256)
+    return marked.withColumns(
+        {
+            "__llm_id": F.when(F.col("__llm_crowded"), F.col("__llm_hash")).otherwise(""),
+            "__llm_part": F.when(F.col("__llm_hot"), part).otherwise(0),
+        }
+    ).drop("__llm_crowded", "__llm_hot")
+
+
 def _pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
@@ -126,14 +167,14 @@ def _offsets(counts: DataFrame) -> DataFrame:
     high = counts.groupBy("__llm_source", "__llm_high").agg(F.sum("__llm_n").alias("__llm_sum"))
     across = Window.partitionBy("__llm_source").orderBy("__llm_high").rowsBetween(Window.unboundedPreceding, -1)
     inside = (
-        Window.partitionBy("__llm_source", "__llm_high").orderBy("__llm_low").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("__llm_source", "__llm_high").orderBy(*_CELL[2:]).rowsBetween(Window.unboundedPreceding, -1)
     )
     base = high.select(
         "__llm_source", "__llm_high", F.coalesce(F.sum("__llm_sum").over(across), F.lit(0)).alias("__llm_base")
     )
     low = counts.withColumn("__llm_before", F.coalesce(F.sum("__llm_n").over(inside), F.lit(0)))
     return low.join(base, ["__llm_source", "__llm_high"]).select(
-        "__llm_source", "__llm_high", "__llm_low", (F.col("__llm_base") + F.col("__llm_before")).alias("__llm_offset")
+        *_CELL, (F.col("__llm_base") + F.col("__llm_before")).alias("__llm_offset")
     )
 
 
