@@ -24,7 +24,7 @@ made single spaces, trimmed; blocks are joined in page order by a space.  Inline
 tags add nothing, ``br`` is white space.
 
 A null or empty page gives the empty text, as does one without any text outside
-what is left out.  Tags that are never closed end with the element around them;
+what is left out.  Repeated rows are read alike, each as a row; an empty table gives none.  Tags that are never closed end with the element around them;
 an unclosed comment, script or style runs to the end of the page.  Work is linear in
 the page's length, apart from attributes with unbalanced quotes.
 """

@@ -15,7 +15,7 @@ different texts of that hash are held.
 Nulls: a null text stays null and has no lines, a null id comes before all
 others.  An empty text is one blank line.  Rows with one id and one text are one
 document, each returned alike; rows with one id and different texts are
-different documents.
+different documents.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ agree in 0.6 at least: at a similarity of 0.8 that fails with a chance of some 1
 each pair of blocks is a task of its own.  Of the links a spanning forest is kept.
 Equal texts cost one row, and a task sends on a band it has seen but once.
 
-A text of fewer words is one shingle; null, empty and blank texts are one text.
+A text of fewer words is one shingle; null, empty and blank texts are one text.  Texts
+of any length are taken whole.  An empty table gives no rows; columns of any names stay.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ with the fewest pages; links of a host to itself pass nothing on.  Links come fr
 ``href`` attributes; those without a host stay on their own host.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, and is no
-seed; a null page has no links.  Repeated pages count as often as they come.
+seed; a null page has no links.  Repeated pages count as often as they come.  A page of
+any length is gone through once.  An empty table gives no rows.  Other columns of the
+pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
