@@ -43,6 +43,10 @@ def load_incremental_files(spark: SparkSession, source: SourceSpec) -> DataFrame
     The sink's checkpoint remembers which files were read.  The rate is set by
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; discovery options may
     carry the prefix they have in documents written for a vendor's reader.
+
+    The folder is listed for every micro-batch.  With ``archive``, a folder outside it,
+    files move there once a later batch has been committed, so what is listed are the
+    new files and those of the last batch, however many came before.
     """
     options = {
         key.removeprefix(DISCOVERY_PREFIX): value
@@ -50,6 +54,9 @@ def load_incremental_files(spark: SparkSession, source: SourceSpec) -> DataFrame
     }
     stored = source.format or options.get(DISCOVERY_FORMAT)
     options.pop(DISCOVERY_FORMAT, None)
+    archive = source.optional("archive")
+    if archive:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
     reader = spark.readStream.format(_required(stored, source, "format"))
     return _load(reader.options(**(FILE_DEFAULTS | options)), source)
 

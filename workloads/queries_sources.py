@@ -132,6 +132,19 @@ def src_message_decode(spark, sf_dir):
     return drained(spark, source, declared(k="integer"))
 
 
+def src_incremental_archive(spark, sf_dir):
+    """Orders that come in three parts; files move to an archive once they are read."""
+    path = scratch_dir(spark, "landing")
+    source = {"type": "incremental_files", "format": "parquet", "path": path, "archive": scratch_dir(spark, "archive")}
+    flow = pipeline(spark, "archived", staging=[staging("orders", source, ORDERS_SCHEMA, "file")])
+    whole = orders(spark, sf_dir)
+    for part in range(3):
+        land(spark, whole.where(F.col("o_orderkey") % 3 == part), "parquet", path)
+        flow.run()
+    flow.run()
+    return plain(flow.output("staging", "orders"))
+
+
 # Bodies damaged by event: cut short, of another type, without the field, or missing.
 _DAMAGED = """
     CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 4) WHEN event_id % 11 = 0 THEN '{"k": "x"}'
@@ -207,6 +220,7 @@ QUERIES = {
         src_lake_batch,
         src_lake_stream,
         src_incremental_files,
+        src_incremental_archive,
         src_message_decode,
         src_message_quarantine,
         src_object_store,
@@ -228,6 +242,7 @@ ORACLES = {
     "src_lake_batch": _ORDERS_SQL,
     "src_lake_stream": _ORDERS_SQL,
     "src_incremental_files": _ORDERS_SQL,
+    "src_incremental_archive": _ORDERS_SQL,
     "src_message_decode": """
         SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
     "src_message_quarantine": f"""
