@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from tierflow.operators import versions_from_changes
 from tierflow.sinks.keyed import KeyedFiles
-from tierflow.streaming import versions_of_stream
+from tierflow.streaming import versions, versions_of_stream
 from tierflow.streaming.versions import ROCKSDB, STATE_STORE
 
 SCHEMA, START = "k int, n int, v string, at timestamp", datetime(2024, 1, 1)
@@ -85,3 +86,78 @@ def test_refusals(spark, work):
         versions_of_stream(stream, "k", "at")
     with pytest.raises(ValueError, match="watermark"):
         versions_of_stream(stream, "k", "at", idle=DAY)
+
+
+def test_many_keys_share_a_state_row(rocks, work, monkeypatch):
+    """Calls and state rows grow with groups and their parts, not with keys or versions."""
+    monkeypatch.setattr(versions, "GROUPS", 4)
+    rng = random.Random(4)
+    changes = [(rng.randint(0, 999), i, f"v{i}", START + timedelta(hours=rng.randint(0, 60))) for i in range(4000)]
+    expected = versions_from_changes(rocks.createDataFrame(changes, SCHEMA), "k", "at", order=["n"])
+    # some keys of a group, so many that it is cut, then changes of few keys, and a part that is empty till then
+    parts = [changes[:300], changes[300:3000], changes[3000:3010], changes[3010:]]
+    got, states = run(rocks, work, parts)
+    assert got == sorted(map(tuple, expected.collect()), key=str)
+    keys, most = len({c[0] for c in changes}), max(states)
+    # at least two parts a group, and its number of them
+    assert 12 <= most < keys / 10 < len(got) / 10
+
+
+def test_small_packages_and_parts_give_the_same(rocks, work, monkeypatch):
+    for limit in ("GROUPS", "PACKED_BYTES", "PACKED_ROWS", "PART_KEYS"):
+        monkeypatch.setattr(versions, limit, 2)
+    changes = changes_of(5)
+    expected = versions_from_changes(rocks.createDataFrame(changes, SCHEMA), "k", "at", order=["n"])
+    got, _ = run(rocks, work, [changes[:50], changes[50:]])
+    assert got == sorted(map(tuple, expected.collect()), key=str)
+
+
+def stored(spark, work, rows, schema, order=("n",)):
+    """What a sink holds after a run over each of the rows' folders."""
+    keyed = KeyedFiles(spark, f"{work}/sink", ["k", "start_ts"], buckets=2)
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{work}/in")
+        found = versions_of_stream(spark.readStream.schema(schema).parquet(f"{work}/in"), "k", "at", order=order)
+        writer = found.writeStream.outputMode("update").foreachBatch(lambda batch, n: keyed.upsert(batch, writer="s", batch=n) and None)
+        writer.option("checkpointLocation", f"{work}/c").trigger(availableNow=True).start().awaitTermination()
+    return sorted(map(str, keyed.read().collect()))
+
+
+NAN = float("nan")
+
+
+@pytest.mark.parametrize(
+    ("kind", "keys"),
+    [
+        ("double", [NAN, 0.0, -0.0, -1.5]),
+        ("struct<a: array<int>, b: string>", [([1, None], None), ([], "x"), (None, None)]),
+    ],
+)
+def test_keys_are_the_ones_spark_groups_by(rocks, work, kind, keys):
+    schema = f"k {kind}, n bigint, m map<string, bigint>, d decimal(38, 9), at timestamp"
+    rng = random.Random(6)
+    rows = [(rng.choice(keys), rng.choice([None, 2**62 + i]), {"a": i}, None, START + i * DAY) for i in range(30)]
+    expected = versions_from_changes(rocks.createDataFrame(rows, schema), "k", "at", order=["n"])
+    assert stored(rocks, work, [rows[:10], rows[10:]], schema) == sorted(map(str, expected.collect()))
+
+
+def test_of_changes_that_tie_the_later_counts(rocks, work):
+    got = stored(rocks, work, [[(1, n, text, START)] for n, text in enumerate(["first", "second"])], SCHEMA, order=())
+    assert len(got) == 1 and "second" in got[0]
+
+
+def test_state_of_other_columns_is_refused(rocks, work):
+    stored(rocks, work, [[(1, 0, "a", START)]], SCHEMA)
+    rocks.createDataFrame([(1, 1, "b", START)], SCHEMA).write.mode("append").parquet(f"{work}/in")
+    other = rocks.readStream.schema(SCHEMA).parquet(f"{work}/in").withColumn("v", F.length("v"))
+    found = versions_of_stream(other, "k", "at", order=["n"])
+    query = found.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.collect() and None)
+    with pytest.raises(Exception, match="(?i)schema"):
+        query.option("checkpointLocation", f"{work}/c").trigger(availableNow=True).start().awaitTermination()
+
+
+def test_a_collated_key_is_refused(rocks, work):
+    rocks.sql("SELECT 'a' COLLATE UTF8_LCASE AS k, timestamp'2024-01-01' AS at").write.parquet(f"{work}/in")
+    stream = rocks.readStream.schema("k string collate UTF8_LCASE, at timestamp").parquet(f"{work}/in")
+    with pytest.raises(ValueError, match="collation"):
+        versions_of_stream(stream, "k", "at")
