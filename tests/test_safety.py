@@ -8,6 +8,7 @@ from tierflow import Pipeline, SpecError
 from tierflow.sinks import read_sink
 from tierflow.sources import load_source
 from tierflow.spec import SourceSpec
+from tierflow.streaming import run_for
 from tierflow.workspace import names_in
 
 
@@ -201,3 +202,18 @@ def test_a_layer_goes_on_with_what_it_read_first(spark, tmp_path, work):
     flow.run()
     flow.run(stage="standard")
     assert stored(flow, "standard", "join", "file").count() == 21
+
+
+def test_less_than_a_millisecond_is_not_waited_for():
+    class Running:
+        stopped, exception = False, staticmethod(lambda: None)
+
+        def awaitTermination(self, seconds):
+            assert int(seconds * 1000) > 0, "Spark refuses to wait for 0 ms"
+
+        def stop(self):
+            self.stopped = True
+
+    queries = [Running(), Running()]
+    run_for(queries, 0.0009)
+    assert all(query.stopped for query in queries)

@@ -27,7 +27,8 @@ def run_for(queries: Sequence[StreamingQuery], seconds: float) -> None:
     with stopped_on_error(queries):
         for query in queries:
             left = deadline - time.monotonic()
-            if left > 0:
+            # Spark waits for whole milliseconds, one at least
+            if left >= 0.001:
                 query.awaitTermination(left)
         for query in queries:
             if query.exception() is not None:
